@@ -6,19 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crmlake.plans import registry_crm  # noqa: F401  (registers)
+from crmlake.plans import registry_crm, registry_edu  # noqa: F401  (register)
 from crmlake.plans.catalog import QUERIES, present
 from crmlake.sources.bindings import Bindings
 
-try:  # later modules register more queries
-    from crmlake.plans import registry_edu  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-try:
-    from crmlake.plans import registry_maintenance  # noqa: F401
-except ImportError:  # pragma: no cover
-    pass
-
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return present(QUERIES[name].build(Bindings(spark, sf_dir)))
