@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Dialect tokens: the only spellings that differ between Spark SQL and DuckDB.
 _DIALECT = {
-    "spark": {"TS0": "TIMESTAMP_NTZ '2020-01-01 00:00:00'"},
-    "duckdb": {"TS0": "TIMESTAMP '2020-01-01 00:00:00'"},
+    "spark": {"TS0": "TIMESTAMP_NTZ '2020-01-01 00:00:00'", "TS1997": "TIMESTAMP_NTZ '1997-01-01 00:00:00'"},
+    "duckdb": {"TS0": "TIMESTAMP '2020-01-01 00:00:00'", "TS1997": "TIMESTAMP '1997-01-01 00:00:00'"},
 }
 
 BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -148,12 +148,69 @@ SELECT conv_id * 1000 + turn AS FeedbackID, conv_id AS StudentID, conv_id % 10 A
             ELSE 'Closed' END AS Status,
        {TS0} + INTERVAL '1' SECOND * (conv_id * 1000 + turn) AS CreatedAt
 FROM {conversations}"""),
+    # ---- change sets for the maintenance operators (value-based rules) ----
+    "c_return_tickets": (("lineitem", "orders"), """
+SELECT o.o_custkey AS CustomerID, CAST(NULL AS BIGINT) AS EmployeeID,
+       'Return ' || CAST(l.l_orderkey AS VARCHAR(20)) || '-' || CAST(l.l_linenumber AS VARCHAR(20)) AS Subject,
+       CASE WHEN l.l_quantity >= 45 THEN 'High' END AS Priority,
+       l.l_shipdate AS RequestedAt, l.l_orderkey AS src_order, l.l_linenumber AS src_line,
+       l.l_partkey AS src_part, l.l_suppkey AS src_supp, l.l_quantity AS src_qty
+FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
+WHERE l.l_returnflag = 'R'"""),
+    "c_segment_changes": (("customer",), """
+SELECT c_custkey AS CustomerID, 'Enterprise' AS Segment, CAST(NULL AS BIGINT) AS AssignedTo
+FROM {customer} WHERE c_acctbal > 9000"""),
+    "c_ticket_transitions": (("orders",), """
+SELECT o_orderkey AS TicketID,
+       CASE WHEN o_orderstatus = 'P' THEN 'Resolved' ELSE 'Closed' END AS Status
+FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IN ('P', 'F')"""),
+    "c_ticket_purge": (("orders",), """
+SELECT o_orderkey AS TicketID FROM {orders}
+WHERE o_orderstatus = 'F' AND o_orderdate < {TS1997}"""),
+    "c_closed_customers": (("customer",), """
+SELECT c_custkey AS CustomerID FROM {customer} WHERE c_acctbal < -900"""),
+    "c_retired_products": (("part",), """
+SELECT p_partkey AS ProductID FROM {part} WHERE p_size > 45"""),
+    "c_leaving_employees": (("supplier",), """
+SELECT s_suppkey AS EmployeeID FROM {supplier} WHERE s_acctbal < 0"""),
+    "c_enrollment_requests": (("events",), """
+SELECT event_id AS seq, user_id AS StudentID, event_id % 25 AS ClassID, event_id % 10 AS StaffID,
+       CAST(round(value * 100000) AS DECIMAL(12,2)) AS TotalFee,
+       CAST(round(value * 1000) AS DECIMAL(12,2)) AS Discount
+FROM {events} WHERE event_type = 'purchase'"""),
+    "c_user_removals": (("supplier",), """
+SELECT s_suppkey AS UserID FROM {supplier} WHERE s_acctbal < 1000"""),
+    "c_signups": (("customer", "nation"), """
+SELECT c.c_custkey AS seq,
+       CASE WHEN c.c_mktsegment = 'HOUSEHOLD' THEN lower(n.n_name)
+            WHEN c.c_mktsegment = 'MACHINERY' AND c.c_acctbal < 0 THEN 'ab'
+            ELSE lower(replace(c.c_name, '#', '_')) END AS Username,
+       'pw' || CAST(c.c_custkey AS VARCHAR(20)) AS Password,
+       CASE WHEN c.c_acctbal < -500 THEN 'mismatch' ELSE 'pw' || CAST(c.c_custkey AS VARCHAR(20)) END AS Confirm,
+       CASE WHEN c.c_mktsegment = 'FURNITURE' AND c.c_acctbal > 9500 THEN ' ' ELSE c.c_name END AS FullName
+FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey"""),
+    "c_ticket_activity": (("orders",), """
+SELECT 'system' AS Username, 'Ticket bot' AS FullName, 'CREATE' AS Action, 'Ticket' AS Module,
+       'Ticket ' || CAST(o_orderkey AS VARCHAR(20)) AS Description, '127.0.0.1' AS IPAddress,
+       o_orderdate AS CreatedAt, o_orderkey AS seq
+FROM {orders} WHERE o_orderstatus = 'O'"""),
 }
 
 # Staff is the same binding as employees (same shape, StaffID key).
 _ALIASES = {"b_staff": ("b_employees", {"EmployeeID": "StaffID"})}
 
 
+def binding_columns(name: str) -> list[str]:
+    """Output column names of a binding, read from its select list."""
+    import re
+    if name in _ALIASES:
+        base, renames = _ALIASES[name]
+        return [renames.get(c, c) for c in binding_columns(base)]
+    text = BINDINGS[name][1]
+    select = text.split("\nFROM ")[0]
+    return re.findall(r"\bAS (\w+)\s*(?=,|\n|$)", select)
+
+
 def _render(text: str, dialect: str) -> str:
     for token, spelling in _DIALECT[dialect].items():
         text = text.replace("{" + token + "}", spelling)
