@@ -6,10 +6,11 @@ UNIQUE duplicates, NOT NULL, VARCHAR length, and foreign keys whose parent
 table is part of the audit. Result: one row per check with
 ``violations`` (offending rows) and ``keys`` (distinct offending values).
 
-Execution per table: all NOT NULL and length rules in one aggregate pass;
-each key/UNIQUE rule one grouped count (partial aggregation, so a hot
-duplicate key is combined map-side); each foreign key one anti join against
-the parent's distinct keys (broadcast when provably small).
+Execution per table: one pass for all NOT NULL, length and foreign-key
+rules (the parents' distinct keys are left-joined, broadcast when provably
+small, and one aggregate counts every rule; the row is unpivoted with
+``inline``), plus one grouped count per key/UNIQUE rule (partial
+aggregation, so a hot duplicate key is combined map-side).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crmlake.operators.joins import bounded_broadcast
@@ -57,10 +58,13 @@ def plan_checks(present: dict[str, list[str]], contracts: dict[str, Table] = TAB
     return checks
 
 
-def _row(check: Check, df: DataFrame) -> DataFrame:
-    return df.select(F.lit(check.table).alias("table_name"), F.lit(check.kind).alias("check_name"),
-                     F.lit(check.column).alias("column_name"),
-                     F.col("violations").cast("long"), F.col("keys").cast("long"))
+def _rows(checks: list[Check], values: list[tuple[Column, Column]]) -> Column:
+    """One output row per check from a single aggregate row (unpivot)."""
+    return F.inline(F.array(*[
+        F.struct(F.lit(c.table).alias("table_name"), F.lit(c.kind).alias("check_name"),
+                 F.lit(c.column).alias("column_name"), v.cast("long").alias("violations"),
+                 k.cast("long").alias("keys"))
+        for c, (v, k) in zip(checks, values)]))
 
 
 def integrity_audit(tables: dict[str, DataFrame], contracts: dict[str, Table] = TABLES) -> DataFrame:
@@ -68,32 +72,36 @@ def integrity_audit(tables: dict[str, DataFrame], contracts: dict[str, Table] =
     parts: list[DataFrame] = []
     for name, df in tables.items():
         mine = [c for c in checks if c.table == name]
-        column_rules = [c for c in mine if c.kind in ("not_null", "max_length")]
-        if column_rules:
+        row_rules = [c for c in mine if c.kind in ("not_null", "max_length", "foreign_key")]
+        if row_rules:
+            joined = df
+            bad: list[Column] = []
+            for i, c in enumerate(row_rules):
+                if c.kind == "not_null":
+                    bad.append(F.col(c.column).isNull())
+                elif c.kind == "max_length":
+                    bad.append(F.length(c.column) > c.arg)
+                else:
+                    parent, pkey = c.arg
+                    keys = (tables[parent].select(F.col(pkey).alias(f"__pk{i}")).distinct()
+                            .withColumn(f"__hit{i}", F.lit(True)))
+                    keys = bounded_broadcast(keys, bound_by=tables[parent])
+                    joined = joined.join(keys, joined[c.column] == keys[f"__pk{i}"], "left")
+                    bad.append(F.col(c.column).isNotNull() & F.col(f"__hit{i}").isNull())
             aggs = []
-            for i, c in enumerate(column_rules):
-                bad = F.col(c.column).isNull() if c.kind == "not_null" else F.length(c.column) > c.arg
-                aggs.append(F.count_if(bad).alias(f"v{i}"))
-                aggs.append(F.count_distinct(F.when(bad, F.col(c.column))).alias(f"k{i}")
-                            if c.kind == "max_length" else F.lit(0).alias(f"k{i}"))
-            one = df.agg(*aggs)
-            for i, c in enumerate(column_rules):
-                parts.append(_row(c, one.select(F.col(f"v{i}").alias("violations"),
-                                                F.col(f"k{i}").alias("keys"))))
+            for i, (c, b) in enumerate(zip(row_rules, bad)):
+                aggs.append(F.count_if(b).alias(f"v{i}"))
+                aggs.append(F.lit(0).alias(f"k{i}") if c.kind == "not_null"
+                            else F.count_distinct(F.when(b, F.col(c.column))).alias(f"k{i}"))
+            one = joined.agg(*aggs)
+            parts.append(one.select(_rows(row_rules, [(F.col(f"v{i}"), F.col(f"k{i}"))
+                                                      for i in range(len(row_rules))])))
         for c in mine:
             if c.kind in ("primary_key", "unique"):
                 dup = (df.filter(F.col(c.column).isNotNull()).groupBy(c.column)
                        .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
-                parts.append(_row(c, dup.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"),
-                                             F.count(F.lit(1)).alias("keys"))))
-            elif c.kind == "foreign_key":
-                parent, pkey = c.arg
-                keys = tables[parent].select(F.col(pkey).alias("__pk")).distinct()
-                keys = bounded_broadcast(keys)
-                orphans = (df.filter(F.col(c.column).isNotNull())
-                           .join(keys, df[c.column] == keys["__pk"], "left_anti"))
-                parts.append(_row(c, orphans.agg(F.count(F.lit(1)).alias("violations"),
-                                                 F.count_distinct(c.column).alias("keys"))))
+                one = dup.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.count(F.lit(1)).alias("k"))
+                parts.append(one.select(_rows([c], [(F.col("v"), F.col("k"))])))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -16,12 +16,38 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 500_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` provably has <= ``max_rows`` rows, else ``df``."""
+# Verdicts of the bounded count per DataFrame object (the object is kept
+# alive with its verdict, so its id cannot be reused while cached).
+_VERDICTS: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
+_MAX_VERDICTS = 512
+
+
+def is_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    """True when ``df`` provably has at most ``max_rows`` rows.
+
+    ``limit(max_rows + 1).count()`` stops reading once the bound is passed,
+    so the check costs at most ``max_rows + 1`` rows. Memoised per
+    DataFrame object: a dimension shared by several joins is counted once.
+    """
     if max_rows <= 0:
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+        return False
+    key = (id(df), max_rows)
+    hit = _VERDICTS.get(key)
+    if hit is not None and hit[0] is df:
+        return hit[1]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    if len(_VERDICTS) >= _MAX_VERDICTS:
+        _VERDICTS.clear()
+    _VERDICTS[key] = (df, ok)
+    return ok
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      bound_by: DataFrame | None = None) -> DataFrame:
+    """``broadcast(df)`` when ``df`` (or ``bound_by``, a DataFrame with at
+    least as many rows, e.g. the unprojected dimension) provably has at most
+    ``max_rows`` rows, else ``df`` unchanged."""
+    return F.broadcast(df) if is_bounded(bound_by if bound_by is not None else df, max_rows) else df
 
 
 def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str,
@@ -37,7 +63,7 @@ def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str,
     tmp_key = f"__k_{right_key}"
     side = dim.select(F.col(right_key).alias(tmp_key),
                       *[F.col(src).alias(dst) for src, dst in columns.items()])
-    side = bounded_broadcast(side, max_rows)
+    side = bounded_broadcast(side, max_rows, bound_by=dim)
     out = df.join(side, df[left_key] == side[tmp_key], how)
     return out.drop(tmp_key)
 
@@ -45,7 +71,8 @@ def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str,
 def semi(df: DataFrame, keys: DataFrame, left_key: str, right_key: str,
          max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose key appears in ``keys`` (EXISTS)."""
-    side = bounded_broadcast(keys.select(F.col(right_key).alias("__semi")).distinct(), max_rows)
+    side = bounded_broadcast(keys.select(F.col(right_key).alias("__semi")).distinct(), max_rows,
+                             bound_by=keys)
     return df.join(side, df[left_key] == side["__semi"], "left_semi")
 
 
@@ -57,7 +84,7 @@ def anti(df: DataFrame, keys: DataFrame, left_key: str, right_key: str,
     the result (what an unguarded SQL ``NOT IN`` would do).
     """
     side = keys.select(F.col(right_key).alias("__anti")).filter(F.col("__anti").isNotNull()).distinct()
-    side = bounded_broadcast(side, max_rows)
+    side = bounded_broadcast(side, max_rows, bound_by=keys)
     return df.join(side, df[left_key] == side["__anti"], "left_anti")
 
 
@@ -65,7 +92,7 @@ def key_match(df: DataFrame, keys: DataFrame, left_key: str, right_key: str,
               flag: str, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Add a boolean ``flag`` column: does the row's key appear in ``keys``."""
     side = keys.select(F.col(right_key).alias("__km")).filter(F.col("__km").isNotNull()).distinct()
-    side = bounded_broadcast(side.withColumn("__hit", F.lit(True)), max_rows)
+    side = bounded_broadcast(side.withColumn("__hit", F.lit(True)), max_rows, bound_by=keys)
     out = df.join(side, df[left_key] == side["__km"], "left")
     return out.withColumn(flag, F.coalesce(F.col("__hit"), F.lit(False))).drop("__km", "__hit")
 

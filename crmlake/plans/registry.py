@@ -12,7 +12,7 @@ from crmlake.sources.bindings import Bindings
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return present(QUERIES[name].build(Bindings(spark, sf_dir)))
+    return present(QUERIES[name].build(Bindings.of(spark, sf_dir)))
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

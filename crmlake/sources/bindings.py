@@ -234,7 +234,21 @@ def oracle_views(names: list[str]) -> str:
 
 
 class Bindings:
-    """Lazily built binding DataFrames over ``sf_dir``; one parquet read per table."""
+    """Lazily built binding DataFrames over ``sf_dir``; one parquet read per table.
+
+    ``Bindings.of(spark, sf_dir)`` shares one instance per session and folder,
+    so file listings, footers and size checks are paid once, not per query.
+    """
+
+    _shared: dict[tuple[int, str], "Bindings"] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Bindings":
+        key = (id(spark), sf_dir.rstrip("/"))
+        inst = cls._shared.get(key)
+        if inst is None or inst.spark is not spark:
+            inst = cls._shared[key] = cls(spark, sf_dir)
+        return inst
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
