@@ -148,3 +148,19 @@ def log_ticket_activity(t, as_of) -> DataFrame:
     """S15 (batch): activity entries appended with new LogIDs."""
     return M.append_activity(t.activity, t.view("c_ticket_activity"), S.ACTIVITY_LOG, as_of,
                              ["CreatedAt", "seq"])
+
+
+def stream_activity(t) -> DataFrame:
+    """S15 (stream): events landing as files are appended to an activity log
+    by a Structured Streaming query (file source -> foreachBatch append with
+    new LogIDs); returns the resulting log. Runs with an available-now
+    trigger into a fresh folder under the shared checkpoint folder."""
+    import time
+
+    from crmlake.session import ensure_checkpoint_dir
+    from crmlake.streaming import activity as A
+    base = ensure_checkpoint_dir(t.spark).rstrip("/") + f"/activity-stream-{time.time_ns()}"
+    source = A.entries_from_events(A.event_stream(t.spark, t.sf_dir, "events.parquet"))
+    query = A.start_activity_stream(t.spark, source, f"{base}/log", f"{base}/_checkpoint")
+    query.awaitTermination()
+    return A.read_log(t.spark, f"{base}/log")

@@ -204,3 +204,12 @@ FROM c_ticket_activity""")
 def s15(t):
     """S15 activity entries appended to the log with new LogIDs."""
     return MT.log_ticket_activity(t, AS_OF)
+
+
+@register("s15_activity_stream", ["b_activity"], """
+SELECT row_number() OVER (ORDER BY CreatedAt, Username, Action, Module, Description, IPAddress, LogID) AS LogID,
+       Username, FullName, Action, Module, Description, IPAddress, CreatedAt
+FROM b_activity""")
+def s15s(t):
+    """S15 activity entries appended by a Structured Streaming query (file source, foreachBatch)."""
+    return MT.stream_activity(t)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     are fixed files, so a lost executor recomputes nothing upstream.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first: writing a reliable checkpoint re-runs the job otherwise
+    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return staged.checkpoint(eager=True)
+    finally:
+        staged.unpersist()
 
 
 def one_row(spark: SparkSession, **values) -> DataFrame:
