@@ -93,8 +93,8 @@ def occupancy_pct(current: ColumnOrName, maximum: ColumnOrName, cap: bool = True
     Zero capacity gives NULL instead of a division error.
     """
     pct = F.try_divide(_c(current), _c(maximum)) * F.lit(100)
-    if cap:
-        pct = F.least(pct, F.lit(100.0))
+    if cap:  # least() skips NULLs, so keep a NULL (zero capacity) NULL
+        pct = F.when(pct.isNotNull(), F.least(pct, F.lit(100.0)))
     return pct.cast("int")
 
 

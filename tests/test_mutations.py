@@ -1,0 +1,122 @@
+"""Table-maintenance operators: keys, defaults, transitions, deletes, guards."""
+
+from conftest import rows
+from pyspark.sql import functions as F
+
+from crmlake.operators import mutations as M
+from crmlake.operators.audit import integrity_audit
+from crmlake.sources import schemas as S
+
+AS_OF = "2025-06-20 12:00:00"
+
+
+def test_append_assigns_keys_in_order_and_defaults(seed, spark):
+    new = spark.createDataFrame([(3, "", "B ticket", None, 2), (1, "4", "A ticket", "High", 1)],
+                                "CustomerID long, EmployeeID string, Subject string, Priority string, seq int")
+    out = M.append(seed.tickets, new, S.SUPPORT_TICKETS, AS_OF, ["seq"], optional=["EmployeeID"])
+    got = rows(out.filter("TicketID > 5").orderBy("TicketID"), "TicketID", "Subject", "EmployeeID",
+               "Priority", "Status")
+    assert got == [(6, "A ticket", 4, "High", "Open"), (7, "B ticket", None, "Medium", "Open")]
+    assert out.filter("TicketID > 5").select(F.col("CreatedAt").cast("string")).first()[0] == AS_OF
+    assert out.count() == 7
+
+
+def test_update_by_key_assigns_null_and_keeps_others(seed, spark):
+    ch = spark.createDataFrame([(1, "Enterprise", None)], "CustomerID long, Segment string, AssignedTo long")
+    out = M.update_by_key(seed.customers, ch, "CustomerID", ["Segment", "AssignedTo"])
+    assert rows(out.filter("CustomerID = 1"), "Segment", "AssignedTo") == [("Enterprise", None)]
+    assert rows(out.filter("CustomerID = 2"), "Segment", "AssignedTo") == [("SMB", 1)]
+
+
+def test_update_last_writer_wins_by_seq(seed, spark):
+    ch = spark.createDataFrame([(1, "A", 1), (1, "B", 3), (1, "C", 2)], "CustomerID long, Segment string, seq int")
+    out = M.update_by_key(seed.customers, ch, "CustomerID", ["Segment"], seq="seq")
+    assert rows(out.filter("CustomerID = 1"), "Segment") == [("B",)]
+
+
+def test_stamp_on_transition_resolve_and_close(seed, spark):
+    ch = spark.createDataFrame([(4, "Resolved"), (1, "Closed")], "TicketID long, Status string")
+    out = M.stamp_on_transition(seed.tickets, ch, "TicketID", "Status", "ResolvedAt", ["Resolved"], AS_OF)
+    got = {r[0]: (r[1], r[2] and str(r[2])) for r in rows(out, "TicketID", "Status", "ResolvedAt")}
+    assert got[4] == ("Resolved", AS_OF)
+    assert got[1] == ("Closed", None)          # moving to Closed erases ResolvedAt
+    assert got[3] == ("Resolved", "2025-06-08 09:00:00")  # untouched rows keep their stamp
+
+
+def test_stamp_preserve_existing_for_deals(seed, spark):
+    ch = spark.createDataFrame([(6, "Closed Won"), (1, "Closed Lost"), (8, "Negotiation")],
+                               "OpportunityID long, Stage string")
+    re = M.stamp_on_transition(seed.opportunities, ch, "OpportunityID", "Stage", "ClosedAt", S.CLOSED_STAGES, AS_OF)
+    keep = M.stamp_on_transition(seed.opportunities, ch, "OpportunityID", "Stage", "ClosedAt", S.CLOSED_STAGES,
+                                 AS_OF, preserve_existing=True)
+    r1 = {r[0]: str(r[1]) if r[1] else None for r in rows(re, "OpportunityID", "ClosedAt")}
+    r2 = {r[0]: str(r[1]) if r[1] else None for r in rows(keep, "OpportunityID", "ClosedAt")}
+    assert r1[6] == AS_OF and r2[6] == "2025-06-01 10:00:00"
+    assert r1[1] == r2[1] == AS_OF and r1[8] is None
+
+
+def test_delete_cascade_leaves_no_orphans(seed, spark):
+    keys = spark.createDataFrame([(6,), (None,)], "CustomerID long")
+    out = M.delete_cascade(seed.customers, "CustomerID", {
+        "tickets": (seed.tickets, "CustomerID"), "interactions": (seed.interactions, "CustomerID"),
+        "opportunities": (seed.opportunities, "CustomerID")}, keys)
+    assert out["parent"].count() == 7 and out["tickets"].count() == 3
+    audit = integrity_audit({"Customers": out["parent"], "SupportTickets": out["tickets"],
+                             "Interactions": out["interactions"], "Opportunities": out["opportunities"]})
+    assert audit.filter("check_name = 'foreign_key' AND violations > 0").count() == 0
+
+
+def test_delete_nullify_reports_restricted_children(seed, spark):
+    keys = spark.createDataFrame([(2,)], "EmployeeID long")
+    out = M.delete_nullify(seed.employees, "EmployeeID", {"customers": (seed.customers, "AssignedTo")}, keys,
+                           cascade={"interactions": (seed.interactions, "EmployeeID")},
+                           restrict={"opportunities": (seed.opportunities, "EmployeeID")})
+    assert out["customers"].filter("AssignedTo IS NULL").count() == 4
+    assert out["interactions"].count() == 5
+    assert sorted(r[0] for r in rows(out["violations_opportunities"], "OpportunityID")) == [3, 4, 5, 8]
+
+
+def test_guarded_delete_keeps_last_admin(seed, spark):
+    both = spark.createDataFrame([(1,), (2,)], "UserID long")
+    out = M.guarded_delete(seed.users, both)
+    assert rows(out["users"], "UserID") == [(1,)] and rows(out["refused"], "UserID") == [(1,)]
+    more = seed.users.unionByName(spark.createDataFrame(
+        [(3, "root", "x", "admin", "Root", "Active")],
+        "UserID long, Username string, Password string, Role string, FullName string, Status string"),
+        allowMissingColumns=True)
+    out2 = M.guarded_delete(more, spark.createDataFrame([(1,)], "UserID long"))
+    assert sorted(r[0] for r in rows(out2["users"], "UserID")) == [2, 3]
+
+
+def test_signup_outcomes_in_reference_order(seed, spark):
+    req = spark.createDataFrame([
+        (1, "admin", "secret1", "secret1", "A"),      # taken
+        (2, "bob", "secret1", "secret1", "B"),        # username too short
+        (3, "carol", "abc", "abc", "C"),              # password too short
+        (4, "dave", "secret1", "secret2", "D"),       # mismatch
+        (5, "  ", "secret1", "secret1", "E"),         # blank after strip
+        (6, " erin ", "secret1", "secret1", "Erin"),  # ok (stripped)
+        (7, "erin", "secret9", "secret9", "Erin2"),   # duplicate of an earlier request
+    ], "seq long, Username string, Password string, Confirm string, FullName string")
+    got = dict(rows(M.signup_outcomes(req, seed.users), "seq", "outcome"))
+    assert got == {1: "duplicate", 2: "username_short", 3: "password_short", 4: "confirm_mismatch",
+                   5: "missing", 6: "ok", 7: "duplicate"}
+    users = M.accept_signups(M.signup_outcomes(req, seed.users), req, seed.users, S.USERS, AS_OF)
+    assert rows(users.filter("UserID = 3"), "Username", "Role", "Status") == [("erin", "guest", "Inactive")]
+
+
+def test_derive_accounts_insert_ignore_within_batch(seed, spark):
+    people = spark.createDataFrame([(10, "x.y@a.vn", "First"), (11, "X.Y@b.vn", "Second"), (12, None, "NoMail")],
+                                   "EmployeeID long, Email string, FullName string")
+    out = M.derive_accounts(people, seed.users, S.USERS, AS_OF)
+    assert rows(out, "UserID", "Username", "EmployeeID", "FullName") == [(3, "x_y", 10, "First")]
+
+
+def test_audit_finds_duplicates_nulls_orphans(spark):
+    emp = spark.createDataFrame([(1, "A"), (1, "B"), (2, None)], "EmployeeID long, FullName string")
+    cust = spark.createDataFrame([(1, "C", 9), (2, "D", 1)], "CustomerID long, FullName string, AssignedTo long")
+    out = {(r[0], r[1], r[2]): (r[3], r[4]) for r in
+           rows(integrity_audit({"Employees": emp, "Customers": cust}))}
+    assert out[("Employees", "primary_key", "EmployeeID")] == (2, 1)
+    assert out[("Employees", "not_null", "FullName")] == (1, 0)
+    assert out[("Customers", "foreign_key", "AssignedTo")] == (1, 1)
