@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crmlake.plans import registry_crm, registry_edu, registry_maintenance  # noqa: F401  (register)
+from crmlake.plans import (registry_crm, registry_display, registry_edu,  # noqa: F401  (register)
+                           registry_maintenance)
 from crmlake.plans.catalog import QUERIES, present
 from crmlake.sources.bindings import Bindings
 

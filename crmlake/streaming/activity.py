@@ -7,10 +7,12 @@ to the log with ``LogID`` continuing the log's maximum.
 
 Each micro-batch is written to its own folder ``<log>/batch_id=<n>`` with
 mode ``overwrite``: when a batch is replayed after a failure it rewrites the
-same folder, so the log never holds a batch twice. Key assignment reads the
-maximum only from batches *before* the current one, which makes a replay
-produce the same keys. The base snapshot (if any) lives in
-``batch_id=-1``.
+same folder, so the log never holds a batch twice. Each batch also records
+its largest key in ``<log>/_keys/batch_id=<n>`` (one row); key assignment
+reads the maximum only of batches *before* the current one, so a replay
+produces the same keys and no batch scans the log itself. A log is owned
+by one stream checkpoint (batch ids are numbered per checkpoint); restart
+the stream on the same checkpoint to continue it.
 """
 
 from __future__ import annotations
@@ -48,17 +50,22 @@ def entries_from_events(events: DataFrame) -> DataFrame:
 
 
 def _append_batch(log_root: str, order: list, as_of) -> callable:
+    keys_root = f"{log_root}/_keys"  # hidden from readers of the log (leading underscore)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            prior = (spark.read.parquet(log_root).filter(F.col("batch_id") < batch_id)
-                     .agg(F.max("LogID")).first()[0]) or 0
-        except Exception:  # noqa: BLE001 - no log written yet
+        try:  # one tiny row per earlier batch, not a scan of the log
+            prior = (spark.read.parquet(keys_root).filter(F.col("batch_id") < batch_id)
+                     .agg(F.max("max_key")).first()[0]) or 0
+        except Exception:  # noqa: BLE001 - first batch: nothing written yet
             prior = 0
         numbered = global_index(batch, order, "__pos")
         rows = numbered.withColumn("LogID", F.lit(prior).cast("long") + F.col("__pos")).drop("__pos")
         rows = apply_defaults(rows, ACTIVITY_LOG, as_of)
         rows.write.mode("overwrite").parquet(f"{log_root}/batch_id={batch_id}")
+        top = spark.read.parquet(f"{log_root}/batch_id={batch_id}").agg(
+            F.coalesce(F.max("LogID"), F.lit(prior).cast("long")).alias("max_key"))
+        top.coalesce(1).write.mode("overwrite").parquet(f"{keys_root}/batch_id={batch_id}")
     return write
 
 
