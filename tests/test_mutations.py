@@ -120,3 +120,20 @@ def test_audit_finds_duplicates_nulls_orphans(spark):
     assert out[("Employees", "primary_key", "EmployeeID")] == (2, 1)
     assert out[("Employees", "not_null", "FullName")] == (1, 0)
     assert out[("Customers", "foreign_key", "AssignedTo")] == (1, 1)
+
+
+def test_tableset_reads_contract_folders(spark, seed, tmp_path):
+    from crmlake.plans import crm
+    from crmlake.sources.sinks import read_snapshot, write_snapshot
+    from crmlake.sources.tableset import TableSet
+    root = str(tmp_path)
+    for attr in ("customers", "employees", "opportunities", "tickets", "interactions"):
+        df = getattr(seed, attr)
+        name = {"tickets": "SupportTickets"}.get(attr, attr.capitalize())
+        df.write.parquet(f"{root}/{name}")
+    ts = TableSet.files(spark, root)
+    assert crm.crm_kpis(ts).first().won_value == 15_000_000
+    # versioned snapshot write + pointer read
+    v1 = write_snapshot(ts.customers, f"{root}/snap")
+    v2 = write_snapshot(ts.customers.limit(3), f"{root}/snap")
+    assert v1 != v2 and read_snapshot(spark, f"{root}/snap").count() == 3

@@ -122,3 +122,30 @@ def test_s11_enrollment_request_effects(seed, spark):
     assert float(new.FinalFee) == 3_150_000 and new.Status == "Confirmed"
     assert out["classes"].filter("ClassID = 2").first().CurrentStudents == 9
     assert out["students"].filter("StudentID = 4").first().Status == "Enrolled"
+
+
+def test_q07_customer_detail_point_lookup(seed):
+    d = crm.customer_detail(seed, 6)
+    assert d["customer"].count() == 1
+    assert rows(d["opportunities"], "OpportunityID", "ProductName", "emp") == [(6, "CRM Professional", "Nguyễn Văn An")]
+    assert d["tickets"].count() == 2 and d["interactions"].count() == 1
+
+
+def test_q17_student_detail_point_lookup(seed):
+    d = edu.student_detail(seed, 1)
+    got = sorted(rows(d["enrollments"], "EnrollmentID", "ClassName", "paid", "remaining"))
+    assert [(g[0], g[1], float(g[2]), float(g[3])) for g in got] == [
+        (1, "Python K01 - Tối T2T4T6", 3.5e6, 0.0), (8, "Thuyết trình K03", 2.25e6, 0.0)]
+    # payments carry the class name through their enrollment
+    assert sorted(rows(d["payments"], "PaymentID", "ClassName")) == [(1, "Python K01 - Tối T2T4T6"),
+                                                                    (8, "Thuyết trình K03")]
+    assert d["consultations"].count() == 1 and d["feedbacks"].count() == 1
+
+
+def test_s7_resolve_feedback_with_response(seed, spark):
+    ch = spark.createDataFrame([(5, "Resolved", "Đã xử lý")], "FeedbackID long, Status string, Response string")
+    out = M.stamp_on_transition(seed.feedbacks, ch, "FeedbackID", "Status", "ResolvedAt", ["Resolved"],
+                                "2025-06-20 00:00:00", extra=["Response"])
+    r = out.filter("FeedbackID = 5").first()
+    assert (r.Status, r.Response, str(r.ResolvedAt)) == ("Resolved", "Đã xử lý", "2025-06-20 00:00:00")
+    assert out.filter("FeedbackID = 1").first().Response is None
