@@ -120,11 +120,13 @@ def amount_by(df: DataFrame, fk: str, amount: str, name: str = "paid") -> DataFr
 
 
 def with_balance(parent: DataFrame, key: str, fee: str, child: DataFrame, fk: str,
-                 amount: str, paid: str = "paid", remaining: str = "remaining") -> DataFrame:
+                 amount: str, paid: str = "paid", remaining: str = "remaining",
+                 prefilter: bool = False) -> DataFrame:
     """``paid = IFNULL(SUM(amount), 0)``, ``remaining = fee - paid``
-    per parent row, from payments aggregated per parent before the join."""
-    agg = amount_by(child, fk, amount, paid)
-    out = parent.join(agg, parent[key] == agg["__fk"], "left").drop("__fk")
+    per parent row, from payments aggregated per parent before the join.
+    ``prefilter`` aggregates only the payments of the parent's keys (used
+    when the parent is a page of a list)."""
+    out = attach_children(parent, key, [Child(child, fk, {paid: F.sum(amount)})], prefilter=prefilter)
     zero = F.lit(0).cast("decimal(22,2)")
     out = out.withColumn(paid, F.coalesce(F.col(paid), zero))
     return out.withColumn(remaining, F.col(fee) - F.col(paid))

@@ -23,6 +23,7 @@ from crmlake.operators.aggregates import (Child, attach_children, combine_rows,
 from crmlake.operators.joins import anti, lookup
 from crmlake.operators.paging import (ACTIVITY_PER_PAGE, DEFAULT_PER_PAGE, order_spec,
                                       page_meta, paginate, top_n)
+from crmlake.sources.sinks import cut_lineage
 from crmlake.sources.schemas import (CLOSED_STAGES, OPEN_TICKET_STATUSES, STAGES,
                                      TICKET_PRIORITIES_REPORT, TICKET_STATUSES)
 
@@ -100,17 +101,25 @@ def global_search(t, q: str, per_source: int = 5, mode: str = "binary") -> DataF
 
 
 # ---- lists (Q5, Q8-Q10, Q43) ----------------------------------------------------
-def customer_list(t, q: str = "", segment: str = "", assigned=None, mode: str = "binary") -> DataFrame:
-    """Q5: customers with owner name and distinct opportunity/ticket counts."""
+def _customer_rows(t, q: str = "", segment: str = "", assigned=None, mode: str = "binary") -> DataFrame:
+    """Q5 without the child counts: filters and order use customer columns only."""
     preds = [search(["FullName", "Company", "Email", "Phone"], q, mode),
              facet("Segment", segment), facet("AssignedTo", assigned)]
-    filtered = any(p is not None for p in preds)
     c = where(t.customers, *preds)
-    c = lookup(c, t.employees, "AssignedTo", "EmployeeID", {"FullName": "employee_name"}, "left")
-    return attach_children(c, "CustomerID", [
+    return lookup(c, t.employees, "AssignedTo", "EmployeeID", {"FullName": "employee_name"}, "left")
+
+
+def _with_customer_counts(t, rows: DataFrame, prefilter: bool) -> DataFrame:
+    return attach_children(rows, "CustomerID", [
         Child(t.opportunities, "CustomerID", {"opp_count": distinct_count("OpportunityID")}),
         Child(t.tickets, "CustomerID", {"ticket_count": distinct_count("TicketID")}),
-    ], prefilter=filtered)
+    ], prefilter=prefilter)
+
+
+def customer_list(t, q: str = "", segment: str = "", assigned=None, mode: str = "binary") -> DataFrame:
+    """Q5: customers with owner name and distinct opportunity/ticket counts."""
+    filtered = bool((q or "").strip() or segment or assigned is not None)
+    return _with_customer_counts(t, _customer_rows(t, q, segment, assigned, mode), prefilter=filtered)
 
 
 def opportunity_list(t, q: str = "", stage: str = "", employee=None, mode: str = "binary") -> DataFrame:
@@ -147,24 +156,38 @@ def activity_log(t, q: str = "", action: str = "", module: str = "", mode: str =
                  search(["Username", "FullName", "Description"], q, mode))
 
 
+# list -> (rows before late columns, order, page size, late columns for a page)
 LISTS = {
-    "customers": (customer_list, CUSTOMER_ORDER, DEFAULT_PER_PAGE),
-    "opportunities": (opportunity_list, OPPORTUNITY_ORDER, DEFAULT_PER_PAGE),
-    "interactions": (interaction_list, INTERACTION_ORDER, DEFAULT_PER_PAGE),
-    "tickets": (ticket_list, TICKET_ORDER, DEFAULT_PER_PAGE),
-    "activity": (activity_log, ACTIVITY_ORDER, ACTIVITY_PER_PAGE),
+    "customers": (_customer_rows, CUSTOMER_ORDER, DEFAULT_PER_PAGE,
+                  lambda t, page: _with_customer_counts(t, page, prefilter=True)),
+    "opportunities": (opportunity_list, OPPORTUNITY_ORDER, DEFAULT_PER_PAGE, None),
+    "interactions": (interaction_list, INTERACTION_ORDER, DEFAULT_PER_PAGE, None),
+    "tickets": (ticket_list, TICKET_ORDER, DEFAULT_PER_PAGE, None),
+    "activity": (activity_log, ACTIVITY_ORDER, ACTIVITY_PER_PAGE, None),
 }
 
 
+def paged(lists: dict, t, which: str, page: int = 1, **params) -> DataFrame:
+    """The requested (clamped) page of a list. Columns that neither
+    filter nor order the list (child counts, balances) are computed after
+    paging, for the page's keys only."""
+    fn, order, per_page, late = lists[which]
+    rows = paginate(fn(t, **params), order, page, per_page)
+    if late is None:
+        return rows
+    # the page (<= per_page rows) feeds both the key set and the parent side:
+    # materialise it once in the shared checkpoint folder
+    return late(t, cut_lineage(rows))
+
+
 def list_page(t, which: str, page: int = 1, **params) -> DataFrame:
-    """O8 over one of the lists: the requested (clamped) page's rows."""
-    fn, order, per_page = LISTS[which]
-    return paginate(fn(t, **params), order, page, per_page)
+    """O8 over one of the CRM lists."""
+    return paged(LISTS, t, which, page, **params)
 
 
 def list_page_meta(t, which: str, page: int = 1, **params) -> DataFrame:
-    """O8/O9 metadata row of a list page."""
-    fn, _, per_page = LISTS[which]
+    """O8/O9 metadata row of a list page (counts the list without late columns)."""
+    fn, _, per_page, _ = LISTS[which]
     return page_meta(fn(t, **params), page, per_page)
 
 

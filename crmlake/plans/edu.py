@@ -19,7 +19,7 @@ from crmlake.functions.scalars import (debt_flag, fmt_date, fmt_money, is_full,
 from crmlake.operators.aggregates import (Child, attach_children, combine_rows,
                                           distinct_count, null_safe_sum, with_balance)
 from crmlake.operators.joins import lookup
-from crmlake.operators.paging import DEFAULT_PER_PAGE, page_meta, paginate, top_n
+from crmlake.operators.paging import DEFAULT_PER_PAGE, page_meta, top_n
 
 # Fixed status groups used by the reference's edu pages.
 CLASS_OPEN = ["Ongoing", "Upcoming"]
@@ -54,15 +54,24 @@ def _class_and_course(df: DataFrame, t, class_cols: dict[str, str], course_cols:
 
 
 # ---- lists ------------------------------------------------------------------------
-def student_list(t, q: str = "", status: str = "", source: str = "", mode: str = "binary") -> DataFrame:
-    """Q16: students with assigned staff and distinct enrollment count."""
+def _student_rows(t, q: str = "", status: str = "", source: str = "", mode: str = "binary") -> DataFrame:
+    """Q16 without the enrollment count (filters and order use student columns)."""
     preds = [search(["FullName", "Email", "Phone"], q, mode), facet("Status", status),
              facet("Source", source)]
     s = where(t.students, *preds)
-    s = lookup(s, t.staff, "AssignedTo", "StaffID", {"FullName": "staff_name"}, "left")
-    return attach_children(s, "StudentID", [
+    return lookup(s, t.staff, "AssignedTo", "StaffID", {"FullName": "staff_name"}, "left")
+
+
+def _with_enroll_count(t, rows: DataFrame, prefilter: bool) -> DataFrame:
+    return attach_children(rows, "StudentID", [
         Child(t.enrollments, "StudentID", {"enroll_count": distinct_count("EnrollmentID")})],
-        prefilter=any(p is not None for p in preds))
+        prefilter=prefilter)
+
+
+def student_list(t, q: str = "", status: str = "", source: str = "", mode: str = "binary") -> DataFrame:
+    """Q16: students with assigned staff and distinct enrollment count."""
+    filtered = bool((q or "").strip() or status or source)
+    return _with_enroll_count(t, _student_rows(t, q, status, source, mode), prefilter=filtered)
 
 
 def class_list(t, q: str = "", status: str = "", mode: str = "binary") -> DataFrame:
@@ -80,14 +89,19 @@ def course_list(t, q: str = "", category: str = "", mode: str = "binary") -> Dat
                  facet("Category", category))
 
 
-def enrollment_list(t, q: str = "", status: str = "", mode: str = "binary") -> DataFrame:
-    """Q25: enrollments with student, class, course, staff, paid and remaining."""
+def _enrollment_rows(t, q: str = "", status: str = "", mode: str = "binary") -> DataFrame:
+    """Q25 without paid/remaining (filters and order do not use them)."""
     e = where(t.enrollments, facet("Status", status))
     e = lookup(e, t.students, "StudentID", "StudentID", {"FullName": "student"}, "inner")
     e = _class_and_course(e, t, {"ClassName": "ClassName"}, {"CourseName": "CourseName"})
     e = lookup(e, t.staff, "StaffID", "StaffID", {"FullName": "staff"}, "left")
-    e = where(e, search(["student", "ClassName"], q, mode, skip_blank=False))
-    return with_balance(e, "EnrollmentID", "FinalFee", t.payments, "EnrollmentID", "Amount")
+    return where(e, search(["student", "ClassName"], q, mode, skip_blank=False))
+
+
+def enrollment_list(t, q: str = "", status: str = "", mode: str = "binary") -> DataFrame:
+    """Q25: enrollments with student, class, course, staff, paid and remaining."""
+    return with_balance(_enrollment_rows(t, q, status, mode), "EnrollmentID", "FinalFee",
+                        t.payments, "EnrollmentID", "Amount")
 
 
 def payment_ledger(t, q: str = "", mode: str = "binary") -> DataFrame:
@@ -116,24 +130,29 @@ def feedback_list(t, q: str = "", status: str = "", mode: str = "binary") -> Dat
     return where(f, search(["student", "Subject"], q, mode, skip_blank=False))
 
 
+# list -> (rows before late columns, order, page size, late columns for a page)
 LISTS = {
-    "students": (student_list, STUDENT_ORDER, DEFAULT_PER_PAGE),
-    "classes": (class_list, CLASS_ORDER, DEFAULT_PER_PAGE),
-    "courses": (course_list, COURSE_ORDER, DEFAULT_PER_PAGE),
-    "enrollments": (enrollment_list, ENROLLMENT_ORDER, DEFAULT_PER_PAGE),
-    "payments": (payment_ledger, PAYMENT_ORDER, DEFAULT_PER_PAGE),
-    "consultations": (consultation_list, CONSULT_ORDER, DEFAULT_PER_PAGE),
-    "feedbacks": (feedback_list, FEEDBACK_ORDER, DEFAULT_PER_PAGE),
+    "students": (_student_rows, STUDENT_ORDER, DEFAULT_PER_PAGE,
+                 lambda t, page: _with_enroll_count(t, page, prefilter=True)),
+    "classes": (class_list, CLASS_ORDER, DEFAULT_PER_PAGE, None),
+    "courses": (course_list, COURSE_ORDER, DEFAULT_PER_PAGE, None),
+    "enrollments": (_enrollment_rows, ENROLLMENT_ORDER, DEFAULT_PER_PAGE,
+                    lambda t, page: with_balance(page, "EnrollmentID", "FinalFee", t.payments,
+                                                 "EnrollmentID", "Amount", prefilter=True)),
+    "payments": (payment_ledger, PAYMENT_ORDER, DEFAULT_PER_PAGE, None),
+    "consultations": (consultation_list, CONSULT_ORDER, DEFAULT_PER_PAGE, None),
+    "feedbacks": (feedback_list, FEEDBACK_ORDER, DEFAULT_PER_PAGE, None),
 }
 
 
 def list_page(t, which: str, page: int = 1, **params) -> DataFrame:
-    fn, order, per_page = LISTS[which]
-    return paginate(fn(t, **params), order, page, per_page)
+    """O8 over one of the edu lists (late columns for the page only)."""
+    from crmlake.plans.crm import paged
+    return paged(LISTS, t, which, page, **params)
 
 
 def list_page_meta(t, which: str, page: int = 1, **params) -> DataFrame:
-    fn, _, per_page = LISTS[which]
+    fn, _, per_page, _ = LISTS[which]
     return page_meta(fn(t, **params), page, per_page)
 
 
