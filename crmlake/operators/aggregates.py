@@ -114,10 +114,6 @@ def attach_children(parent: DataFrame, parent_key: str, children: list[Child],
     return out.fillna({k: v for k, v in fills.items() if v is not None}) if fills else out
 
 
-def amount_by(df: DataFrame, fk: str, amount: str, name: str = "paid") -> DataFrame:
-    """``SELECT fk, SUM(amount) AS paid FROM child GROUP BY fk``."""
-    return df.groupBy(F.col(fk).alias("__fk")).agg(F.sum(amount).alias(name))
-
 
 def with_balance(parent: DataFrame, key: str, fee: str, child: DataFrame, fk: str,
                  amount: str, paid: str = "paid", remaining: str = "remaining",
