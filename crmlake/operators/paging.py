@@ -9,12 +9,16 @@ reproducible.
 * shallow pages (``page * per_page <= shallow_limit``): a top-K
   (``TakeOrderedAndProject``): each task keeps its best K rows, one task
   merges at most K rows per task; K is bounded by ``shallow_limit``.
-* deep pages: a distributed position. The list is globally sorted (range
-  partitioned), checkpointed to the shared checkpoint folder so that both
-  uses below see identical partitions, and numbered as
-  ``offset(partition) + position inside partition``; the offsets table has
-  one row per partition (a proven bound) and is broadcast. No step moves the
-  whole list into one task.
+* deep pages: a distributed position over the *sort keys only*. The key
+  columns are globally sorted (range partitioned), checkpointed to the
+  shared checkpoint folder so that both uses see identical partitions, and
+  numbered as ``offset(partition) + position inside partition`` (the offsets
+  table has one row per partition, a proven bound, and is broadcast). The
+  page's keys (at most ``per_page`` groups) are then broadcast to fetch the
+  full rows in one pass over the list. Rows that tie on every sort key are
+  interchangeable; the copies of a group that straddles a page boundary are
+  numbered by all their columns so consecutive pages take disjoint copies.
+  No step moves the whole list into one task.
 
 The page number is clamped to ``[1, pages]`` with
 ``pages = max(1, ceil(total / per_page))`` as the reference does.
@@ -25,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crmlake.operators.joins import is_bounded
 from crmlake.sources.sinks import cut_lineage
 
 DEFAULT_PER_PAGE = 10
@@ -81,7 +86,8 @@ def paginate(df: DataFrame, order, page: int = 1,
              per_page: int = DEFAULT_PER_PAGE, shallow_limit: int = SHALLOW_LIMIT) -> DataFrame:
     """The rows of one page, with ``row_num`` (position in the full list)
     and ``page`` (the clamped page number) columns."""
-    order = order_spec(*order)
+    specs = list(order)
+    order = order_spec(*specs)
     page = max(1, int(page))
     need = page * per_page
     if need <= shallow_limit:
@@ -94,14 +100,88 @@ def paginate(df: DataFrame, order, page: int = 1,
                       F.least(F.lit(page).cast("long"), _pages(F.col("__seen"), per_page)))
                .otherwise(F.lit(page).cast("long")))
     else:
-        numbered = global_index(df, order, "row_num", total_name="__seen")
-        eff = F.least(F.lit(page).cast("long"), _pages(F.col("__seen"), per_page))
+        return _deep_page(df, specs, page, per_page)
     out = numbered.withColumn("page", eff)
     out = out.filter((F.col("row_num") > (F.col("page") - 1) * per_page)
                      & (F.col("row_num") <= F.col("page") * per_page))
     return out.drop("__seen")
 
 
+def _spec_names(specs) -> list[str] | None:
+    """Column names of name / (name, direction) sort specs; None when a spec
+    is an arbitrary Column expression."""
+    names = []
+    for sp in specs:
+        if isinstance(sp, str):
+            names.append(sp)
+        elif isinstance(sp, tuple):
+            names.append(sp[0])
+        else:
+            return None
+    return names
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """Inner join on ``cols`` (present on both sides) treating NULL = NULL."""
+    r = right.select(*[F.col(c).alias("__r" + c) if c in cols else F.col(c) for c in right.columns])
+    cond = None
+    for c in cols:
+        eq = left[c].eqNullSafe(r["__r" + c])
+        cond = eq if cond is None else cond & eq
+    return left.join(r, cond, "inner").drop(*["__r" + c for c in cols])
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
+    cond = None
+    for k in keys:
+        eq = left[k].eqNullSafe(right[prefix + k])
+        cond = eq if cond is None else cond & eq
+    return cond
+
+
+def _deep_page(df: DataFrame, specs, page: int, per_page: int) -> DataFrame:
+    order = order_spec(*specs)
+    keys = _spec_names(specs)
+    if keys is None:  # expression sort keys: number the full rows instead
+        numbered = global_index(df, order, "row_num", total_name="__seen")
+        eff = F.least(F.lit(page).cast("long"), _pages(F.col("__seen"), per_page))
+        out = numbered.withColumn("page", eff)
+        return out.filter((F.col("row_num") > (F.col("page") - 1) * per_page)
+                          & (F.col("row_num") <= F.col("page") * per_page)).drop("__seen")
+    idx = global_index(df.select(*keys), order, "__pos", total_name="__seen")
+    eff = F.least(F.lit(page).cast("long"), _pages(F.col("__seen"), per_page))
+    in_page = (idx.withColumn("page", eff)
+               .filter((F.col("__pos") > (F.col("page") - 1) * per_page)
+                       & (F.col("__pos") <= F.col("page") * per_page)))
+    # one row per distinct key tuple on the page: at most per_page rows
+    groups = in_page.groupBy(*keys).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"),
+                                        F.max("page").alias("page"))
+    groups = F.broadcast(groups.select(*[F.col(k).alias("__g_" + k) for k in keys],
+                                       "__first", "__n", "page"))
+    # global first position of those groups (their copies may start on an earlier page)
+    starts = (idx.join(groups, _same_keys(idx, groups, keys, "__g_"), "inner")
+              .groupBy(*[F.col("__g_" + k) for k in keys]).agg(F.min("__pos").alias("__g0")))
+    meta = F.broadcast(_join_null_safe(groups, starts, [f"__g_{k}" for k in keys]))
+    cand = df.join(meta, _same_keys(df, meta, keys, "__g_"), "inner")
+    # number the candidate copies of each group by all their columns
+    others = [c for c in df.columns if c not in keys]
+    full_order = order + [F.col(c).asc() for c in others]
+    cand = cut_lineage(cand)
+    if is_bounded(cand, SHALLOW_LIMIT):  # the usual case: about per_page rows
+        group = Window.partitionBy(*[F.col("__g_" + k) for k in keys]).orderBy(*full_order)
+        ranked = cand.withColumn("__rank", F.row_number().over(group))
+    else:  # huge tie groups: distributed numbering
+        ranked = global_index(cand, full_order, "__c")
+        firsts = F.broadcast(ranked.groupBy(*[F.col("__g_" + k) for k in keys]).agg(F.min("__c").alias("__c0")))
+        ranked = _join_null_safe(ranked, firsts, [f"__g_{k}" for k in keys])
+        ranked = ranked.withColumn("__rank", F.col("__c") - F.col("__c0") + 1)
+    rank = F.col("__rank")
+    skip = F.col("__first") - F.col("__g0")
+    out = (ranked.filter((rank > skip) & (rank <= skip + F.col("__n")))
+           .withColumn("row_num", F.col("__first") + rank - skip - 1))
+    return out.select(*df.columns, "row_num", "page")
+
+
 def page_meta(df: DataFrame, page: int = 1, per_page: int = DEFAULT_PER_PAGE) -> DataFrame:
     """One row: page, pages, total, per_page, has_prev, has_next and
     the "showing first-last of total" range."""

@@ -178,3 +178,20 @@ def test_broadcast_only_under_the_bound(spark):
     assert "Broadcast" in plan
     assert bounded_broadcast(dim, 10) is dim  # over the bound: returned unhinted
     assert small.count() == 1000
+
+
+def test_deep_pages_split_duplicate_key_groups(spark):
+    # 9 rows tie on the sort key g=1 and differ only in v; pages of 4 cut the group
+    vals = [(0, 10)] + [(None, v) for v in range(9)] + [(2, 20), (2, 21)]
+    df = spark.createDataFrame(vals, "g int, v int")
+    seen = []
+    for p in range(1, 4):
+        page = rows(Pg.paginate(df, ["g"], p, 4, shallow_limit=0), "row_num", "g", "v")
+        assert sorted(r[0] for r in page) == list(range((p - 1) * 4 + 1, min(p * 4, 12) + 1))
+        seen += [(r[1], r[2]) for r in page]
+    assert sorted(seen, key=str) == sorted(vals, key=str)
+    # positions agree with the shallow (top-K) strategy on the key order
+    for p in range(1, 4):
+        deep = sorted(r[:2] for r in rows(Pg.paginate(df, ["g"], p, 4, shallow_limit=0), "row_num", "g"))
+        top = sorted(r[:2] for r in rows(Pg.paginate(df, ["g"], p, 4), "row_num", "g"))
+        assert deep == top
