@@ -2,15 +2,18 @@
 lineage cuts that survive executor loss.
 
 A table lives under ``root`` as immutable versions ``root/v=<n>`` plus a
-one-line pointer ``root/_current``. Writers add a new version and then move
-the pointer, so readers see either the old or the new snapshot (the
-multi-table change sets of the maintenance operators are staged this way and
-swapped by the caller). Everything goes through the DataFrame writer, so the
-paths may be HDFS/S3/ABFS.
+one-line pointer ``root/_current``. Writers finish a new version before they
+rewrite the pointer, so a reader never sees a partly written version; a
+reader that finds no pointer (it is being rewritten) falls back to the newest
+version that has committed data files. Multi-table change sets of the
+maintenance operators are staged this way and switched by the caller.
+Everything goes through the DataFrame writer, so the paths may be
+HDFS/S3/ABFS.
 """
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark import StorageLevel
@@ -33,10 +36,19 @@ def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = No
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    pointer = spark.read.text(f"{root.rstrip('/')}/_current").first()
-    if pointer is None:
+    root = root.rstrip("/")
+    try:
+        pointer = spark.read.text(f"{root}/_current").first()
+    except Exception:  # noqa: BLE001 - pointer missing or being rewritten
+        pointer = None
+    if pointer is not None:
+        return spark.read.parquet(pointer[0])
+    # newest version with committed data files (file listing only, no data read)
+    versions = {int(m.group(1)) for f in spark.read.parquet(root).inputFiles()
+                if (m := re.search(r"/v=(\d+)/", f))}
+    if not versions:
         raise FileNotFoundError(f"no snapshot under {root}")
-    return spark.read.parquet(pointer[0])
+    return spark.read.parquet(f"{root}/v={max(versions)}")
 
 
 def append_rows(df: DataFrame, root: str) -> None:

@@ -137,3 +137,14 @@ def test_tableset_reads_contract_folders(spark, seed, tmp_path):
     v1 = write_snapshot(ts.customers, f"{root}/snap")
     v2 = write_snapshot(ts.customers.limit(3), f"{root}/snap")
     assert v1 != v2 and read_snapshot(spark, f"{root}/snap").count() == 3
+
+
+def test_snapshot_read_falls_back_to_newest_complete_version(spark, seed, tmp_path):
+    from crmlake.sources.sinks import read_snapshot, write_snapshot
+    root = str(tmp_path / "snap")
+    write_snapshot(seed.customers, root)
+    write_snapshot(seed.customers.limit(2), root)
+    # pointer gone (e.g. mid-rewrite): the newest finished version is read
+    import shutil
+    shutil.rmtree(f"{tmp_path}/snap/_current")
+    assert read_snapshot(spark, root).count() == 2
