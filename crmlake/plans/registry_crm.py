@@ -187,7 +187,8 @@ _Q8_DEEP = page_ctes(OPPORTUNITY_LIST_SQL.format(where=""), OPPORTUNITY_ORDER_SQ
           PAGE_SELECT.format(per_page=10), ctes=_Q8_DEEP)
 def q08d(t):
     """Q8 a deep page of the full opportunity list via the distributed
-    position strategy (checkpointed global sort + per-partition offsets)."""
+    strategy (sort keys numbered by a checkpointed global sort and
+    per-partition offsets, page rows fetched by broadcast keys)."""
     from crmlake.operators.paging import paginate
     return paginate(crm.opportunity_list(t), crm.OPPORTUNITY_ORDER, P.DEEP_PAGE, 10, shallow_limit=1000)
 
