@@ -124,3 +124,56 @@ def audit_sql(views: dict[str, str], present: dict[str, list[str]],
                     f"(SELECT {pkey} FROM {views[parent]} WHERE {pkey} IS NOT NULL)")
         out.append(f"{head}, {body}")
     return "\nUNION ALL\n".join(out)
+
+
+def audit_violations(tables: dict[str, DataFrame], contracts: dict[str, Table] = TABLES) -> DataFrame:
+    """The offending values behind every finding, one row each: duplicated
+    key values, orphaned foreign-key values, and the row key of rows that
+    break a NOT NULL or length rule (``value`` as text)."""
+    parts = []
+    for c in plan_checks({n: df.columns for n, df in tables.items()}, contracts):
+        df = tables[c.table]
+        key = contracts[c.table].key
+        head = [F.lit(c.table).alias("table_name"), F.lit(c.kind).alias("check_name"),
+                F.lit(c.column).alias("column_name")]
+        if c.kind in ("primary_key", "unique"):
+            vals = (df.filter(F.col(c.column).isNotNull()).groupBy(c.column)
+                    .agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+                    .select(*head, F.col(c.column).cast("string").alias("value"), "rows"))
+        elif c.kind == "foreign_key":
+            parent, pkey = c.arg
+            used = (df.filter(F.col(c.column).isNotNull()).groupBy(F.col(c.column).alias("__fk"))
+                    .agg(F.count(F.lit(1)).alias("rows")))
+            keys = tables[parent].select(F.col(pkey).alias("__pk")).filter(F.col("__pk").isNotNull()).distinct()
+            keys = bounded_broadcast(keys, bound_by=tables[parent])
+            vals = (used.join(keys, used["__fk"] == keys["__pk"], "left_anti")
+                    .select(*head, F.col("__fk").cast("string").alias("value"), "rows"))
+        else:
+            bad = F.col(c.column).isNull() if c.kind == "not_null" else F.length(c.column) > c.arg
+            vals = (df.filter(bad).groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("rows"))
+                    .select(*head, F.col("__k").cast("string").alias("value"), "rows"))
+        parts.append(vals)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def violations_sql(views: dict[str, str], present: dict[str, list[str]],
+                   contracts: dict[str, Table] = TABLES) -> str:
+    """``audit_violations`` as plain SQL over named views (oracle side)."""
+    out = []
+    for c in plan_checks(present, contracts):
+        v = views[c.table]
+        key = contracts[c.table].key
+        head = f"SELECT '{c.table}' AS table_name, '{c.kind}' AS check_name, '{c.column}' AS column_name"
+        if c.kind in ("primary_key", "unique"):
+            out.append(f"{head}, CAST({c.column} AS VARCHAR) AS value, count(*) AS rows FROM {v} "
+                       f"WHERE {c.column} IS NOT NULL GROUP BY {c.column} HAVING count(*) > 1")
+        elif c.kind == "foreign_key":
+            parent, pkey = c.arg
+            out.append(f"{head}, CAST({c.column} AS VARCHAR) AS value, count(*) AS rows FROM {v} "
+                       f"WHERE {c.column} IS NOT NULL AND {c.column} NOT IN "
+                       f"(SELECT {pkey} FROM {views[parent]} WHERE {pkey} IS NOT NULL) GROUP BY {c.column}")
+        else:
+            cond = f"{c.column} IS NULL" if c.kind == "not_null" else f"length({c.column}) > {c.arg}"
+            out.append(f"{head}, CAST({key} AS VARCHAR) AS value, count(*) AS rows FROM {v} "
+                       f"WHERE {cond} GROUP BY {key}")
+    return "\nUNION ALL\n".join(out)

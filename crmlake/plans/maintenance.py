@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from crmlake.operators import mutations as M
 from crmlake.operators.aggregates import combine_rows
-from crmlake.operators.audit import integrity_audit
+from crmlake.operators.audit import audit_violations, integrity_audit
 from crmlake.sources import schemas as S
 
 # Contract name -> binding name of every audited table.
@@ -144,6 +144,11 @@ def audit(t) -> DataFrame:
     return integrity_audit({name: t.view(view) for name, view in AUDITED.items()})
 
 
+def audit_details(t) -> DataFrame:
+    """The offending values behind every audit finding."""
+    return audit_violations({name: t.view(view) for name, view in AUDITED.items()})
+
+
 def log_ticket_activity(t, as_of) -> DataFrame:
     """S15 (batch): activity entries appended with new LogIDs."""
     return M.append_activity(t.activity, t.view("c_ticket_activity"), S.ACTIVITY_LOG, as_of,

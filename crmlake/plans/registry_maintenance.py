@@ -7,7 +7,7 @@ tables). Snapshot outputs are compared whole; surrogate keys in SQL are
 
 from __future__ import annotations
 
-from crmlake.operators.audit import audit_sql
+from crmlake.operators.audit import audit_sql, violations_sql
 from crmlake.plans import maintenance as MT
 from crmlake.plans import params as P
 from crmlake.plans.catalog import register
@@ -195,6 +195,13 @@ def s14(t):
     return MT.audit(t)
 
 
+@register("s14_integrity_violations", list(MT.AUDITED.values()),
+          violations_sql(dict(MT.AUDITED), {n: binding_columns(v) for n, v in MT.AUDITED.items()}))
+def s14v(t):
+    """S14 the offending values behind each finding (duplicate and orphan keys, bad rows)."""
+    return MT.audit_details(t)
+
+
 @register("s15_append_activity", ["b_activity", "c_ticket_activity"], """
 SELECT * FROM b_activity
 UNION ALL

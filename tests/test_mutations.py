@@ -148,3 +148,14 @@ def test_snapshot_read_falls_back_to_newest_complete_version(spark, seed, tmp_pa
     import shutil
     shutil.rmtree(f"{tmp_path}/snap/_current")
     assert read_snapshot(spark, root).count() == 2
+
+
+def test_audit_violations_list_the_offending_values(spark):
+    from crmlake.operators.audit import audit_violations
+    emp = spark.createDataFrame([(1, "A"), (1, "B"), (2, None)], "EmployeeID long, FullName string")
+    cust = spark.createDataFrame([(1, "C", 9), (2, "D", 1), (3, "E", 9)],
+                                 "CustomerID long, FullName string, AssignedTo long")
+    got = sorted(rows(audit_violations({"Employees": emp, "Customers": cust})))
+    assert got == [("Customers", "foreign_key", "AssignedTo", "9", 2),
+                   ("Employees", "not_null", "FullName", "2", 1),
+                   ("Employees", "primary_key", "EmployeeID", "1", 2)]
