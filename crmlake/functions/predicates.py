@@ -25,16 +25,24 @@ def clean_query(q: str | None) -> str:
     return (q or "").strip()
 
 
-def facet(column: str | Column, value) -> Column | None:
-    """``AND col = value`` only when a value was given (non-empty)."""
+def facet(column: str | Column, value, mode: str = "binary") -> Column | None:
+    """``AND col = value`` only when a value was given (non-empty).
+
+    ``mode='ci'`` ignores case; ``mode='ci_ai'`` compares text as the
+    reference's database collation does (case, accents and trailing spaces
+    ignored)."""
     if value is None or (isinstance(value, str) and value == ""):
         return None
+    if mode == "ci_ai" and isinstance(value, str):
+        return F.collate(_c(column), ACCENT_COLLATION) == F.lit(value)
+    if mode == "ci" and isinstance(value, str):
+        return F.lower(_c(column)) == F.lit(value.lower())
     return _c(column) == F.lit(value)
 
 
-def facets(values: dict) -> Column | None:
+def facets(values: dict, mode: str = "binary") -> Column | None:
     """conjunction of the non-empty facet equalities."""
-    return all_of(*[facet(col, val) for col, val in values.items()])
+    return all_of(*[facet(col, val, mode) for col, val in values.items()])
 
 
 def search(columns: list[str | Column], q: str | None, mode: str = "binary",

@@ -49,8 +49,14 @@ def combine_rows(*rows: DataFrame) -> DataFrame:
     return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
 
 
-def count_by(df: DataFrame, keys: list[str], name: str = "count") -> DataFrame:
-    """``GROUP BY keys`` with ``COUNT(*)``."""
+def count_by(df: DataFrame, keys: list[str], name: str = "count", collation: str | None = None) -> DataFrame:
+    """``GROUP BY keys`` with ``COUNT(*)``. With a ``collation`` (e.g.
+    ``UNICODE_CI_AI_RTRIM``) text keys group as the reference's database does:
+    'SMB', 'smb ' and 'Smb' form one group."""
+    if collation:
+        text = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
+        cols = [F.collate(F.col(k), collation).alias(k) if k in text else F.col(k) for k in keys]
+        return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 

@@ -104,7 +104,7 @@ def global_search(t, q: str, per_source: int = 5, mode: str = "binary") -> DataF
 def _customer_rows(t, q: str = "", segment: str = "", assigned=None, mode: str = "binary") -> DataFrame:
     """Q5 without the child counts: filters and order use customer columns only."""
     preds = [search(["FullName", "Company", "Email", "Phone"], q, mode),
-             facet("Segment", segment), facet("AssignedTo", assigned)]
+             facet("Segment", segment, mode), facet("AssignedTo", assigned, mode)]
     c = where(t.customers, *preds)
     return lookup(c, t.employees, "AssignedTo", "EmployeeID", {"FullName": "employee_name"}, "left")
 
@@ -124,7 +124,7 @@ def customer_list(t, q: str = "", segment: str = "", assigned=None, mode: str =
 
 def opportunity_list(t, q: str = "", stage: str = "", employee=None, mode: str = "binary") -> DataFrame:
     """Q8: opportunities with customer, company, owner and product names."""
-    o = where(t.opportunities, facet("Stage", stage), facet("EmployeeID", employee))
+    o = where(t.opportunities, facet("Stage", stage, mode), facet("EmployeeID", employee, mode))
     o = lookup(o, t.customers, "CustomerID", "CustomerID",
                {"FullName": "customer", "Company": "Company"}, "inner")
     o = lookup(o, t.employees, "EmployeeID", "EmployeeID", {"FullName": "employee"}, "inner")
@@ -134,7 +134,7 @@ def opportunity_list(t, q: str = "", stage: str = "", employee=None, mode: str =
 
 def interaction_list(t, q: str = "", itype: str = "", mode: str = "binary") -> DataFrame:
     """Q9: interactions with customer, company and employee names."""
-    i = where(t.interactions, facet("Type", itype))
+    i = where(t.interactions, facet("Type", itype, mode))
     i = lookup(i, t.customers, "CustomerID", "CustomerID",
                {"FullName": "customer", "Company": "Company"}, "inner")
     i = lookup(i, t.employees, "EmployeeID", "EmployeeID", {"FullName": "employee"}, "inner")
@@ -143,7 +143,7 @@ def interaction_list(t, q: str = "", itype: str = "", mode: str = "binary") -> D
 
 def ticket_list(t, q: str = "", status: str = "", priority: str = "", mode: str = "binary") -> DataFrame:
     """Q10: tickets with customer, company and (optional) assignee."""
-    k = where(t.tickets, facet("Status", status), facet("Priority", priority))
+    k = where(t.tickets, facet("Status", status, mode), facet("Priority", priority, mode))
     k = lookup(k, t.customers, "CustomerID", "CustomerID",
                {"FullName": "customer", "Company": "Company"}, "inner")
     k = lookup(k, t.employees, "EmployeeID", "EmployeeID", {"FullName": "employee"}, "left")
@@ -152,7 +152,7 @@ def ticket_list(t, q: str = "", status: str = "", priority: str = "", mode: str
 
 def activity_log(t, q: str = "", action: str = "", module: str = "", mode: str = "binary") -> DataFrame:
     """Q43: activity-log search (facets first: they prune; search after)."""
-    return where(t.activity, facet("Action", action), facet("Module", module),
+    return where(t.activity, facet("Action", action, mode), facet("Module", module, mode),
                  search(["Username", "FullName", "Description"], q, mode))
 
 

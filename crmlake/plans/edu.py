@@ -56,8 +56,8 @@ def _class_and_course(df: DataFrame, t, class_cols: dict[str, str], course_cols:
 # ---- lists ------------------------------------------------------------------------
 def _student_rows(t, q: str = "", status: str = "", source: str = "", mode: str = "binary") -> DataFrame:
     """Q16 without the enrollment count (filters and order use student columns)."""
-    preds = [search(["FullName", "Email", "Phone"], q, mode), facet("Status", status),
-             facet("Source", source)]
+    preds = [search(["FullName", "Email", "Phone"], q, mode), facet("Status", status, mode),
+             facet("Source", source, mode)]
     s = where(t.students, *preds)
     return lookup(s, t.staff, "AssignedTo", "StaffID", {"FullName": "staff_name"}, "left")
 
@@ -77,7 +77,7 @@ def student_list(t, q: str = "", status: str = "", source: str = "", mode: str =
 def class_list(t, q: str = "", status: str = "", mode: str = "binary") -> DataFrame:
     """Q23: classes with course name, category, fee and teacher. A blank
     search is no filter (the reference's blank-search branch errors)."""
-    c = where(t.classes, facet("Status", status))
+    c = where(t.classes, facet("Status", status, mode))
     c = _with_course(c, t, {"CourseName": "CourseName", "Category": "Category", "Fee": "Fee"})
     c = lookup(c, t.staff, "TeacherID", "StaffID", {"FullName": "teacher"}, "left")
     return where(c, search(["ClassName", "CourseName"], q, mode))
@@ -86,12 +86,12 @@ def class_list(t, q: str = "", status: str = "", mode: str = "binary") -> DataFr
 def course_list(t, q: str = "", category: str = "", mode: str = "binary") -> DataFrame:
     """Q24: courses; the search always applies (``LIKE '%%'`` when blank)."""
     return where(t.courses, search(["CourseName", "Description"], q, mode, skip_blank=False),
-                 facet("Category", category))
+                 facet("Category", category, mode))
 
 
 def _enrollment_rows(t, q: str = "", status: str = "", mode: str = "binary") -> DataFrame:
     """Q25 without paid/remaining (filters and order do not use them)."""
-    e = where(t.enrollments, facet("Status", status))
+    e = where(t.enrollments, facet("Status", status, mode))
     e = lookup(e, t.students, "StudentID", "StudentID", {"FullName": "student"}, "inner")
     e = _class_and_course(e, t, {"ClassName": "ClassName"}, {"CourseName": "CourseName"})
     e = lookup(e, t.staff, "StaffID", "StaffID", {"FullName": "staff"}, "left")
@@ -115,7 +115,7 @@ def payment_ledger(t, q: str = "", mode: str = "binary") -> DataFrame:
 
 def consultation_list(t, q: str = "", ctype: str = "", mode: str = "binary") -> DataFrame:
     """Q30: consultations with student name and phone and staff name."""
-    c = where(t.consultations, facet("Type", ctype))
+    c = where(t.consultations, facet("Type", ctype, mode))
     c = lookup(c, t.students, "StudentID", "StudentID", {"FullName": "student", "Phone": "Phone"}, "inner")
     c = lookup(c, t.staff, "StaffID", "StaffID", {"FullName": "staff"}, "inner")
     return where(c, search(["student", "Subject"], q, mode, skip_blank=False))
@@ -123,7 +123,7 @@ def consultation_list(t, q: str = "", ctype: str = "", mode: str = "binary") ->
 
 def feedback_list(t, q: str = "", status: str = "", mode: str = "binary") -> DataFrame:
     """Q31: feedbacks with student, class (optional) and staff (optional)."""
-    f = where(t.feedbacks, facet("Status", status))
+    f = where(t.feedbacks, facet("Status", status, mode))
     f = lookup(f, t.students, "StudentID", "StudentID", {"FullName": "student"}, "inner")
     f = lookup(f, t.classes, "ClassID", "ClassID", {"ClassName": "ClassName"}, "left")
     f = lookup(f, t.staff, "StaffID", "StaffID", {"FullName": "staff"}, "left")

@@ -195,3 +195,14 @@ def test_deep_pages_split_duplicate_key_groups(spark):
         deep = sorted(r[:2] for r in rows(Pg.paginate(df, ["g"], p, 4, shallow_limit=0), "row_num", "g"))
         top = sorted(r[:2] for r in rows(Pg.paginate(df, ["g"], p, 4), "row_num", "g"))
         assert deep == top
+
+
+def test_collation_modes_for_facets_and_grouping(spark):
+    from crmlake.operators.aggregates import count_by
+    df = spark.createDataFrame([("SMB",), ("smb ",), ("Smb",), ("Enterprise",), ("Kỹ năng",)], "s string")
+    assert df.filter(Pr.facet("s", "smb")).count() == 0
+    assert df.filter(Pr.facet("s", "smb", mode="ci_ai")).count() == 3
+    assert df.filter(Pr.facet("s", "ky nang", mode="ci_ai")).count() == 1
+    got = sorted(r[1] for r in rows(count_by(df, ["s"], collation="UNICODE_CI_AI_RTRIM")))
+    assert got == [1, 1, 3]
+    assert len(rows(count_by(df, ["s"]))) == 5
