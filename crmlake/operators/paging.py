@@ -6,9 +6,12 @@ reproducible.
 
 ``paginate`` has two physical strategies:
 
-* shallow pages (``page * per_page <= shallow_limit``): a top-K
-  (``TakeOrderedAndProject``): each task keeps its best K rows, one task
-  merges at most K rows per task; K is bounded by ``shallow_limit``.
+* shallow pages: a top-K (``TakeOrderedAndProject``) of ``K = page *
+  per_page`` rows. Each task keeps its best K rows and one task merges what
+  every partition sends, i.e. up to ``K * partitions`` rows; the top-K is
+  used only while that product stays within ``shallow_limit`` (10 M rows by
+  default), so on a list of 400 000 partitions only the first pages take
+  this path.
 * deep pages: a distributed position over the *sort keys only*. The key
   columns are globally sorted (range partitioned), checkpointed to the
   shared checkpoint folder so that both uses see identical partitions, and
@@ -34,7 +37,7 @@ from crmlake.sources.sinks import cut_lineage
 
 DEFAULT_PER_PAGE = 10
 ACTIVITY_PER_PAGE = 20
-SHALLOW_LIMIT = 100_000
+SHALLOW_LIMIT = 10_000_000  # rows the merging task of a top-K may receive
 
 
 def order_spec(*cols) -> list[Column]:
@@ -90,7 +93,8 @@ def paginate(df: DataFrame, order, page: int = 1,
     order = order_spec(*specs)
     page = max(1, int(page))
     need = page * per_page
-    if need <= shallow_limit:
+    parts = _partitions_estimate(df) if need <= shallow_limit else 0
+    if 0 < need * max(parts, 1) <= shallow_limit:
         top = df.orderBy(*order).limit(need)
         whole = Window.partitionBy(F.lit(0))
         numbered = (top.withColumn("row_num", F.row_number().over(Window.orderBy(*order)).cast("long"))
@@ -107,6 +111,14 @@ def paginate(df: DataFrame, order, page: int = 1,
     return out.drop("__seen")
 
 
+def _partitions_estimate(df: DataFrame) -> int:
+    """Upper estimate of the partitions feeding a top-K, from metadata only
+    (no job): shuffle partitions, default parallelism, or one per input file."""
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(shuffle, spark.sparkContext.defaultParallelism, len(df.inputFiles()))
+
+
 def _spec_names(specs) -> list[str] | None:
     """Column names of name / (name, direction) sort specs; None when a spec
     is an arbitrary Column expression."""
