@@ -129,30 +129,44 @@ def audit_sql(views: dict[str, str], present: dict[str, list[str]],
 def audit_violations(tables: dict[str, DataFrame], contracts: dict[str, Table] = TABLES) -> DataFrame:
     """The offending values behind every finding, one row each: duplicated
     key values, orphaned foreign-key values, and the row key of rows that
-    break a NOT NULL or length rule (``value`` as text)."""
+    break a NOT NULL or length rule (``value`` as text).
+
+    Per table, all NOT NULL and length rules share one pass: rows breaking
+    any rule are kept, the broken rules exploded, and counted per row key.
+    """
+    checks = plan_checks({n: df.columns for n, df in tables.items()}, contracts)
     parts = []
-    for c in plan_checks({n: df.columns for n, df in tables.items()}, contracts):
-        df = tables[c.table]
-        key = contracts[c.table].key
-        head = [F.lit(c.table).alias("table_name"), F.lit(c.kind).alias("check_name"),
-                F.lit(c.column).alias("column_name")]
-        if c.kind in ("primary_key", "unique"):
-            vals = (df.filter(F.col(c.column).isNotNull()).groupBy(c.column)
-                    .agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
-                    .select(*head, F.col(c.column).cast("string").alias("value"), "rows"))
-        elif c.kind == "foreign_key":
-            parent, pkey = c.arg
-            used = (df.filter(F.col(c.column).isNotNull()).groupBy(F.col(c.column).alias("__fk"))
-                    .agg(F.count(F.lit(1)).alias("rows")))
-            keys = tables[parent].select(F.col(pkey).alias("__pk")).filter(F.col("__pk").isNotNull()).distinct()
-            keys = bounded_broadcast(keys, bound_by=tables[parent])
-            vals = (used.join(keys, used["__fk"] == keys["__pk"], "left_anti")
-                    .select(*head, F.col("__fk").cast("string").alias("value"), "rows"))
-        else:
-            bad = F.col(c.column).isNull() if c.kind == "not_null" else F.length(c.column) > c.arg
-            vals = (df.filter(bad).groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("rows"))
-                    .select(*head, F.col("__k").cast("string").alias("value"), "rows"))
-        parts.append(vals)
+    for name, df in tables.items():
+        key = contracts[name].key
+        mine = [c for c in checks if c.table == name]
+        row_rules = [c for c in mine if c.kind in ("not_null", "max_length")]
+        if row_rules:
+            bad = [F.col(c.column).isNull() if c.kind == "not_null" else F.length(c.column) > c.arg
+                   for c in row_rules]
+            broken = F.filter(F.array(*[F.when(b, F.struct(F.lit(c.kind).alias("check_name"),
+                                                           F.lit(c.column).alias("column_name")))
+                                        for b, c in zip(bad, row_rules)]), lambda x: x.isNotNull())
+            parts.append(df.filter(reduce(lambda a, b: a | b, bad))
+                         .select(F.col(key).alias("__k"), F.explode(broken).alias("__r"))
+                         .groupBy("__r.check_name", "__r.column_name", "__k")
+                         .agg(F.count(F.lit(1)).alias("rows"))
+                         .select(F.lit(name).alias("table_name"), "check_name", "column_name",
+                                 F.col("__k").cast("string").alias("value"), "rows"))
+        for c in mine:
+            head = [F.lit(c.table).alias("table_name"), F.lit(c.kind).alias("check_name"),
+                    F.lit(c.column).alias("column_name")]
+            if c.kind in ("primary_key", "unique"):
+                parts.append(df.filter(F.col(c.column).isNotNull()).groupBy(c.column)
+                             .agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+                             .select(*head, F.col(c.column).cast("string").alias("value"), "rows"))
+            elif c.kind == "foreign_key":
+                parent, pkey = c.arg
+                used = (df.filter(F.col(c.column).isNotNull()).groupBy(F.col(c.column).alias("__fk"))
+                        .agg(F.count(F.lit(1)).alias("rows")))
+                keys = tables[parent].select(F.col(pkey).alias("__pk")).filter(F.col("__pk").isNotNull()).distinct()
+                keys = bounded_broadcast(keys, bound_by=tables[parent])
+                parts.append(used.join(keys, used["__fk"] == keys["__pk"], "left_anti")
+                             .select(*head, F.col("__fk").cast("string").alias("value"), "rows"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
