@@ -23,18 +23,37 @@ from pyspark.sql import functions as F
 from crmlake.session import ensure_checkpoint_dir
 
 
-def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
+def _write_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
     version = f"{root.rstrip('/')}/v={time.time_ns()}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(version)
-    spark = df.sparkSession
+    return version
+
+
+def _point(spark: SparkSession, root: str, version: str) -> None:
     (spark.createDataFrame([(version,)], "path string").coalesce(1)
      .write.mode("overwrite").text(f"{root.rstrip('/')}/_current"))
+
+
+def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
+    version = _write_version(df, root, partition_by)
+    _point(df.sparkSession, root, version)
     return version
 
 
+def commit_snapshots(snapshots: dict[str, DataFrame]) -> dict[str, str]:
+    """Stage then swap several tables (``{root: new snapshot}``), e.g. the
+    enrollments, classes and students of one enrollment batch: every new
+    version is written completely before any pointer moves, so a failure
+    while writing leaves all tables on their old versions."""
+    versions = {root: _write_version(df, root) for root, df in snapshots.items()}
+    for root, version in versions.items():
+        _point(snapshots[root].sparkSession, root, version)
+    return versions
+
+
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     root = root.rstrip("/")
     try:

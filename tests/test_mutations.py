@@ -159,3 +159,14 @@ def test_audit_violations_list_the_offending_values(spark):
     assert got == [("Customers", "foreign_key", "AssignedTo", "9", 2),
                    ("Employees", "not_null", "FullName", "2", 1),
                    ("Employees", "primary_key", "EmployeeID", "1", 2)]
+
+
+def test_commit_snapshots_stages_then_swaps(spark, seed, tmp_path):
+    from crmlake.sources.sinks import commit_snapshots, read_snapshot
+    req = spark.createDataFrame([(1, 4, 2, 1, 3500000, 0)],
+                                "seq long, StudentID long, ClassID long, StaffID long, TotalFee long, Discount long")
+    out = M.apply_enrollments(req, seed.enrollments, seed.classes, seed.students, S.ENROLLMENTS, AS_OF, ["seq"])
+    roots = {f"{tmp_path}/{name}": df for name, df in out.items()}
+    commit_snapshots(roots)
+    assert read_snapshot(spark, f"{tmp_path}/enrollments").count() == 9
+    assert read_snapshot(spark, f"{tmp_path}/classes").filter("ClassID = 2").first().CurrentStudents == 9
