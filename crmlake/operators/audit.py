@@ -7,12 +7,13 @@ table is part of the audit. Result: one row per check with ``violations``
 (offending rows) and ``keys`` (distinct duplicated or orphaned key values;
 0 for the per-row NOT NULL and length rules).
 
-Execution per table: one aggregate pass counts every NOT NULL and length
-rule (unpivoted to rows with ``inline``); each key/UNIQUE rule is one
-grouped count; each foreign key groups the child by the key first (partial
-aggregation: a key holding a third of the rows is combined inside each map
-task) and anti-joins the distinct values to the parent's keys (broadcast
-when provably small). No distinct aggregate, so no row expansion.
+Execution per table (``audit_violations``): one pass keeps the rows that
+break any NOT NULL or length rule and counts them per row key; each
+key/UNIQUE rule is one grouped count; each foreign key groups the child by
+the key first (partial aggregation: a key holding a third of the rows is
+combined inside each map task) and anti-joins the distinct values to the
+parent's keys (broadcast when provably small). ``integrity_audit``
+summarises those findings per check.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crmlake.operators.joins import bounded_broadcast
@@ -60,45 +61,23 @@ def plan_checks(present: dict[str, list[str]], contracts: dict[str, Table] = TAB
     return checks
 
 
-def _rows(checks: list[Check], values: list[tuple[Column, Column]]) -> Column:
-    """One output row per check from a single aggregate row (unpivot)."""
-    return F.inline(F.array(*[
-        F.struct(F.lit(c.table).alias("table_name"), F.lit(c.kind).alias("check_name"),
-                 F.lit(c.column).alias("column_name"), v.cast("long").alias("violations"),
-                 k.cast("long").alias("keys"))
-        for c, (v, k) in zip(checks, values)]))
-
 
 def integrity_audit(tables: dict[str, DataFrame], contracts: dict[str, Table] = TABLES) -> DataFrame:
+    """One row per check: offending rows and distinct offending key values,
+    summarised from ``audit_violations`` (checks without findings show 0)."""
     checks = plan_checks({n: df.columns for n, df in tables.items()}, contracts)
-    parts: list[DataFrame] = []
-    for name, df in tables.items():
-        mine = [c for c in checks if c.table == name]
-        column_rules = [c for c in mine if c.kind in ("not_null", "max_length")]
-        if column_rules:
-            one = df.agg(*[F.count_if(F.col(c.column).isNull() if c.kind == "not_null"
-                                      else F.length(c.column) > c.arg).alias(f"v{i}")
-                           for i, c in enumerate(column_rules)])
-            parts.append(one.select(_rows(column_rules, [(F.col(f"v{i}"), F.lit(0))
-                                                         for i in range(len(column_rules))])))
-        for c in mine:
-            if c.kind in ("primary_key", "unique"):
-                dup = (df.filter(F.col(c.column).isNotNull()).groupBy(c.column)
-                       .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
-                one = dup.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.count(F.lit(1)).alias("k"))
-                parts.append(one.select(_rows([c], [(F.col("v"), F.col("k"))])))
-            elif c.kind == "foreign_key":
-                # distinct foreign-key values with their row counts (combined map-side),
-                # then the ones without a parent
-                parent, pkey = c.arg
-                used = (df.filter(F.col(c.column).isNotNull()).groupBy(F.col(c.column).alias("__fk"))
-                        .agg(F.count(F.lit(1)).alias("n")))
-                keys = tables[parent].select(F.col(pkey).alias("__pk")).filter(F.col("__pk").isNotNull())
-                keys = bounded_broadcast(keys.distinct(), bound_by=tables[parent])
-                orphans = used.join(keys, used["__fk"] == keys["__pk"], "left_anti")
-                one = orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.count(F.lit(1)).alias("k"))
-                parts.append(one.select(_rows([c], [(F.col("v"), F.col("k"))])))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    spark = next(iter(tables.values())).sparkSession
+    listed = spark.createDataFrame([(c.table, c.kind, c.column) for c in checks],
+                                   "table_name string, check_name string, column_name string")
+    found = (audit_violations(tables, contracts)
+             .groupBy("table_name", "check_name", "column_name")
+             .agg(F.sum("rows").alias("v"), F.count(F.lit(1)).alias("k")))
+    per_row = F.col("check_name").isin("not_null", "max_length")
+    return (listed.join(found, ["table_name", "check_name", "column_name"], "left")
+            .select("table_name", "check_name", "column_name",
+                    F.coalesce(F.col("v"), F.lit(0)).cast("long").alias("violations"),
+                    F.when(per_row, F.lit(0)).otherwise(F.coalesce(F.col("k"), F.lit(0)))
+                    .cast("long").alias("keys")))
 
 
 def audit_sql(views: dict[str, str], present: dict[str, list[str]],
