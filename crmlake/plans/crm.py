@@ -100,6 +100,14 @@ def global_search(t, q: str, per_source: int = 5, mode: str = "binary") -> DataF
     return cust.unionByName(opp).unionByName(inter).unionByName(tick)
 
 
+def global_search_totals(t, q: str, per_source: int = 5, mode: str = "binary") -> DataFrame:
+    """Hits per source and their total, as the search page shows."""
+    hits = global_search(t, q, per_source, mode)
+    return hits.agg(*[F.count_if(F.col("source") == s).alias(s)
+                      for s in ("customers", "opportunities", "interactions", "tickets")],
+                    _count().alias("total"))
+
+
 # ---- lists (Q5, Q8-Q10, Q43) ----------------------------------------------------
 def _customer_rows(t, q: str = "", segment: str = "", assigned=None, mode: str = "binary") -> DataFrame:
     """Q5 without the child counts: filters and order use customer columns only."""

@@ -89,7 +89,7 @@ def q03(t):
 _S = P.SEARCH_CUSTOMER
 
 
-@register("q04_global_search", ["b_customers", "b_opportunities", "b_interactions", "b_tickets"], f"""
+GLOBAL_SEARCH_SQL = f"""
 (SELECT 'customers' AS source, CustomerID AS id, FullName AS title, Segment AS label, Company AS customer
  FROM b_customers WHERE {_like(['FullName', 'Company', 'Email'], _S)} ORDER BY CustomerID LIMIT 5)
 UNION ALL
@@ -103,12 +103,27 @@ UNION ALL
 UNION ALL
 (SELECT 'tickets', t.TicketID, t.Subject, t.Status, c.FullName
  FROM b_tickets t JOIN b_customers c ON t.CustomerID = c.CustomerID
- WHERE {_like(['t.Subject', 'c.FullName'], _S)} ORDER BY t.TicketID LIMIT 5)""")
+ WHERE {_like(['t.Subject', 'c.FullName'], _S)} ORDER BY t.TicketID LIMIT 5)"""
+
+
+@register("q04_global_search", ["b_customers", "b_opportunities", "b_interactions", "b_tickets"],
+          GLOBAL_SEARCH_SQL)
 def q04(t):
     """Q4 global search, five hits per source."""
     return crm.global_search(t, P.SEARCH_CUSTOMER)
 
 
+@register("q04_global_search_totals", ["b_customers", "b_opportunities", "b_interactions", "b_tickets"],
+          "SELECT count(*) FILTER (WHERE source = 'customers') AS customers, "
+          "count(*) FILTER (WHERE source = 'opportunities') AS opportunities, "
+          "count(*) FILTER (WHERE source = 'interactions') AS interactions, "
+          "count(*) FILTER (WHERE source = 'tickets') AS tickets, count(*) AS total "
+          "FROM (" + GLOBAL_SEARCH_SQL + ") hits")
+def q04t(t):
+    """Q4/A15 number of search hits per source and in total."""
+    return crm.global_search_totals(t, P.SEARCH_CUSTOMER)
+
+
 # ---- lists ---------------------------------------------------------------------------
 @register("q05_customer_list", ALL_CRM[:4], CUSTOMER_LIST_SQL.format(where=""))
 def q05(t):
