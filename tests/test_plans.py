@@ -4,9 +4,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
 from crmlake.operators.aggregates import Child, attach_children, distinct_count
-from crmlake.plans import crm
+from crmlake.plans import crm, registry
 from crmlake.sources.bindings import Bindings
 
 SF = "/root/testdata/sf0.001"
@@ -51,11 +50,11 @@ def test_hot_key_is_combined_map_side_and_exact(spark):
     assert got == {r[0]: (r[1], r[2]) for r in brute}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.callables()))
 def test_no_cartesian_or_python_in_plans(spark, name):
     if name.startswith("s15_activity_stream"):
         pytest.skip("streaming query: plan belongs to the micro-batches")
-    df = E.queries()[name](spark, SF)
+    df = registry.callables()[name](spark, SF)
     text = plan_of(df)
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in text, f"{name}: {bad}"
