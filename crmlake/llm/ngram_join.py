@@ -232,17 +232,17 @@ def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w),
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w),
 t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 p AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
   FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT x, y FROM p WHERE 100 * i >= 85 * (na + nb - i)),
-both AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
-r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT b.y, r.c FROM r JOIN both b ON b.x = r.doc_id AND r.c < b.y),
+linked AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT b.y, r.c FROM r JOIN linked b ON b.x = r.doc_id AND r.c < b.y),
 m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT s.doc_id, len(sh) AS n_shingles, component_id FROM s JOIN m USING (doc_id)
 """
