@@ -9,7 +9,6 @@ decoded_sha256 of the documents that are left.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from crmlake.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
 from crmlake.llm.common import documents, written
@@ -37,10 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents that are left, and a check of their decoding."""
-    out = bpe.bpe_decode(bpe.bpe_encode(docs))
-    text = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                      F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digest(bpe.bpe_round_trip(docs))
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_dedup_stage), ("ngram_join", ngram_join_stage),

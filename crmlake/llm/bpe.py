@@ -30,8 +30,8 @@ from crmlake.llm import textvec as tv
 from crmlake.llm.common import documents
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-CHUNK = 12 << 20           # bytes of text whose new words are merged together
-KEEP_WORDS = 700_000       # encoded words that a worker keeps from chunk to chunk
+CHUNK = 6 << 20            # bytes of text whose new words are merged together
+KEEP_WORDS = 300_000       # encoded words that a worker keeps from chunk to chunk
 NONE = np.int32(np.iinfo(np.int32).max)
 _models: dict[bytes, Model] = {}
 _words: dict[bytes, Words] = {}
@@ -207,7 +207,7 @@ class Words:
         return ids, np.diff(ends)
 
 
-def encode_pass(raw, pattern: str):
+def encode_pass(raw, pattern: str, decode: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.setdefault(raw.value, Words(Model.of(raw.value)))
         find = regex.compile(pattern).findall
@@ -215,9 +215,9 @@ def encode_pass(raw, pattern: str):
             data = buf.tobytes()
             texts = [data[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             ids, counts = words.encode(texts, find)
-            names = [n for n in rows.schema.names if n != "text"]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], lists], names=[*names, "ids"])
+            out = pa.RecordBatch.from_arrays([rows.column("doc_id"), lists], names=["doc_id", "ids"])
+            yield from decoded_rows(words.model, out) if decode else [out]
     return run
 
 
@@ -242,17 +242,21 @@ def _joined(held: list[pa.RecordBatch], text: str):
         yield r, buf, offsets
 
 
+def decoded_rows(model: Model, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` with the bytes of its ids, a few rows at a time."""
+    for lo in range(0, batch.num_rows, 256):
+        rows = batch.slice(lo, 256)
+        ids = rows.column("ids")
+        data, lengths = model.decode(ids.flatten().to_numpy())
+        ends = np.cumsum(np.r_[0, lengths])[np.cumsum(np.r_[0, ids.value_lengths().fill_null(0).to_numpy()])]
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), ids, texts.cast(pa.binary())], names=["doc_id", "ids", "decoded"])
+
+
 def decode_pass(raw):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.of(raw.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256)
-                ids = rows.column(rows.schema.get_field_index("ids"))
-                data, lengths = model.decode(ids.flatten().to_numpy())
-                ends = np.cumsum(np.r_[0, lengths])[np.cumsum(np.r_[0, ids.value_lengths().fill_null(0).to_numpy()])]
-                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*rows.columns, texts.cast(pa.binary())], names=[*rows.schema.names, "decoded"])
+            yield from decoded_rows(Model.of(raw.value), batch)
     return run
 
 
@@ -272,13 +276,19 @@ def bpe_decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(decode_pass(_ranks(tokens, path)), "doc_id long, ids array<int>, decoded binary")
 
 
-def op3_bpe(spark, sf_dir: str) -> DataFrame:
-    return digest(documents(spark, sf_dir))
+def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+                   pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """doc_id, ids and decoded: both directions in one task, so that a core runs one Python worker."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(encode_pass(_ranks(docs, path), pattern, True), "doc_id long, ids array<int>, decoded binary")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and decoding ``docs``."""
-    out = bpe_decode(bpe_encode(docs))
+def digest(tokens: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
     text = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"),
-                      F.sha2("decoded", 256).alias("decoded_sha256"))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(text, 256).alias("ids_sha256"),
+                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_bpe(spark, sf_dir: str) -> DataFrame:
+    return digest(bpe_round_trip(documents(spark, sf_dir))).drop("ids")
