@@ -10,9 +10,10 @@ Method (prefix filtering, rarest shingles first):
 2. The order "bin count, then hash" is the same for all documents and puts rare
    shingles first. A second pass emits each document's prefix: a pair above the
    threshold must share a prefix shingle. Copies inside one task emit once.
-3. Round one joins every posting with its neighbour in (size, id) order in the
-   list of its shingle, under the length and positional filters. Links found give
-   components.
+3. Round one joins every posting with the pivot of its shingle's list, under the
+   length and positional filters. The pivot is the document in whose prefix the shingle
+   comes first: own rare shingles push common ones back, so that is the least
+   altered copy, to which the others are closest. Links found give components.
 4. Round two joins only postings of lists that still span several components, and
    only across components (length and positional filters again), so a group of
    near copies never expands into all its pairs and no link between components is
@@ -189,13 +190,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(texts.mapInArrow(count_pass(k), DOC_SCHEMA), "join-documents")
     narrow = rows.where("chunk IS NULL").drop("chunk", "counts")
     counts = spark.sparkContext.broadcast(bin_counts(rows))
-    order = Window.partitionBy("token", "salt").orderBy("n", "doc_id", "pos")
-    before = lambda c: F.lag(c).over(order).alias(f"prev_{c}")
+    order = Window.partitionBy("token", "salt").orderBy("pos", "n", "doc_id")
+    pivot = lambda c: F.first(c).over(order).alias(f"pivot_{c}")
     listed = texts.mapInArrow(prefix_pass(k, percent, counts), POST_SCHEMA).select(
-        "*", before("doc_id"), before("n"), before("pos"), F.lead("n").over(order).alias("next_n"))
-    listed = written(listed.where("prev_n IS NOT NULL OR next_n IS NOT NULL OR salt > 0").drop("next_n", "salt"), "join-lists")
-    one = written(listed.where(_close(percent, "n", "pos", "prev_n", "prev_pos") & (F.col("doc_id") != F.col("prev_doc_id")))
-                  .select(F.least("doc_id", "prev_doc_id").alias("a"), F.greatest("doc_id", "prev_doc_id").alias("b"))
+        "*", pivot("doc_id"), pivot("n"), pivot("pos"), F.lag("n").over(order).alias("prev"), F.lead("n").over(order).alias("next"))
+    listed = written(listed.where("prev IS NOT NULL OR next IS NOT NULL OR salt > 0").drop("prev", "next", "salt"), "join-lists")
+    one = written(listed.where(_close(percent, "n", "pos", "pivot_n", "pivot_pos") & (F.col("doc_id") != F.col("pivot_doc_id")))
+                  .select(F.least("doc_id", "pivot_doc_id").alias("a"), F.greatest("doc_id", "pivot_doc_id").alias("b"))
                   .distinct(), "join-round1")
     classes = narrow.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("b"))
     members = (narrow.where("doc_id IS NOT NULL").join(classes, ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), "b")
