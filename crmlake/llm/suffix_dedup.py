@@ -42,7 +42,7 @@ from crmlake.llm.common import documents, written
 
 LENGTH = 200
 FIRST = 64
-SEGMENT = 1 << 20          # starts handled at once
+SEGMENT = 1 << 19          # starts handled at once
 HOT = 20_000
 RANK_SCHEMA = "h long, c long, doc_id long, th int, s int, n_starts int, many boolean"
 RUN_SCHEMA = "doc_id long, th int, lo int, hi int"

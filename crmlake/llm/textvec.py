@@ -14,8 +14,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-PIECE = 1 << 21            # bytes hashed at once; bounds the temporary arrays
-CHUNK = 1 << 21            # bytes of text per chunk of whole documents
+PIECE = 1 << 20            # bytes hashed at once; bounds the temporary arrays
+CHUNK = 1 << 20            # bytes of text per chunk of whole documents
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _powers: list[np.ndarray] = []
