@@ -18,7 +18,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crmlake.operators.joins import DEFAULT_BROADCAST_ROWS
 
 
 def null_safe_sum(c: str | Column) -> Column:
@@ -78,42 +77,31 @@ def distinct_count(id_col: str) -> Column:
     return F.count_distinct(F.col(id_col))
 
 
-def pre_aggregate(child: Child, keys: DataFrame | None = None, key_col: str | None = None,
-                  max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Aggregate a child per foreign key; returns ``(aggregate, bounded)``.
-
-    With ``keys`` (a filtered parent) the child is first semi-joined to them,
-    but only when the key set is provably small enough to broadcast; then the
-    aggregate has at most that many rows (``bounded``) and may itself be
-    broadcast. Otherwise the later join drops the unneeded groups.
-    """
+def pre_aggregate(child: Child, keys: DataFrame | None = None, key_col: str | None = None) -> DataFrame:
+    """Aggregate a child per foreign key. With ``keys`` (a filtered parent) the
+    child is first semi-joined to them, so other groups aren't aggregated."""
     df = child.df
-    bounded = False
     if keys is not None:
         side = keys.select(F.col(key_col).alias("__pk")).distinct()
-        if side.limit(max_rows + 1).count() <= max_rows:
-            df = df.join(F.broadcast(side), df[child.fk] == side["__pk"], "left_semi")
-            bounded = True
+        df = df.join(side, df[child.fk] == side["__pk"], "left_semi")
     agg = (df.filter(F.col(child.fk).isNotNull())
            .groupBy(F.col(child.fk).alias("__fk"))
            .agg(*[agg.alias(name) for name, agg in child.aggs.items()]))
-    return agg, bounded
+    return agg
 
 
 def attach_children(parent: DataFrame, parent_key: str, children: list[Child],
-                    prefilter: bool = False,
-                    max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    prefilter: bool = False) -> DataFrame:
     """Parent LEFT JOIN (pre-aggregated child)... without fan-out.
 
     Output = parent columns + every child's aggregate columns, one row per
     parent row. ``prefilter`` semi-joins children to the (filtered) parent's
-    keys before aggregating, under the broadcast bound.
+    keys before aggregating.
     """
     out = parent
     fills: dict[str, object] = {}
     for child in children:
-        agg, bounded = pre_aggregate(child, parent if prefilter else None, parent_key, max_rows)
-        agg = F.broadcast(agg) if bounded else agg
+        agg = pre_aggregate(child, parent if prefilter else None, parent_key)
         out = out.join(agg, out[parent_key] == agg["__fk"], "left").drop("__fk")
         for name in child.aggs:
             fills[name] = (child.fill or {}).get(name, 0)

@@ -24,7 +24,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crmlake.operators.joins import bounded_broadcast
 from crmlake.sources.schemas import TABLES, Table
 
 RESULT_COLUMNS = ["table_name", "check_name", "column_name", "violations", "keys"]
@@ -143,7 +142,6 @@ def audit_violations(tables: dict[str, DataFrame], contracts: dict[str, Table] =
                 used = (df.filter(F.col(c.column).isNotNull()).groupBy(F.col(c.column).alias("__fk"))
                         .agg(F.count(F.lit(1)).alias("rows")))
                 keys = tables[parent].select(F.col(pkey).alias("__pk")).filter(F.col("__pk").isNotNull()).distinct()
-                keys = bounded_broadcast(keys, bound_by=tables[parent])
                 parts.append(used.join(keys, used["__fk"] == keys["__pk"], "left_anti")
                              .select(*head, F.col("__fk").cast("string").alias("value"), "rows"))
     return reduce(lambda a, b: a.unionByName(b), parts)

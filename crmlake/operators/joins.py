@@ -1,10 +1,8 @@
-"""Join helpers (J1-J6): lookups with a size-checked broadcast.
+"""Join helpers.
 
-A dimension side is broadcast only after a bounded count proves it has at
-most ``max_rows`` rows (``limit(max_rows + 1).count()`` stops reading as soon
-as the bound is exceeded). Beyond the bound the join is left to the planner:
-sort-merge on the key, with AQE's skew-join splitting a hot key's partition
-and AQE converting to a broadcast when the runtime size turns out small.
+No hint and no counting: whether a side is broadcast is left to Spark's size
+estimates and to AQE, which converts a join when the side turns out small at run
+time and splits the partitions of a hot key.
 """
 
 from __future__ import annotations
@@ -12,79 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# ~100 bytes per projected dimension row -> at most ~50 MB per broadcast.
-DEFAULT_BROADCAST_ROWS = 500_000
-
-
-# Verdicts of the bounded count per DataFrame object (the object is kept
-# alive with its verdict, so its id cannot be reused while cached).
-_VERDICTS: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
-_MAX_VERDICTS = 512
-
-
-def is_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows.
-
-    ``limit(max_rows + 1).count()`` stops reading once the bound is passed,
-    so the check costs at most ``max_rows + 1`` rows. Memoised per
-    DataFrame object: a dimension shared by several joins is counted once.
-    """
-    if max_rows <= 0:
-        return False
-    key = (id(df), max_rows)
-    hit = _VERDICTS.get(key)
-    if hit is not None and hit[0] is df:
-        return hit[1]
-    ok = df.limit(max_rows + 1).count() <= max_rows
-    if len(_VERDICTS) >= _MAX_VERDICTS:
-        _VERDICTS.clear()
-    _VERDICTS[key] = (df, ok)
-    return ok
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      bound_by: DataFrame | None = None) -> DataFrame:
-    """``broadcast(df)`` when ``df`` (or ``bound_by``, a DataFrame with at
-    least as many rows, e.g. the unprojected dimension) provably has at most
-    ``max_rows`` rows, else ``df`` unchanged."""
-    return F.broadcast(df) if is_bounded(bound_by if bound_by is not None else df, max_rows) else df
-
-
 def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str,
-           columns: dict[str, str], how: str = "left",
-           max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+           columns: dict[str, str], how: str = "left") -> DataFrame:
     """Attach ``columns`` (dim column -> output name) of ``dim`` by key.
 
-    Only the key and the requested columns of the dimension are projected
-    before the size check, so the broadcast carries nothing unused.
+    Only the key and the requested columns of the dimension are projected.
     ``how='inner'`` drops rows without a match (SQL ``JOIN``), ``'left'``
     keeps them with NULLs (``LEFT JOIN`` on a nullable foreign key).
     """
     tmp_key = f"__k_{right_key}"
     side = dim.select(F.col(right_key).alias(tmp_key),
                       *[F.col(src).alias(dst) for src, dst in columns.items()])
-    side = bounded_broadcast(side, max_rows, bound_by=dim)
     out = df.join(side, df[left_key] == side[tmp_key], how)
     return out.drop(tmp_key)
 
 
-def semi(df: DataFrame, keys: DataFrame, left_key: str, right_key: str,
-         max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def semi(df: DataFrame, keys: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of ``df`` whose key appears in ``keys`` (EXISTS)."""
-    side = bounded_broadcast(keys.select(F.col(right_key).alias("__semi")).distinct(), max_rows,
-                             bound_by=keys)
+    side = keys.select(F.col(right_key).alias("__semi")).distinct()
     return df.join(side, df[left_key] == side["__semi"], "left_semi")
 
 
-def anti(df: DataFrame, keys: DataFrame, left_key: str, right_key: str,
-         max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def anti(df: DataFrame, keys: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """``NOT IN (SELECT key ... WHERE key IS NOT NULL)``.
 
     The NULL guard is explicit, so a NULL key among ``keys`` cannot empty
     the result (what an unguarded SQL ``NOT IN`` would do).
     """
     side = keys.select(F.col(right_key).alias("__anti")).filter(F.col("__anti").isNotNull()).distinct()
-    side = bounded_broadcast(side, max_rows, bound_by=keys)
     return df.join(side, df[left_key] == side["__anti"], "left_anti")
 
 

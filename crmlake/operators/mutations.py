@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from crmlake.functions.predicates import as_timestamp
 from crmlake.functions.scalars import blank_to_null, derive_username, strip_ws
-from crmlake.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 from crmlake.operators.paging import global_index
 from crmlake.sources.readers import apply_defaults
 from crmlake.sources.schemas import Table
@@ -69,7 +68,7 @@ def latest_change(changes: DataFrame, key: str, seq: str | None) -> DataFrame:
 
 
 def update_by_key(base: DataFrame, changes: DataFrame, key: str, columns: list[str],
-                  seq: str | None = None, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                  seq: str | None = None,
                   matched_flag: str | None = None) -> DataFrame:
     """``UPDATE base SET c = change.c WHERE key = change.key``.
 
@@ -80,7 +79,6 @@ def update_by_key(base: DataFrame, changes: DataFrame, key: str, columns: list[s
     ch = latest_change(changes.select(key, *columns, *([seq] if seq else [])), key, seq)
     ch = ch.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__new_{c}") for c in columns],
                    F.lit(True).alias("__hit"))
-    ch = bounded_broadcast(ch, max_rows, bound_by=changes)
     out = base.join(ch, base[key] == ch["__key"], "left")
     hit = F.col("__hit").isNotNull()
     sets = {}
@@ -112,24 +110,20 @@ def stamp_on_transition(base: DataFrame, changes: DataFrame, key: str, status: s
     return out.withColumn(stamp, new_stamp).drop("__changed")
 
 
-def delete_by_key(base: DataFrame, keys: DataFrame, key: str, keys_col: str | None = None,
-                  max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def delete_by_key(base: DataFrame, keys: DataFrame, key: str, keys_col: str | None = None) -> DataFrame:
     """``DELETE FROM base WHERE key IN (keys)`` (NULL keys ignored)."""
     k = keys.select(F.col(keys_col or key).alias("__del")).filter(F.col("__del").isNotNull()).distinct()
-    k = bounded_broadcast(k, max_rows, bound_by=keys)
     return base.join(k, base[key] == k["__del"], "left_anti")
 
 
 def delete_cascade(parent: DataFrame, parent_key: str, children: dict[str, tuple[DataFrame, str]],
-                   keys: DataFrame, keys_col: str | None = None,
-                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> dict[str, DataFrame]:
+                   keys: DataFrame, keys_col: str | None = None) -> dict[str, DataFrame]:
     """Delete parents and every child row pointing at them.
 
     Returns ``{"parent": .., child_name: ..}`` snapshots; the key set is
     computed once and reused by every anti join.
     """
     k = keys.select(F.col(keys_col or parent_key).alias("__del")).filter(F.col("__del").isNotNull()).distinct()
-    k = bounded_broadcast(k, max_rows, bound_by=keys)
     out = {"parent": parent.join(k, parent[parent_key] == k["__del"], "left_anti")}
     for name, (child, fk) in children.items():
         out[name] = child.join(k, child[fk] == k["__del"], "left_anti")
@@ -139,14 +133,13 @@ def delete_cascade(parent: DataFrame, parent_key: str, children: dict[str, tuple
 def delete_nullify(parent: DataFrame, parent_key: str, nullify: dict[str, tuple[DataFrame, str]],
                    keys: DataFrame, keys_col: str | None = None,
                    cascade: dict[str, tuple[DataFrame, str]] | None = None,
-                   restrict: dict[str, tuple[DataFrame, str]] | None = None,
-                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> dict[str, DataFrame]:
+                   restrict: dict[str, tuple[DataFrame, str]] | None = None) -> dict[str, DataFrame]:
     """Delete parents; NULL the foreign key in ``nullify`` children,
     delete rows of ``cascade`` children, and report rows of ``restrict``
     children (NOT NULL foreign keys) that would be orphaned as
     ``violations_<name>`` instead of leaving a half-applied state."""
     k = keys.select(F.col(keys_col or parent_key).alias("__del")).filter(F.col("__del").isNotNull()).distinct()
-    k = bounded_broadcast(k.withColumn("__hit", F.lit(True)), max_rows, bound_by=keys)
+    k = k.withColumn("__hit", F.lit(True))
     out = {"parent": parent.join(k.select("__del"), parent[parent_key] == k["__del"], "left_anti")}
     for name, (child, fk) in nullify.items():
         j = child.join(k, child[fk] == k["__del"], "left")
@@ -179,7 +172,6 @@ def apply_enrollments(requests: DataFrame, enrollments: DataFrame, classes: Data
            .withColumn("EnrollDate", as_timestamp(as_of).cast("date")))
     new_enrollments = append(enrollments, new, table, as_of, order, optional=[])
     per_class = requests.groupBy(F.col("ClassID").alias("__cls")).agg(F.count(F.lit(1)).alias("__n"))
-    per_class = bounded_broadcast(per_class, bound_by=requests)
     cl = classes.join(per_class, classes["ClassID"] == per_class["__cls"], "left")
     cl = (cl.withColumn("CurrentStudents",
                         (F.coalesce(F.col("CurrentStudents"), F.lit(0)) + F.coalesce(F.col("__n"), F.lit(0)))
@@ -200,7 +192,7 @@ def guarded_delete(users: DataFrame, keys: DataFrame, key: str = "UserID",
     Returns ``{"users": snapshot, "refused": refused keys}``.
     """
     k = keys.select(F.col(key).alias("__del")).filter(F.col("__del").isNotNull()).distinct()
-    k = bounded_broadcast(k.withColumn("__hit", F.lit(True)), bound_by=keys)
+    k = k.withColumn("__hit", F.lit(True))
     marked = users.join(k, users[key] == k["__del"], "left").withColumn("__t", F.col("__hit").isNotNull())
     is_admin = F.col(role) == "admin"
     active_admin = is_admin & (F.col(status) == "Active")
@@ -227,7 +219,7 @@ def derive_accounts(people: DataFrame, existing: DataFrame, table: Table, as_of,
              .agg(F.min_by(F.struct(F.col(id_col), F.col(name_col)), F.col(id_col)).alias("__p"))
              .select("Username", F.col(f"__p.{id_col}").alias(id_col), F.col(f"__p.{name_col}").alias(name_col)))
     taken = existing.select(F.col("Username").alias("__u")).filter(F.col("__u").isNotNull()).distinct()
-    fresh = first.join(bounded_broadcast(taken, bound_by=existing), first["Username"] == taken["__u"], "left_anti")
+    fresh = first.join(taken, first["Username"] == taken["__u"], "left_anti")
     fresh = (fresh.withColumn("Password", F.lit(DEFAULT_ACCOUNT_PASSWORD))
              .withColumn("Role", F.lit("employee")))
     staged = apply_defaults(fresh, table, as_of)
@@ -256,7 +248,7 @@ def signup_outcomes(requests: DataFrame, existing: DataFrame, seq: str = "seq")
     first = valid.groupBy(F.col("Username").alias("__u")).agg(F.min(seq).alias("__first"))
     taken = existing.select(F.col("Username").alias("__t")).filter(F.col("__t").isNotNull()).distinct()
     r = r.join(first, r["Username"] == first["__u"], "left").drop("__u")
-    r = r.join(bounded_broadcast(taken.withColumn("__exists", F.lit(True)), bound_by=existing),
+    r = r.join(taken.withColumn("__exists", F.lit(True)),
                r["Username"] == F.col("__t"), "left").drop("__t")
     outcome = (F.when(F.col("__pre").isNotNull(), F.col("__pre"))
                .when(F.col("__exists").isNotNull(), F.lit("duplicate"))

@@ -77,12 +77,12 @@ EMPLOYEES = _t("Employees", "EmployeeID", [
 CUSTOMERS = _t("Customers", "CustomerID", [
     Col("CustomerID", KEY, False), Col("FullName", STR, False, max_len=100),
     Col("Email", STR, max_len=100), Col("Phone", STR, max_len=20),
-    Col("Company", STR, max_len=150), Col("Segment", STR, max_len=50),
+    Col("Company", STR, max_len=100), Col("Segment", STR, max_len=50),
     Col("Source", STR, max_len=50), Col("AssignedTo", KEY),
     Col("CreatedAt", TS, default=NOW), Col("Status", STR, default="Active", max_len=20)],
     unique=("Email",), foreign=(("AssignedTo", "Employees", "EmployeeID"),))
 PRODUCTS = _t("Products", "ProductID", [
-    Col("ProductID", KEY, False), Col("ProductName", STR, False, max_len=150),
+    Col("ProductID", KEY, False), Col("ProductName", STR, False, max_len=100),
     Col("Category", STR, max_len=50), Col("Price", MONEY_CRM), Col("Description", STR),
     Col("Status", STR, default="Active", max_len=20)])
 OPPORTUNITIES = _t("Opportunities", "OpportunityID", [
@@ -103,20 +103,20 @@ INTERACTIONS = _t("Interactions", "InteractionID", [
 SUPPORT_TICKETS = _t("SupportTickets", "TicketID", [
     Col("TicketID", KEY, False), Col("CustomerID", KEY, False), Col("EmployeeID", KEY),
     Col("Subject", STR, False, max_len=200), Col("Description", STR),
-    Col("Priority", STR, default="Medium", max_len=20), Col("Status", STR, default="Open", max_len=20),
+    Col("Priority", STR, default="Medium", max_len=20), Col("Status", STR, default="Open", max_len=30),
     Col("CreatedAt", TS, default=NOW), Col("ResolvedAt", TS)],
     foreign=(("CustomerID", "Customers", "CustomerID"),
              ("EmployeeID", "Employees", "EmployeeID")))
 USERS = _t("Users", "UserID", [
     Col("UserID", KEY, False), Col("Username", STR, False, max_len=50),
-    Col("Password", STR, False, max_len=255), Col("Role", STR, False, default="employee", max_len=20),
+    Col("Password", STR, False, max_len=100), Col("Role", STR, False, default="employee", max_len=20),
     Col("EmployeeID", KEY), Col("FullName", STR, max_len=100),
     Col("Status", STR, default="Active", max_len=20), Col("CreatedAt", TS, default=NOW)],
     unique=("Username",), foreign=(("EmployeeID", "Employees", "EmployeeID"),))
 ACTIVITY_LOG = _t("ActivityLog", "LogID", [
     Col("LogID", KEY, False), Col("Username", STR, max_len=50), Col("FullName", STR, max_len=100),
     Col("Action", STR, max_len=50), Col("Module", STR, max_len=50), Col("Description", STR),
-    Col("IPAddress", STR, max_len=50), Col("CreatedAt", TS, default=NOW)])
+    Col("IPAddress", STR, max_len=45), Col("CreatedAt", TS, default=NOW)])
 
 # ---- Training centre -----------------------------------------------------
 STAFF = _t("Staff", "StaffID", [
@@ -139,8 +139,8 @@ CLASSES = _t("Classes", "ClassID", [
 STUDENTS = _t("Students", "StudentID", [
     Col("StudentID", KEY, False), Col("FullName", STR, False, max_len=100),
     Col("Email", STR, max_len=100), Col("Phone", STR, max_len=20), Col("DOB", DATE),
-    Col("Gender", STR, max_len=10), Col("Address", STR, max_len=255), Col("Source", STR, max_len=50),
-    Col("AssignedTo", KEY), Col("Status", STR, default="Prospect", max_len=30), Col("Notes", STR),
+    Col("Gender", STR, max_len=10), Col("Address", STR), Col("Source", STR, max_len=50),
+    Col("AssignedTo", KEY), Col("Status", STR, default="Prospect", max_len=20), Col("Notes", STR),
     Col("CreatedAt", TS, default=NOW)],
     unique=("Email",), foreign=(("AssignedTo", "Staff", "StaffID"),))
 ENROLLMENTS = _t("Enrollments", "EnrollmentID", [
@@ -152,13 +152,13 @@ ENROLLMENTS = _t("Enrollments", "EnrollmentID", [
              ("StaffID", "Staff", "StaffID")))
 PAYMENTS = _t("Payments", "PaymentID", [
     Col("PaymentID", KEY, False), Col("EnrollmentID", KEY, False), Col("StudentID", KEY, False),
-    Col("Amount", MONEY_EDU, False), Col("PaymentDate", DATE), Col("Method", STR, max_len=50),
-    Col("Note", STR), Col("CreatedBy", KEY), Col("CreatedAt", TS, default=NOW)],
+    Col("Amount", MONEY_EDU, False), Col("PaymentDate", DATE), Col("Method", STR, max_len=30),
+    Col("Note", STR, max_len=200), Col("CreatedBy", KEY), Col("CreatedAt", TS, default=NOW)],
     foreign=(("EnrollmentID", "Enrollments", "EnrollmentID"),
              ("StudentID", "Students", "StudentID"), ("CreatedBy", "Staff", "StaffID")))
 CONSULTATIONS = _t("Consultations", "ConsultID", [
     Col("ConsultID", KEY, False), Col("StudentID", KEY, False), Col("StaffID", KEY, False),
-    Col("Type", STR, max_len=50), Col("Subject", STR, max_len=200), Col("Notes", STR),
+    Col("Type", STR, max_len=30), Col("Subject", STR, max_len=200), Col("Notes", STR),
     Col("Result", STR, max_len=50), Col("NextAction", STR, max_len=200),
     Col("ConsultedAt", TS, default=NOW)],
     foreign=(("StudentID", "Students", "StudentID"), ("StaffID", "Staff", "StaffID")))
@@ -166,13 +166,13 @@ FEEDBACKS = _t("Feedbacks", "FeedbackID", [
     Col("FeedbackID", KEY, False), Col("StudentID", KEY, False), Col("StaffID", KEY),
     Col("ClassID", KEY), Col("Type", STR, default="Feedback", max_len=30),
     Col("Subject", STR, False, max_len=200), Col("Content", STR),
-    Col("Priority", STR, default="Medium", max_len=20), Col("Status", STR, default="Open", max_len=20),
+    Col("Priority", STR, default="Medium", max_len=20), Col("Status", STR, default="Open", max_len=30),
     Col("Response", STR), Col("CreatedAt", TS, default=NOW), Col("ResolvedAt", TS)],
     foreign=(("StudentID", "Students", "StudentID"), ("StaffID", "Staff", "StaffID"),
              ("ClassID", "Classes", "ClassID")))
 EDU_USERS = _t("EduUsers", "UserID", [
     Col("UserID", KEY, False), Col("Username", STR, False, max_len=50),
-    Col("Password", STR, False, max_len=255), Col("Role", STR, default="employee", max_len=20),
+    Col("Password", STR, False, max_len=100), Col("Role", STR, default="employee", max_len=20),
     Col("StaffID", KEY), Col("FullName", STR, max_len=100),
     Col("Status", STR, default="Active", max_len=20), Col("CreatedAt", TS, default=NOW)],
     unique=("Username",), foreign=(("StaffID", "Staff", "StaffID"),))
