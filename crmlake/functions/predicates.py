@@ -9,6 +9,7 @@ so list operators apply facets (prunable) before search.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,7 +61,8 @@ def search(columns: list[str | Column], q: str | None, mode: str = "binary",
     q = clean_query(q)
     if not q and skip_blank:
         return None
-    pattern = f"%{q}%"
+    # a backslash makes the next character literal; Spark accepts it only before %, _ and itself
+    pattern = re.sub(r"\\([^%_\\])|\\(.)", lambda m: m[1] or m[0], f"%{q}%", flags=re.DOTALL)
     preds = []
     for c in columns:
         col = _c(c)

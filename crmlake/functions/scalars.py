@@ -36,8 +36,9 @@ def field_rank(c: ColumnOrName, values: list[str]) -> Column:
 
 
 def strip_ws(c: ColumnOrName) -> Column:
-    """Python ``str.strip()`` (all leading/trailing whitespace, not only spaces)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` (all leading/trailing Unicode whitespace and
+    the separators U+001C to U+001F, not only spaces)."""
+    return F.regexp_replace(_c(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def blank_to_null(c: ColumnOrName) -> Column:

@@ -3,13 +3,14 @@
 The reference writes one row per web form; here every operation takes the
 current snapshot(s) plus a DataFrame of changes and returns new snapshot(s)
 (lazy DataFrames), which the caller writes with ``sinks.write_snapshot``.
-Keys of changes are matched with joins; a change set whose key set is
-provably small is broadcast, a large one is joined by shuffle.
+Keys of changes are matched with joins; Spark's size estimates and AQE choose
+between broadcast and shuffle.
 
 Surrogate keys (AUTO_INCREMENT) are ``max(existing key) + position`` of the
 new row in a caller-given total order; the position comes from the
 distributed ``global_index`` (no single-partition window), and the one
-scalar ``max(key)`` is the only value read back to the driver.
+scalar ``max(key)`` and the admin guard's counts and boundary key are the only
+values read back to the driver.
 """
 
 from __future__ import annotations
@@ -58,13 +59,20 @@ def append(base: DataFrame, new: DataFrame, table: Table, as_of, order,
 
 def latest_change(changes: DataFrame, key: str, seq: str | None) -> DataFrame:
     """One change per key: the one with the highest ``seq`` (last writer
-    wins). Without ``seq`` the change set must already be unique by key."""
+    wins). Without ``seq`` there is no last writer: two changes for one key
+    raise an error when the result is computed. Changes of a NULL key match
+    no row and are left out."""
+    cols = [c for c in changes.columns if c != key]
+    change = F.struct(*[F.col(c) for c in cols])
+    grouped = changes.filter(F.col(key).isNotNull()).groupBy(key)
     if seq is None:
-        return changes
-    cols = [c for c in changes.columns if c not in (key,)]
-    return (changes.groupBy(key)
-            .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(seq)).alias("__c"))
-            .select(key, *[F.col(f"__c.{c}").alias(c) for c in cols]))
+        many = F.raise_error(F.concat(F.lit("several changes without an order for key "),
+                                      F.col(key).cast("string")))
+        one = (grouped.agg(F.first(change).alias("__one"), F.count(F.lit(1)).alias("__n"))
+               .select(key, F.when(F.col("__n") > 1, many).otherwise(F.col("__one")).alias("__c")))
+    else:
+        one = grouped.agg(F.max_by(change, F.col(seq)).alias("__c"))
+    return one.select(key, *[F.col(f"__c.{c}").alias(c) for c in cols])
 
 
 def update_by_key(base: DataFrame, changes: DataFrame, key: str, columns: list[str],
@@ -72,7 +80,7 @@ def update_by_key(base: DataFrame, changes: DataFrame, key: str, columns: list[s
                   matched_flag: str | None = None) -> DataFrame:
     """``UPDATE base SET c = change.c WHERE key = change.key``.
 
-    A NULL in a change sets NULL (it is an assignment, not a merge). Base
+    Several changes for one key need ``seq`` (see ``latest_change``). A NULL in a change sets NULL (it is an assignment, not a merge). Base
     rows sharing a key all receive the change. Columns absent from ``base``
     are added (NULL where unchanged).
     """
@@ -187,9 +195,11 @@ def guarded_delete(users: DataFrame, keys: DataFrame, key: str = "UserID",
                    role: str = "Role", status: str = "Status") -> dict[str, DataFrame]:
     """Delete accounts, but never the last active admin.
 
-    Batch rule: when the batch would leave no active admin, the admin
-    accounts of the batch are kept (refused) and everything else is deleted.
-    Returns ``{"users": snapshot, "refused": refused keys}``.
+    The removals count as applied one after the other in key order: an admin
+    (active or not) is refused once at most one active admin is left. With
+    ``a`` active admins the admins after the (a-1)-th active one of the batch
+    are refused, so one boundary key decides; it is among the batch's two
+    last active admins. Returns ``{"users": snapshot, "refused": refused keys}``.
     """
     k = keys.select(F.col(key).alias("__del")).filter(F.col("__del").isNotNull()).distinct()
     k = k.withColumn("__hit", F.lit(True))
@@ -198,8 +208,16 @@ def guarded_delete(users: DataFrame, keys: DataFrame, key: str = "UserID",
     active_admin = is_admin & (F.col(status) == "Active")
     counts = marked.agg(F.count_if(active_admin).alias("a"),
                         F.count_if(active_admin & F.col("__t")).alias("d")).first()
-    keep_admins = (counts["a"] - counts["d"]) < 1
-    refused = F.col("__t") & is_admin & F.lit(keep_admins)
+    active, in_batch = counts["a"], counts["d"]
+    if active <= 1:
+        too_late = F.lit(True)
+    elif in_batch < active - 1:
+        too_late = F.lit(False)
+    else:
+        last_two = [r[0] for r in marked.filter(active_admin & F.col("__t"))
+                    .orderBy(F.col(key).desc()).select(key).limit(2).collect()]
+        too_late = F.col(key) > F.lit(last_two[in_batch - (active - 1)])
+    refused = F.coalesce(F.col("__t") & is_admin & too_late, F.lit(False))
     snapshot = marked.filter(~F.col("__t") | refused).drop("__del", "__hit", "__t")
     return {"users": snapshot,
             "refused": marked.filter(refused).select(key)}

@@ -1,10 +1,8 @@
 """Sort, limit, top-k and pagination.
 
-Every list carries a total order (its own sort keys plus the primary key and,
-where the key is not unique, further columns), otherwise a page is not
-reproducible.
-
-``paginate`` has two physical strategies:
+``paginate`` completes every order with the list's remaining columns, so rows
+that still tie are equal and a page is reproducible whatever sort keys it is
+given. It has two physical strategies, which return the same rows:
 
 * shallow pages: a top-K (``TakeOrderedAndProject``) of ``K = page *
   per_page`` rows. Each task keeps its best K rows and one task merges what
@@ -89,7 +87,7 @@ def paginate(df: DataFrame, order, page: int = 1,
     """The rows of one page, with ``row_num`` (position in the full list)
     and ``page`` (the clamped page number) columns."""
     specs = list(order)
-    order = order_spec(*specs)
+    order = _total_order(df, specs)
     page = max(1, int(page))
     need = page * per_page
     parts = _partitions_estimate(df) if need <= shallow_limit else 0
@@ -110,12 +108,24 @@ def paginate(df: DataFrame, order, page: int = 1,
     return out.drop("__seen")
 
 
+def _total_order(df: DataFrame, specs) -> list[Column]:
+    """The sort columns followed by every other column of the list."""
+    keys = _spec_names(specs) or []
+    return order_spec(*specs) + [F.col(c).asc() for c in df.columns if c not in keys]
+
+
 def _partitions_estimate(df: DataFrame) -> int:
-    """Upper estimate of the partitions feeding a top-K, from metadata only
-    (no job): shuffle partitions, default parallelism, or one per input file."""
+    """Estimate of the partitions feeding a top-K, from the plan's metadata
+    (no job): shuffle partitions, parallelism, or the splits that Spark's size
+    estimates give for the scans. It weighs the cost of the two strategies
+    only; their rows are the same."""
     spark = df.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(shuffle, spark.sparkContext.defaultParallelism, len(df.inputFiles()))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    scans = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(shuffle, spark.sparkContext.defaultParallelism, sum(-(-b // split) for b in scans))
 
 
 def _spec_names(specs) -> list[str] | None:
@@ -154,7 +164,7 @@ def _deep_page(df: DataFrame, specs, page: int, per_page: int) -> DataFrame:
     order = order_spec(*specs)
     keys = _spec_names(specs)
     if keys is None:  # expression sort keys: number the full rows instead
-        numbered = global_index(df, order, "row_num", total_name="__seen")
+        numbered = global_index(df, _total_order(df, specs), "row_num", total_name="__seen")
         eff = F.least(F.lit(page).cast("long"), _pages(F.col("__seen"), per_page))
         out = numbered.withColumn("page", eff)
         return out.filter((F.col("row_num") > (F.col("page") - 1) * per_page)

@@ -4,10 +4,8 @@
 (``Bindings`` over a scale-factor folder). ``QUERIES[name].oracle()`` is
 the same question in plain SQL for DuckDB over the driver's tables, with
 the bindings as CTEs. Money leaves both sides as DOUBLE (sums stay exact
-decimals until the final cast). Oracle texts are written from the
-reference's SQL semantics, not from the Spark plans: where the reference
-joins several children and groups, the oracle does the same (literal
-fan-out) whenever that stays small at sf0.01.
+decimals until the final cast). The list texts come from the
+specifications in ``oracle``; the others are written by hand.
 """
 
 from __future__ import annotations

@@ -30,3 +30,4 @@ SEARCH_COURSE = "A"
 
 PAGE = 3
 DEEP_PAGE = 250
+PAST_THE_END = 1_000_000  # a page number beyond every list

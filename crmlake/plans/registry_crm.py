@@ -4,57 +4,19 @@ from __future__ import annotations
 
 from crmlake.plans import crm
 from crmlake.plans import params as P
+from crmlake.plans import oracle as O
 from crmlake.plans.catalog import PAGE_SELECT, meta_sql, page_ctes, register
+from crmlake.plans.oracle import contains
 
 OPP = ["b_opportunities"]
 CUST_EMP = ["b_customers", "b_employees"]
 
-# Oracle text of the lists (reference SELECTs with the bindings' columns).
-CUSTOMER_LIST_SQL = """
-SELECT c.*, e.FullName AS employee_name,
-       COUNT(DISTINCT o.OpportunityID) AS opp_count, COUNT(DISTINCT t.TicketID) AS ticket_count
-FROM b_customers c
-LEFT JOIN b_employees e ON c.AssignedTo = e.EmployeeID
-LEFT JOIN b_opportunities o ON c.CustomerID = o.CustomerID
-LEFT JOIN b_tickets t ON c.CustomerID = t.CustomerID
-WHERE 1=1 {where}
-GROUP BY ALL"""
-
-OPPORTUNITY_LIST_SQL = """
-SELECT o.* REPLACE (CAST(o.Value AS DOUBLE) AS Value), c.FullName AS customer, c.Company,
-       e.FullName AS employee, p.ProductName
-FROM b_opportunities o
-JOIN b_customers c ON o.CustomerID = c.CustomerID
-JOIN b_employees e ON o.EmployeeID = e.EmployeeID
-LEFT JOIN b_products p ON o.ProductID = p.ProductID
-WHERE 1=1 {where}"""
 OPPORTUNITY_ORDER_SQL = ("CreatedAt DESC, OpportunityID, Stage, Value, EmployeeID, ProductID, "
                          "ClosedAt NULLS FIRST, Probability")
 
-INTERACTION_LIST_SQL = """
-SELECT i.*, c.FullName AS customer, c.Company, e.FullName AS employee
-FROM b_interactions i
-JOIN b_customers c ON i.CustomerID = c.CustomerID
-JOIN b_employees e ON i.EmployeeID = e.EmployeeID
-WHERE 1=1 {where}"""
-
-TICKET_LIST_SQL = """
-SELECT t.*, c.FullName AS customer, c.Company, e.FullName AS employee
-FROM b_tickets t
-JOIN b_customers c ON t.CustomerID = c.CustomerID
-LEFT JOIN b_employees e ON t.EmployeeID = e.EmployeeID
-WHERE 1=1 {where}"""
-
-ACTIVITY_SQL = "SELECT * FROM b_activity WHERE 1=1 {where}"
-
 ALL_CRM = ["b_customers", "b_employees", "b_opportunities", "b_tickets", "b_interactions"]
 
 
-def _like(cols: list[str], q: str) -> str:
-    pat = "'%" + q.replace("'", "''") + "%'"
-    return "(" + " OR ".join(f"{c} LIKE {pat}" for c in cols) + ")"
-
-
 # ---- dashboard -------------------------------------------------------------------
 @register("q01_crm_kpis", ALL_CRM, """
 SELECT (SELECT count(*) FROM b_customers) AS customers,
@@ -76,34 +38,15 @@ def q02(t):
     return crm.deals_by_stage(t)
 
 
-@register("q03_recent_interactions", ["b_interactions", "b_customers", "b_employees"], """
-SELECT i.InteractionID, i.Subject, i.Type, i.InteractedAt, c.FullName AS customer, e.FullName AS employee
-FROM b_interactions i JOIN b_customers c ON i.CustomerID = c.CustomerID
-JOIN b_employees e ON i.EmployeeID = e.EmployeeID
-ORDER BY i.InteractedAt DESC, i.InteractionID LIMIT 5""")
+@register("q03_recent_interactions", ["b_interactions", "b_customers", "b_employees"],
+          O.INTERACTIONS.sql(columns="InteractionID, Subject, Type, InteractedAt, customer, employee")
+          + " ORDER BY InteractedAt DESC, InteractionID LIMIT 5")
 def q03(t):
     """Q3 five most recent interactions."""
     return crm.recent_interactions(t)
 
 
-_S = P.SEARCH_CUSTOMER
-
-
-GLOBAL_SEARCH_SQL = f"""
-(SELECT 'customers' AS source, CustomerID AS id, FullName AS title, Segment AS label, Company AS customer
- FROM b_customers WHERE {_like(['FullName', 'Company', 'Email'], _S)} ORDER BY CustomerID LIMIT 5)
-UNION ALL
-(SELECT 'opportunities', o.OpportunityID, o.Title, o.Stage, c.FullName
- FROM b_opportunities o JOIN b_customers c ON o.CustomerID = c.CustomerID
- WHERE {_like(['o.Title', 'c.FullName'], _S)} ORDER BY o.OpportunityID, o.Stage, c.FullName, o.Value LIMIT 5)
-UNION ALL
-(SELECT 'interactions', i.InteractionID, i.Subject, i.Type, c.FullName
- FROM b_interactions i JOIN b_customers c ON i.CustomerID = c.CustomerID
- WHERE {_like(['i.Subject', 'c.FullName'], _S)} ORDER BY i.InteractionID LIMIT 5)
-UNION ALL
-(SELECT 'tickets', t.TicketID, t.Subject, t.Status, c.FullName
- FROM b_tickets t JOIN b_customers c ON t.CustomerID = c.CustomerID
- WHERE {_like(['t.Subject', 'c.FullName'], _S)} ORDER BY t.TicketID LIMIT 5)"""
+GLOBAL_SEARCH_SQL = O.global_search_sql(P.SEARCH_CUSTOMER)
 
 
 @register("q04_global_search", ["b_customers", "b_opportunities", "b_interactions", "b_tickets"],
@@ -125,15 +68,15 @@ def q04t(t):
 
 
 # ---- lists ---------------------------------------------------------------------------
-@register("q05_customer_list", ALL_CRM[:4], CUSTOMER_LIST_SQL.format(where=""))
+@register("q05_customer_list", ALL_CRM[:4], O.CUSTOMERS.sql())
 def q05(t):
     """Q5 customer list with owner and distinct opportunity / ticket counts."""
     return crm.customer_list(t)
 
 
-_Q5_WHERE = (f"AND {_like(['c.FullName', 'c.Company', 'c.Email', 'c.Phone'], P.SEARCH_COMPANY)} "
-             f"AND c.Segment = '{P.SEGMENT}'")
-_Q5_PAGE = page_ctes(CUSTOMER_LIST_SQL.format(where=_Q5_WHERE), "CreatedAt DESC, CustomerID", P.PAGE, 10)
+_Q5_WHERE = (f"{contains(['FullName', 'Company', 'Email', 'Phone'], P.SEARCH_COMPANY)} "
+             f"AND Segment = '{P.SEGMENT}'")
+_Q5_PAGE = page_ctes(O.CUSTOMERS.sql(_Q5_WHERE), "CreatedAt DESC, CustomerID", P.PAGE, 10)
 
 
 @register("q05_customer_list_page", ALL_CRM[:4], PAGE_SELECT.format(per_page=10), ctes=_Q5_PAGE)
@@ -142,6 +85,13 @@ def q05p(t):
     return crm.list_page(t, "customers", P.PAGE, q=P.SEARCH_COMPANY, segment=P.SEGMENT)
 
 
+@register("q05_customer_list_last_page", ALL_CRM[:4], PAGE_SELECT.format(per_page=10), ctes=page_ctes(
+    O.CUSTOMERS.sql(_Q5_WHERE), "CreatedAt DESC, CustomerID", P.PAST_THE_END, 10))
+def q05l(t):
+    """O8 a page number past the end of the searched customer list gives its last page."""
+    return crm.list_page(t, "customers", P.PAST_THE_END, q=P.SEARCH_COMPANY, segment=P.SEGMENT)
+
+
 @register("q05_customer_list_page_meta", ALL_CRM[:4], meta_sql(P.PAGE, 10), ctes=_Q5_PAGE)
 def q05m(t):
     """Q5/O9 page metadata of the searched customer list."""
@@ -178,13 +128,13 @@ def q07(t):
 
 
 @register("q08_opportunity_list", ["b_opportunities", "b_customers", "b_employees", "b_products"],
-          OPPORTUNITY_LIST_SQL.format(where=""))
+          O.OPPORTUNITIES.sql())
 def q08(t):
     """Q8 opportunity list with customer, company, owner and product."""
     return crm.opportunity_list(t)
 
 
-_Q8_PAGE = page_ctes(OPPORTUNITY_LIST_SQL.format(where=f"AND o.Stage = '{P.STAGE}'"),
+_Q8_PAGE = page_ctes(O.OPPORTUNITIES.sql(f"Stage = '{P.STAGE}'"),
                      OPPORTUNITY_ORDER_SQL, P.PAGE, 10)
 
 
@@ -195,7 +145,7 @@ def q08p(t):
     return crm.list_page(t, "opportunities", P.PAGE, stage=P.STAGE)
 
 
-_Q8_DEEP = page_ctes(OPPORTUNITY_LIST_SQL.format(where=""), OPPORTUNITY_ORDER_SQL, P.DEEP_PAGE, 10)
+_Q8_DEEP = page_ctes(O.OPPORTUNITIES.sql(), OPPORTUNITY_ORDER_SQL, P.DEEP_PAGE, 10)
 
 
 @register("q08_opportunity_list_deep_page", ["b_opportunities", "b_customers", "b_employees", "b_products"],
@@ -209,14 +159,14 @@ def q08d(t):
 
 
 @register("q09_interaction_list", ["b_interactions", "b_customers", "b_employees"],
-          INTERACTION_LIST_SQL.format(where=""))
+          O.INTERACTIONS.sql())
 def q09(t):
     """Q9 interaction list with customer, company and employee."""
     return crm.interaction_list(t)
 
 
-_Q9_PAGE = page_ctes(INTERACTION_LIST_SQL.format(
-    where=f"AND i.Type = '{P.EVENT_TYPE}' AND {_like(['i.Subject', 'c.FullName', 'c.Company'], P.SEARCH_COMPANY)}"),
+_Q9_PAGE = page_ctes(O.INTERACTIONS.sql(
+    f"Type = '{P.EVENT_TYPE}' AND {contains(['Subject', 'customer', 'Company'], P.SEARCH_COMPANY)}"),
     "InteractedAt DESC, InteractionID", P.PAGE, 10)
 
 
@@ -227,14 +177,14 @@ def q09p(t):
     return crm.list_page(t, "interactions", P.PAGE, q=P.SEARCH_COMPANY, itype=P.EVENT_TYPE)
 
 
-@register("q10_ticket_list", ["b_tickets", "b_customers", "b_employees"], TICKET_LIST_SQL.format(where=""))
+@register("q10_ticket_list", ["b_tickets", "b_customers", "b_employees"], O.TICKETS.sql())
 def q10(t):
     """Q10 ticket list with customer, company and assignee."""
     return crm.ticket_list(t)
 
 
-_Q10_PAGE = page_ctes(TICKET_LIST_SQL.format(
-    where=f"AND t.Status = '{P.TICKET_STATUS}' AND t.Priority = '{P.TICKET_PRIORITY}'"),
+_Q10_PAGE = page_ctes(O.TICKETS.sql(
+    f"Status = '{P.TICKET_STATUS}' AND Priority = '{P.TICKET_PRIORITY}'"),
     "CreatedAt DESC, TicketID", P.PAGE, 10)
 
 
@@ -252,13 +202,9 @@ def q10m(t):
     return crm.list_page_meta(t, "tickets", P.PAGE, status=P.TICKET_STATUS, priority=P.TICKET_PRIORITY)
 
 
-@register("q11_employee_workload", ["b_employees", "b_customers", "b_opportunities"], """
-SELECT e.EmployeeID, e.FullName, e.Email, e.Phone, e.Department, e.Role, e.Status,
-       COUNT(DISTINCT c.CustomerID) AS customer_count, COUNT(DISTINCT o.OpportunityID) AS opp_count
-FROM b_employees e
-LEFT JOIN b_customers c ON e.EmployeeID = c.AssignedTo
-LEFT JOIN b_opportunities o ON e.EmployeeID = o.EmployeeID
-GROUP BY ALL""")
+@register("q11_employee_workload", ["b_employees", "b_customers", "b_opportunities"],
+          O.EMPLOYEES.sql(columns="EmployeeID, FullName, Email, Phone, Department, Role, Status, "
+                                  "customer_count, opp_count"))
 def q11(t):
     """Q11 employee workload: distinct customers and opportunities."""
     return crm.employee_workload(t)
@@ -271,9 +217,7 @@ def q12(t):
     return crm.product_catalogue(t)
 
 
-@register("q13_user_accounts", ["b_users", "b_employees"], """
-SELECT u.*, e.FullName AS emp_name, e.Department
-FROM b_users u LEFT JOIN b_employees e ON u.EmployeeID = e.EmployeeID""")
+@register("q13_user_accounts", ["b_users", "b_employees"], O.ACCOUNTS.sql())
 def q13(t):
     """Q13 accounts with employee name and department."""
     return crm.user_accounts(t)
@@ -286,9 +230,9 @@ def q13p(t):
     return crm.pending_accounts(t)
 
 
-@register("q14_employees_without_account", ["b_employees", "b_users"], """
-SELECT EmployeeID, FullName, Department FROM b_employees
-WHERE Status = 'Active' AND EmployeeID NOT IN (SELECT EmployeeID FROM b_users WHERE EmployeeID IS NOT NULL)""")
+@register("q14_employees_without_account", ["b_employees", "b_users"],
+          "SELECT EmployeeID, FullName, Department FROM b_employees ANTI JOIN b_users USING (EmployeeID) "
+          "WHERE Status = 'Active'")
 def q14(t):
     """Q14 active employees without an account (NULL-guarded anti join)."""
     return crm.employees_without_account(t)
@@ -360,7 +304,7 @@ def q35(t):
 
 @register("q35_employee_performance_reference",
           ["b_employees", "b_customers", "b_opportunities", "b_interactions"],
-          _Q35.format(won=f"CAST(IFNULL(o.won, 0) * {_FAN} AS BIGINT)",
+          _Q35.format(won=f"CAST(CAST(IFNULL(o.won, 0) AS HUGEINT) * {_FAN} AS DOUBLE)",
                       revenue=f"IFNULL(o.revenue, 0) * {_FAN}"))
 def q35r(t):
     """Q35 employee performance with the reference's join fan-out in won/revenue."""
@@ -429,14 +373,14 @@ def q42(t):
     return crm.report_kpis(t)
 
 
-@register("q43_activity_log", ["b_activity"], ACTIVITY_SQL.format(where=""))
+@register("q43_activity_log", ["b_activity"], O.ACTIVITY.sql())
 def q43(t):
     """Q43 the full activity log (no filter)."""
     return crm.activity_log(t)
 
 
-_Q43_PAGE = page_ctes(ACTIVITY_SQL.format(
-    where=f"AND Action = '{P.ACTION}' AND {_like(['Username', 'FullName', 'Description'], P.SEARCH_LOG)}"),
+_Q43_PAGE = page_ctes(O.ACTIVITY.sql(
+    f"Action = '{P.ACTION}' AND {contains(['Username', 'FullName', 'Description'], P.SEARCH_LOG)}"),
     "CreatedAt DESC, LogID", 2, 20)
 
 

@@ -139,20 +139,29 @@ def s11s(t):
     return MT.register_enrollments(t, AS_OF)["students"]
 
 
-_ADM = "Role = 'admin' AND Status = 'Active'"
+# removals one after the other: an admin stays once the active admins removed before it leave only one
+_REFUSED = """refused AS (SELECT UserID
+FROM (SELECT UserID, count(*) FILTER (WHERE Status = 'Active')
+               OVER (ORDER BY UserID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM b_users SEMI JOIN c_user_removals USING (UserID) WHERE Role = 'admin') batch
+WHERE before >= (SELECT count(*) FROM b_users WHERE Role = 'admin' AND Status = 'Active') - 1)"""
 
 
-@register("s12_guarded_user_delete", ["b_users", "c_user_removals"], f"""
-SELECT u.* FROM b_users u
-WHERE u.UserID NOT IN (SELECT UserID FROM c_user_removals)
-   OR (u.Role = 'admin'
-       AND (SELECT count(*) FROM b_users WHERE {_ADM})
-           - (SELECT count(*) FROM b_users WHERE {_ADM} AND UserID IN (SELECT UserID FROM c_user_removals)) < 1)""")
+@register("s12_guarded_user_delete", ["b_users", "c_user_removals"], """
+SELECT * FROM b_users
+WHERE UserID NOT IN (SELECT UserID FROM c_user_removals) OR UserID IN (SELECT UserID FROM refused)""",
+          ctes=_REFUSED)
 def s12(t):
     """S12 delete accounts but keep the last active admin."""
     return MT.remove_users(t)["users"]
 
 
+@register("s12_refused_removals", ["b_users", "c_user_removals"], "SELECT UserID FROM refused", ctes=_REFUSED)
+def s12r(t):
+    """S12 the accounts of the batch whose removal is refused."""
+    return MT.remove_users(t)["refused"]
+
+
 _SIGNUP_CTES = r"""r AS (SELECT seq, regexp_replace(Username, '^\s+|\s+$', '', 'g') AS Username,
               regexp_replace(Password, '^\s+|\s+$', '', 'g') AS Password,
               regexp_replace(Confirm, '^\s+|\s+$', '', 'g') AS Confirm,

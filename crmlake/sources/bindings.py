@@ -74,12 +74,14 @@ SELECT o_orderkey AS TicketID, o_custkey AS CustomerID,
        o_orderdate AS CreatedAt
 FROM {orders}"""),
     "b_users": (("supplier",), """
-SELECT s_suppkey AS UserID, lower(replace(s_name, '#', '_')) AS Username,
+SELECT s_suppkey AS UserID,
+       CASE WHEN s_acctbal > 0 THEN lower(replace(s_name, '#', '_'))
+            ELSE 'ext_' || CAST(s_suppkey AS VARCHAR(20)) END AS Username,
        'secret' AS Password, s_name AS FullName,
-       CASE WHEN s_suppkey = 1 THEN 'admin' WHEN s_suppkey % 5 = 4 THEN 'guest' ELSE 'employee' END AS Role,
-       CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE s_suppkey END AS EmployeeID,
+       CASE WHEN s_acctbal < 100 THEN 'admin' WHEN s_suppkey % 5 = 4 THEN 'guest' ELSE 'employee' END AS Role,
+       CASE WHEN s_suppkey % 5 = 4 OR s_acctbal <= 0 THEN NULL ELSE s_suppkey END AS EmployeeID,
        CASE WHEN s_suppkey % 6 = 5 THEN 'Inactive' ELSE 'Active' END AS Status
-FROM {supplier} WHERE s_acctbal > 0"""),
+FROM {supplier}"""),
     "b_activity": (("events",), """
 SELECT event_id AS LogID, 'u' || CAST(user_id AS VARCHAR(20)) AS Username,
        'User ' || CAST(user_id AS VARCHAR(20)) AS FullName,

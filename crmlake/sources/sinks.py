@@ -1,22 +1,23 @@
 """Sinks: snapshot writes that never expose a half-written table, and
 lineage cuts that survive executor loss.
 
-A table lives under ``root`` as immutable versions ``root/v=<n>`` plus a
-one-line pointer ``root/_current``. Writers finish a new version before they
-rewrite the pointer, so a reader never sees a partly written version; a
-reader that finds no pointer (it is being rewritten) falls back to the newest
-version that has committed data files. Multi-table change sets of the
-maintenance operators are staged this way and switched by the caller.
-Everything goes through the DataFrame writer, so the paths may be
+A table lives under ``root`` as immutable versions ``root/v=<n>``; the tables
+beside it (same parent folder) form one store. A commit writes every new
+version completely and then one numbered manifest
+``<store>/_commits/n=<k>`` (a single file, never rewritten) naming the version
+of each table of the store. Readers take the highest manifest and nothing
+else, so they see neither staged versions nor a mix of two commits, and a
+commit that fails part way changes nothing. A store has one writer at a time.
+Everything goes through the DataFrame reader and writer, so the paths may be
 HDFS/S3/ABFS.
 """
 
 from __future__ import annotations
 
-import re
 import time
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,42 +33,67 @@ def _write_version(df: DataFrame, root: str, partition_by: list[str] | None = No
     return version
 
 
-def _point(spark: SparkSession, root: str, version: str) -> None:
-    (spark.createDataFrame([(version,)], "path string").coalesce(1)
-     .write.mode("overwrite").text(f"{root.rstrip('/')}/_current"))
+def read_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None when there is none. Only a
+    missing path counts as absent; every other read error is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _store_of(root: str) -> tuple[str, str]:
+    store, _, table = root.rstrip("/").rpartition("/")
+    return store, table
+
+
+def _manifest(spark: SparkSession, store: str) -> tuple[int, dict[str, str]]:
+    """Number of the last commit and the version of each table (one row per
+    table of the store); ``(0, {})`` before the first commit."""
+    log = read_if_exists(spark, f"{store}/_commits", "tbl string, path string, n long")
+    last = log.agg(F.max("n")).first()[0] if log is not None else None
+    if last is None:
+        return 0, {}
+    return last, {r["tbl"]: r["path"] for r in log.filter(F.col("n") == last).collect()}
+
+
+def _commit(spark: SparkSession, versions: dict[str, str]) -> None:
+    stores = {_store_of(root)[0] for root in versions}
+    if len(stores) != 1:
+        raise ValueError("tables of one commit must share their parent folder")
+    store = stores.pop()
+    last, tables = _manifest(spark, store)
+    tables.update({_store_of(root)[1]: path for root, path in versions.items()})
+    (spark.createDataFrame(sorted(tables.items()), "tbl string, path string").coalesce(1)
+     .write.mode("errorifexists").parquet(f"{store}/_commits/n={last + 1}"))
 
 
 def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
     version = _write_version(df, root, partition_by)
-    _point(df.sparkSession, root, version)
+    _commit(df.sparkSession, {root: version})
     return version
 
 
 def commit_snapshots(snapshots: dict[str, DataFrame]) -> dict[str, str]:
-    """Stage then swap several tables (``{root: new snapshot}``), e.g. the
-    enrollments, classes and students of one enrollment batch: every new
-    version is written completely before any pointer moves, so a failure
-    while writing leaves all tables on their old versions."""
+    """Commit several tables of a store at once (``{root: new snapshot}``),
+    e.g. the enrollments, classes and students of one enrollment batch: every
+    new version is written completely before the one manifest that names
+    them all, so a failure leaves all tables on their old versions."""
     versions = {root: _write_version(df, root) for root, df in snapshots.items()}
-    for root, version in versions.items():
-        _point(snapshots[root].sparkSession, root, version)
+    if versions:
+        _commit(next(iter(snapshots.values())).sparkSession, versions)
     return versions
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    root = root.rstrip("/")
-    try:
-        pointer = spark.read.text(f"{root}/_current").first()
-    except Exception:  # noqa: BLE001 - pointer missing or being rewritten
-        pointer = None
-    if pointer is not None:
-        return spark.read.parquet(pointer[0])
-    # newest version with committed data files (file listing only, no data read)
-    versions = {int(m.group(1)) for f in spark.read.parquet(root).inputFiles()
-                if (m := re.search(r"/v=(\d+)/", f))}
-    if not versions:
-        raise FileNotFoundError(f"no snapshot under {root}")
-    return spark.read.parquet(f"{root}/v={max(versions)}")
+    """The last committed version of the table at ``root``."""
+    store, table = _store_of(root)
+    path = _manifest(spark, store)[1].get(table)
+    if path is None:
+        raise FileNotFoundError(f"no committed snapshot of {root}")
+    return spark.read.parquet(path)
 
 
 def append_rows(df: DataFrame, root: str) -> None:

@@ -3,7 +3,9 @@
 The reference appends one log row per user action. Here new entries arrive
 as files in a landing folder; a Structured Streaming query picks them up
 (file source, exactly-once bookkeeping in the checkpoint) and appends them
-to the log with ``LogID`` continuing the log's maximum.
+to the log. ``LogID`` continues the stream's own maximum and that of an
+``existing`` log handed to ``start_activity_stream``. Entries without a time
+get the time at which their batch is written.
 
 Each micro-batch is written to its own folder ``<log>/batch_id=<n>`` with
 mode ``overwrite``: when a batch is replayed after a failure it rewrites the
@@ -24,6 +26,7 @@ from pyspark.sql import types as T
 from crmlake.operators.paging import global_index
 from crmlake.sources.readers import apply_defaults
 from crmlake.sources.schemas import ACTIVITY_LOG
+from crmlake.sources.sinks import read_if_exists
 
 ENTRY_ORDER = ["CreatedAt", "Username", "Action", "Module", "Description", "IPAddress"]
 
@@ -49,19 +52,21 @@ def entries_from_events(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("seq"))
 
 
-def _append_batch(log_root: str, order: list, as_of) -> callable:
+def _append_batch(log_root: str, order: list, as_of, first_free: int) -> callable:
     keys_root = f"{log_root}/_keys"  # hidden from readers of the log (leading underscore)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:  # one tiny row per earlier batch, not a scan of the log
-            prior = (spark.read.parquet(keys_root).filter(F.col("batch_id") < batch_id)
-                     .agg(F.max("max_key")).first()[0]) or 0
-        except Exception:  # noqa: BLE001 - first batch: nothing written yet
-            prior = 0
+        # one tiny row per earlier batch, not a scan of the log
+        keys = read_if_exists(spark, keys_root, "max_key long, batch_id long")
+        prior = first_free - 1
+        if keys is not None:
+            last = keys.filter(F.col("batch_id") < batch_id).agg(F.max("max_key")).first()[0]
+            prior = max(prior, last or 0)
+        stamp = as_of or spark.range(1).select(F.localtimestamp().cast("string")).first()[0]
         numbered = global_index(batch, order, "__pos")
         rows = numbered.withColumn("LogID", F.lit(prior).cast("long") + F.col("__pos")).drop("__pos")
-        rows = apply_defaults(rows, ACTIVITY_LOG, as_of)
+        rows = apply_defaults(rows, ACTIVITY_LOG, stamp)
         rows.write.mode("overwrite").parquet(f"{log_root}/batch_id={batch_id}")
         top = spark.read.parquet(f"{log_root}/batch_id={batch_id}").agg(
             F.coalesce(F.max("LogID"), F.lit(prior).cast("long")).alias("max_key"))
@@ -70,13 +75,20 @@ def _append_batch(log_root: str, order: list, as_of) -> callable:
 
 
 def start_activity_stream(spark: SparkSession, source: DataFrame, log_root: str, checkpoint: str,
-                          as_of=None, order: list | None = None, available_now: bool = True):
+                          as_of=None, order: list | None = None, available_now: bool = True,
+                          existing: DataFrame | None = None):
     """Start the append stream. ``source`` is a streaming DataFrame of
     activity entries (columns of the log except ``LogID``); returns the
     ``StreamingQuery``. ``available_now`` processes what has landed and
-    stops (batch-like runs); otherwise it keeps polling."""
+    stops (batch-like runs); otherwise it keeps polling. ``as_of`` fixes the
+    time of undated entries (default: the time of their batch). ``existing``
+    is an earlier log kept elsewhere: new keys follow its largest ``LogID``,
+    read once here, so pass the same log when the stream is restarted."""
+    first_free = 1
+    if existing is not None:
+        first_free += existing.agg(F.max("LogID")).first()[0] or 0
     writer = (source.writeStream.foreachBatch(_append_batch(log_root, order or ENTRY_ORDER + ["seq"],
-                                                            as_of or "1970-01-01 00:00:00"))
+                                                            as_of, first_free))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

@@ -1,5 +1,6 @@
 """Table-maintenance operators: keys, defaults, transitions, deletes, guards."""
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -88,6 +89,35 @@ def test_guarded_delete_keeps_last_admin(seed, spark):
     assert sorted(r[0] for r in rows(out2["users"], "UserID")) == [2, 3]
 
 
+ADMIN_SCHEMA = "UserID long, Role string, Status string"
+
+
+@pytest.mark.parametrize("admins,batch,refused", [
+    ([(1, "Active"), (2, "Inactive")], [2], [2]),                  # one active left: no admin goes
+    ([(1, "Active"), (2, "Active")], [1, 2], [2]),                 # the first goes, the second stays
+    ([(1, "Active"), (2, "Active"), (3, "Inactive")], [1, 3], [3]),
+    ([(1, "Active"), (2, "Active"), (3, "Inactive")], [2, 3], [3]),
+    ([(1, "Inactive"), (2, "Active"), (3, "Active")], [1, 2], []),
+    ([(1, "Active"), (2, "Active"), (3, "Active")], [1, 2, 3], [3]),
+    ([(1, "Inactive")], [1], [1]),
+])
+def test_guarded_delete_equals_one_by_one(spark, admins, batch, refused):
+    users = spark.createDataFrame([(u, "admin", s) for u, s in admins] + [(9, None, None)], ADMIN_SCHEMA)
+    out = M.guarded_delete(users, spark.createDataFrame([(u,) for u in [*batch, 9]], "UserID long"))
+    assert sorted(r[0] for r in rows(out["refused"], "UserID")) == refused
+    kept = [u for u, _ in admins if u not in batch or u in refused]
+    assert sorted(r[0] for r in rows(out["users"], "UserID")) == kept
+
+
+def test_unordered_changes_for_one_key_raise(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y")], "k long, v string")
+    with pytest.raises(Exception, match="several changes"):
+        M.update_by_key(base, twice, "k", ["v"]).collect()
+    once = spark.createDataFrame([(1, None), (None, "n"), (None, "m")], "k long, v string")
+    assert sorted(map(tuple, M.update_by_key(base, once, "k", ["v"]).collect())) == [(1, None), (2, "b")]
+
+
 def test_signup_outcomes_in_reference_order(seed, spark):
     req = spark.createDataFrame([
         (1, "admin", "secret1", "secret1", "A"),      # taken
@@ -139,15 +169,25 @@ def test_tableset_reads_contract_folders(spark, seed, tmp_path):
     assert v1 != v2 and read_snapshot(spark, f"{root}/snap").count() == 3
 
 
-def test_snapshot_read_falls_back_to_newest_complete_version(spark, seed, tmp_path):
-    from crmlake.sources.sinks import read_snapshot, write_snapshot
-    root = str(tmp_path / "snap")
-    write_snapshot(seed.customers, root)
-    write_snapshot(seed.customers.limit(2), root)
-    # pointer gone (e.g. mid-rewrite): the newest finished version is read
-    import shutil
-    shutil.rmtree(f"{tmp_path}/snap/_current")
-    assert read_snapshot(spark, root).count() == 2
+def test_snapshot_reads_see_commits_only(spark, seed, tmp_path):
+    from crmlake.sources import sinks
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    sinks.commit_snapshots({a: seed.customers.limit(3), b: seed.customers.limit(2)})
+    # staged, not committed: invisible, whatever its time
+    sinks._write_version(seed.customers.limit(4), a)
+    assert sinks.read_snapshot(spark, a).count() == 3
+    # a table that cannot be written leaves every table as it was
+    broken = seed.customers.withColumn("FullName", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.commit_snapshots({a: seed.customers.limit(1), b: broken})
+    assert (sinks.read_snapshot(spark, a).count(), sinks.read_snapshot(spark, b).count()) == (3, 2)
+    # a later commit of one table keeps the other
+    sinks.write_snapshot(seed.customers.limit(1), a)
+    assert (sinks.read_snapshot(spark, a).count(), sinks.read_snapshot(spark, b).count()) == (1, 2)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_snapshot(spark, str(tmp_path / "c"))
+    with pytest.raises(ValueError):
+        sinks.commit_snapshots({a: seed.customers, str(tmp_path / "other" / "d"): seed.customers})
 
 
 def test_audit_violations_list_the_offending_values(spark):

@@ -195,3 +195,28 @@ def test_collation_modes_for_facets_and_grouping(spark):
     got = sorted(r[1] for r in rows(count_by(df, ["s"], collation="UNICODE_CI_AI_RTRIM")))
     assert got == [1, 1, 3]
     assert len(rows(count_by(df, ["s"]))) == 5
+
+
+def test_pages_cover_tied_rows_once_across_strategies(spark):
+    df = spark.range(200).select((F.col("id") % 2).alias("g"), F.col("id").alias("v")).repartition(7)
+    for limits in ([0] * 8, [10**6] * 8, [10**6] * 4 + [0] * 4):
+        seen = []
+        for page, limit in enumerate(limits, 1):
+            seen += [r[0] for r in rows(Pg.paginate(df, ["g"], page, 10, shallow_limit=limit), "v")]
+        assert sorted(seen) == list(range(0, 160, 2))
+    # an expression as the sort key, past the end
+    last = [rows(Pg.paginate(df, [F.col("g").desc()], 99, 30, shallow_limit=n), "v", "row_num") for n in (0, 10**6)]
+    assert sorted(last[0]) == sorted(last[1]) and len(last[0]) == 20
+
+
+@pytest.mark.parametrize("q,hits", [("a\\b", ["ab"]), ("50\\%", ["50%"]), ("\\\\", ["a\\b"]), ("_b", ["ab", "a\\b"])])
+def test_search_takes_backslashes(spark, q, hits):
+    df = spark.createDataFrame([("ab",), ("a\\b",), ("50%",), ("500",)], "v string")
+    assert sorted(r[0] for r in df.filter(Pr.search(["v"], q)).collect()) == sorted(hits)
+
+
+def test_strip_takes_unicode_space(spark):
+    texts = ["\u00a0\u3000 x y\u2003\n", "\x1f\x1c", "\t\u0085z", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(X.strip_ws("t")).collect()]
+    assert got == [t.strip() for t in texts]
