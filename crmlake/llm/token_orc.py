@@ -36,12 +36,13 @@ from crmlake.llm.common import documents, shuffle_partitions, work_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-KEEP_WORDS = 500_000
+KEEP_WORDS = 1_000_000
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
            "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
 SCHEMA = "part int, pos int, doc_id long, ids array<int>"
 # a word's last letter, then punctuation up to white space: a space between them changes nothing
-TAIL = re.compile(rb"(?<=[a-z0-9])([!#$%&*,.:;?]+)(?=[\x20\x09-\x0d]|\Z)")
+# (the look-behind follows the first mark, so the search skips from mark to mark)
+TAIL = re.compile(rb"[!#$%&*,.:;?](?<=[a-z0-9].)[!#$%&*,.:;?]*(?=[\x20\x09-\x0d]|\Z)")
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _encoders: dict[str, Encoder] = {}
 
@@ -70,15 +71,19 @@ class Encoder:
         return _encoders[vocabulary]
 
     def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        plain = [bool(PLAIN.fullmatch(t)) for t in texts]
-        simple = [t for t, p in zip(texts, plain, strict=True) if p]
+        simple, other = [], []
+        for word in words:
+            text = word.decode()
+            if PLAIN.fullmatch(text):
+                simple.append(word)
+            else:
+                other.append(text)
         for lo in range(0, len(simple), 1000):
             part = simple[lo:lo + 1000]
-            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            for word, own in zip(part, np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1), strict=True):
-                self.known[word.encode()] = own.tobytes()
-        other = [t for t, p in zip(texts, plain, strict=True) if not p]
+            ids = np.array(self.plain.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            data, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            for word, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
+                self.known[word] = data[a:b]
         for lo in range(0, len(other), 1000):
             part = other[lo:lo + 1000]
             for word, found in zip(part, self.full.encode_batch(part, add_special_tokens=False), strict=True):
@@ -88,7 +93,7 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > KEEP_WORDS:
             self.known.clear()
-        split = [None if b"<|" in t else TAIL.sub(rb" \1", t.lower()).split() for t in texts]
+        split = [None if b"<|" in t else TAIL.sub(rb" \g<0>", t.lower()).split() for t in texts]
         fresh = set().union(*[s for s in split if s is not None]).difference(self.known)
         if fresh:
             self.learn(sorted(fresh))
