@@ -325,10 +325,12 @@ def employee_performance(t, fanout: str = "exact") -> DataFrame:
                                              "__i_rows": _count()}),
     ])
     if fanout == "reference":
-        factor = (F.greatest(F.col("__c_rows"), F.lit(1)).cast("double")
-                  * F.greatest(F.col("__i_rows"), F.lit(1)).cast("double"))
-        # three counts multiply past a BIGINT: computed as doubles
-        out = out.withColumn("won", F.col("won") * factor).withColumn("revenue", F.col("revenue") * factor)
+        # three counts multiply past a BIGINT; decimals keep revenue exact
+        wide = "decimal(19,0)"
+        factor = (F.greatest(F.col("__c_rows"), F.lit(1)).cast(wide)
+                  * F.greatest(F.col("__i_rows"), F.lit(1)).cast(wide))
+        out = (out.withColumn("won", (F.col("won").cast(wide) * factor).cast("double"))
+               .withColumn("revenue", F.col("revenue") * factor))
     out = (out.withColumn("revenue", money("revenue"))
            .withColumn("win_rate", row_win_rate("won", "total_opps"))
            .withColumn("tier", win_tier("win_rate")))
