@@ -17,8 +17,8 @@ the test reads p(entity|term) >= 2 ** -((1 - threshold) * IC). Disclosing terms
 become spans of kind ``term`` there and, in sanitised texts, are generalised to
 ``[TERM]``; base matches become ``[EMAIL]`` and so on, or are removed.
 
-Rows: null text is empty; the id is carried, so null and repeated ids are fine
-(rows with the same id count as one document in the corpus statistics).
+Rows: null text is empty; the id is only carried, so null and repeated ids are fine
+(each row counts as one document in the corpus statistics).
 """
 
 from __future__ import annotations
@@ -101,40 +101,45 @@ def joined_spans(spans: Column) -> Column:
         ":", name(m["kind"]), m["start"].cast("string"), m["end"].cast("string"))), ",")
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, entity, start, end, term): words near each entity; words cut by the
-    border of the context are left out."""
-    one = found.select("doc_id", "text", F.explode("base").alias("m"))
-    lo = F.greatest(F.col("m.start") - CONTEXT, F.lit(0))
-    before = F.substring("text", lo + 1, F.col("m.start") - lo)
-    after = F.substring("text", F.col("m.end") + 1, F.lit(CONTEXT))
-    spans = F.concat(
-        F.filter(matches(before, TERM, "term", lo), lambda t: (t["start"] > lo) | (lo == 0)),
-        F.filter(matches(after, TERM, "term", F.col("m.end")),
-                 lambda t: (t["end"] < F.col("m.end") + CONTEXT) | (F.length(after) < CONTEXT)))
-    rows = one.select("doc_id", F.struct("m.kind", F.lower("m.value").alias("value")).alias("entity"), F.explode(spans).alias("t"))
-    return rows.select("doc_id", "entity", F.col("t.start").alias("start"), F.col("t.end").alias("end"),
-                       F.lower("t.value").alias("term"))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, contexts: DataFrame, threshold: float = THRESHOLD,
-                     min_docs: int = MIN_DOCS) -> DataFrame:
-    """(entity, term, pmi, ic) over the threshold. ``docs``: doc_id, text of the corpus."""
-    joint = (contexts.groupBy("entity", "term", "doc_id").count().groupBy("entity", "term")
-             .agg(F.count("doc_id").alias("n_joint")).where(F.col("n_joint") >= min_docs))
+def _entity(m: Column) -> Column:
+    """Key of the value found: its kind and its text in lower case."""
+    return F.concat(m["kind"].cast("string"), F.lower(m["value"]))
+
+
+def _contexts(text: Column, base: Column) -> Column:
+    """array<struct<entity, start, end, term>>: words near each entity of a row; words cut
+    by the border of the context are left out."""
+    def around(m):
+        lo = F.greatest(m["start"] - CONTEXT, F.lit(0))
+        before, after = F.substring(text, lo + 1, m["start"] - lo), F.substring(text, m["end"] + 1, F.lit(CONTEXT))
+        spans = F.concat(
+            F.filter(matches(before, TERM, "term", lo), lambda t: (t["start"] > lo) | (lo == 0)),
+            F.filter(matches(after, TERM, "term", m["end"]), lambda t: (t["end"] < m["end"] + CONTEXT) | (F.length(after) < CONTEXT)))
+        return F.transform(spans, lambda t: F.struct(
+            _entity(m).alias("entity"), t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("term")))
+    return F.flatten(F.transform(base, around))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(entity, term, pmi, ic) over the threshold. ``docs``: text of the corpus; ``found``:
+    base and near of its rows. Each row's own values are made distinct within the row, so
+    every count is summed in the map tasks before its shuffle."""
+    def rows_with(values, name):  # strings: array_distinct hashes them, structs it would compare pairwise
+        return found.select(F.explode(F.array_distinct(values)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias(name))
+    pair = F.split("key", "\t", 2)  # neither entities nor terms hold a tab
+    joint = (rows_with(F.transform("near", lambda t: F.concat_ws("\t", t["entity"], t["term"])), "n_joint")
+             .where(F.col("n_joint") >= min_docs).select(pair[0].alias("entity"), pair[1].alias("term"), "n_joint"))
     joint = written(joint, "pii-joint")
-    entities = (found.select("doc_id", F.explode("base").alias("m"))
-                .select("doc_id", F.struct("m.kind", F.lower("m.value").alias("value")).alias("entity"))
-                .groupBy("entity", "doc_id").count().groupBy("entity").agg(F.count("doc_id").alias("n_entity")))
+    entities = rows_with(F.transform("base", _entity), "n_entity").withColumnRenamed("key", "entity")
     # the documents of each candidate term, counted over all words of all texts. Cells of
     # the terms' hashes (at most TERM_CELLS rows, so small enough to broadcast) drop most
     # other words before the shuffle; the join after it is on the term itself.
     cell = F.pmod(F.xxhash64("term"), F.lit(TERM_CELLS)).cast("int").alias("cell")
     cells = joint.select(cell).distinct()
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     hits = words.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell")
-    per_term = (hits.groupBy("term", "doc_id").count().groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
+    per_term = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = docs.agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.greatest("n", F.lit(1)))
     n = total.first()[0]
     log = lambda c: F.log2(c.cast("double"))
@@ -150,20 +155,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """doc_id, base (spans with values), terms (disclosing spans), one row per row of ``docs``."""
     corpus = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = corpus.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    # texts are kept only where something was found: later steps need no others
-    found = written(found.select("doc_id", F.when(F.size("base") > 0, F.col("text")).alias("text"), "base"), "pii-found")
+    # texts are kept only where something was found: later steps need no others. The number
+    # of a row is written with it, so it stays the same when tasks run again.
+    found = written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.size("base") > 0, F.col("text")).alias("text"),
+                                 "base"), "pii-found")
     hit = found.where(F.size("base") > 0)
-    contexts = written(_contexts(hit), "pii-contexts")
-    risky = disclosing_terms(corpus, hit, contexts, threshold, min_docs).select("entity", "term")
-    spans = (contexts.join(risky, ["entity", "term"])
-             .groupBy(F.col("doc_id").alias("__id"))
+    near = written(hit.select("row", "base", _contexts(F.col("text"), F.col("base")).alias("near")), "pii-contexts")
+    risky = disclosing_terms(corpus, near, threshold, min_docs).select("entity", "term")
+    each = near.select("row", F.explode("near").alias("t")).select("row", "t.*")
+    # from here on only numbers, spans and values are shuffled, never texts (unless the caller reads them)
+    spans = (each.join(risky, ["entity", "term"]).groupBy("row")
              .agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", F.col("term").alias("value"))).alias("terms")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    full = found.join(spans, found["doc_id"].eqNullSafe(spans["__id"]), "left")
-    # rows that share an id share term spans; a span applies where this row's text holds the term
-    own = F.filter("terms", lambda t: F.lower(F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"])) == t["value"])
     outside = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    return full.select("doc_id", "text", "base", F.sort_array(F.coalesce(F.filter(own, outside), none)).alias("terms"))
+    return found.join(spans, "row", "left").select(
+        "doc_id", "text", "base", F.sort_array(F.coalesce(F.filter("terms", outside), none)).alias("terms"))
 
 
 def sanitised(found: DataFrame, remove: bool = False) -> DataFrame:

@@ -258,3 +258,45 @@ def test_pipeline_against_its_parts(spark, sf, sf_texts, tik):
     assert {r["doc_id"] for r in out} == after
     for r in out:
         assert r["ids"] == tik.encode_ordinary(sf_texts[r["doc_id"]])
+
+
+def brute_terms(texts, threshold=pii.THRESHOLD, min_docs=pii.MIN_DOCS):
+    """Disclosing spans of every text, from counts over all texts (each text one document)."""
+    word = regex.compile(r"\p{L}{4,}+")
+    near, ent, has = [], [], Counter()
+    for t in texts:
+        own = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in brute_pii(t))]
+        ent.append({(k, t[a:b].lower()) for k, a, b in own})
+        has.update(set(word.findall(t.lower())))
+        found = set()
+        for k, a, b in own:
+            lo, hi = max(a - pii.CONTEXT, 0), min(b + pii.CONTEXT, len(t))
+            hits = [(m.start() + lo, m.end() + lo) for m in word.finditer(t[lo:a]) if m.start() > 0 or lo == 0]
+            hits += [(m.start() + b, m.end() + b) for m in word.finditer(t[b:hi]) if m.end() + b < b + pii.CONTEXT or hi - b < pii.CONTEXT]
+            found |= {((k, t[a:b].lower()), x, y) for x, y in hits}
+        near.append((own, found))
+    n_ent = Counter(e for es in ent for e in es)
+    joint = Counter(p for (t, (_, f)) in zip(texts, near, strict=True) for p in {(e, t[x:y].lower()) for e, x, y in f})
+    out = []
+    for t, (own, found) in zip(texts, near, strict=True):
+        spans = set()
+        for e, x, y in found:
+            w = t[x:y].lower()
+            ic = np.log2(len(texts)) - np.log2(n_ent[e])
+            if joint[e, w] >= min_docs and has[w] and ic > 0 and \
+                    np.log2(joint[e, w]) + np.log2(len(texts)) - np.log2(has[w]) - np.log2(n_ent[e]) >= threshold * ic and \
+                    not any(a < y and x < b for _, a, b in own):
+                spans.add((x, y))
+        out.append(sorted(spans))
+    return out
+
+
+def test_pii_terms_equal_brute_force(spark, sf_texts):
+    """Also with null and repeated ids: each row is a document of its own."""
+    texts = list(sf_texts.values())
+    texts += [f"word{i} call Brandolin at +1 555 010 99{i % 4}{i % 4} today, Ask for Vexley" for i in range(12)]
+    ids = [None if n % 3 == 0 else n % 7 for n in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = Counter((r["doc_id"], tuple((t["start"], t["end"]) for t in r["terms"])) for r in rows(pii.find_pii(df).drop("text", "base")))
+    want = brute_terms(texts)
+    assert any(want) and got == Counter((i, tuple(w)) for i, w in zip(ids, want, strict=True))
