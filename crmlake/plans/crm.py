@@ -267,17 +267,19 @@ def customer_360(t) -> DataFrame:
     ]).withColumn("won_value", money("won_value"))
 
 
-def customer_detail(t, customer_id) -> dict[str, DataFrame]:
-    """Q7 (one customer): profile, opportunities, interactions, tickets (F8 point lookups)."""
-    key = F.col("CustomerID") == F.lit(customer_id)
-    opps = lookup(t.opportunities.filter(key), t.products, "ProductID", "ProductID",
+def customer_detail(t, customer_id=None) -> dict[str, DataFrame]:
+    """Q7: profile, opportunities, interactions and tickets of one customer (F8 point
+    lookups), or of all customers when no id is given."""
+    def of(df):
+        return df if customer_id is None else df.filter(F.col("CustomerID") == F.lit(customer_id))
+    opps = lookup(of(t.opportunities), t.products, "ProductID", "ProductID",
                   {"ProductName": "ProductName"}, "left")
     opps = lookup(opps, t.employees, "EmployeeID", "EmployeeID", {"FullName": "emp"}, "left")
-    inters = lookup(t.interactions.filter(key), t.employees, "EmployeeID", "EmployeeID",
+    inters = lookup(of(t.interactions), t.employees, "EmployeeID", "EmployeeID",
                     {"FullName": "emp"}, "inner")
-    tickets = lookup(t.tickets.filter(key), t.employees, "EmployeeID", "EmployeeID",
+    tickets = lookup(of(t.tickets), t.employees, "EmployeeID", "EmployeeID",
                      {"FullName": "emp"}, "left")
-    return {"customer": t.customers.filter(key),
+    return {"customer": of(t.customers),
             "opportunities": opps.orderBy(*order_spec(*OPPORTUNITY_ORDER)),
             "interactions": inters.orderBy(*order_spec(*INTERACTION_ORDER)),
             "tickets": tickets.orderBy(*order_spec(*TICKET_ORDER))}

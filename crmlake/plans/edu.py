@@ -171,26 +171,33 @@ def student_360(t) -> DataFrame:
     return out.withColumn("remaining", F.col("total_fee") - F.col("paid"))
 
 
-def student_detail(t, student_id) -> dict[str, DataFrame]:
-    """Q17 (one student): profile, enrollments with balance, consultations,
+def active_staff(t) -> DataFrame:
+    """Q6 (training centre): active staff for pick lists, by name."""
+    return (t.staff.filter(F.col("Status") == "Active")
+            .select("StaffID", "FullName").orderBy("FullName", "StaffID"))
+
+
+def student_detail(t, student_id=None) -> dict[str, DataFrame]:
+    """Q17 (one student, or all when no id is given): profile, enrollments with balance, consultations,
     feedbacks and payments (payments get ClassName through their enrollment,
     which the reference's query omits)."""
-    key = F.col("StudentID") == F.lit(student_id)
-    profile = lookup(t.students.filter(key), t.staff, "AssignedTo", "StaffID",
+    def of(df):
+        return df if student_id is None else df.filter(F.col("StudentID") == F.lit(student_id))
+    profile = lookup(of(t.students), t.staff, "AssignedTo", "StaffID",
                      {"FullName": "staff_name"}, "left")
-    enrolls = _class_and_course(t.enrollments.filter(key), t, {"ClassName": "ClassName"},
+    enrolls = _class_and_course(of(t.enrollments), t, {"ClassName": "ClassName"},
                                 {"CourseName": "CourseName"})
-    enrolls = with_balance(enrolls, "EnrollmentID", "FinalFee", t.payments.filter(key),
+    enrolls = with_balance(enrolls, "EnrollmentID", "FinalFee", of(t.payments),
                            "EnrollmentID", "Amount")
-    consults = lookup(t.consultations.filter(key), t.staff, "StaffID", "StaffID", {"FullName": "staff"}, "inner")
-    pays = lookup(t.payments.filter(key), t.staff, "CreatedBy", "StaffID", {"FullName": "staff"}, "left")
+    consults = lookup(of(t.consultations), t.staff, "StaffID", "StaffID", {"FullName": "staff"}, "inner")
+    pays = lookup(of(t.payments), t.staff, "CreatedBy", "StaffID", {"FullName": "staff"}, "left")
     pays = lookup(pays, t.enrollments, "EnrollmentID", "EnrollmentID", {"ClassID": "__class"}, "left")
     pays = lookup(pays, t.classes, "__class", "ClassID", {"ClassName": "ClassName"}, "left").drop("__class")
     from crmlake.operators.paging import order_spec
     return {"student": profile,
             "enrollments": enrolls.orderBy(*order_spec(*ENROLLMENT_ORDER)),
             "consultations": consults.orderBy(*order_spec(*CONSULT_ORDER)),
-            "feedbacks": t.feedbacks.filter(key).orderBy(*order_spec(*FEEDBACK_ORDER)),
+            "feedbacks": of(t.feedbacks).orderBy(*order_spec(*FEEDBACK_ORDER)),
             "payments": pays.orderBy(*order_spec(*PAYMENT_ORDER))}
 
 

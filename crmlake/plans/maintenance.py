@@ -61,6 +61,13 @@ def close_deals(t, changes: DataFrame, as_of, preserve_existing: bool = False) -
                                  seq="seq" if "seq" in changes.columns else None)
 
 
+def resolve_feedbacks(t, as_of) -> DataFrame:
+    """Feedback answers; the status becomes Resolved, ResolvedAt = as_of."""
+    answers = t.view("c_feedback_answers").withColumn("Status", F.lit("Resolved"))
+    return M.stamp_on_transition(t.feedbacks, answers, "FeedbackID", "Status", "ResolvedAt", ["Resolved"],
+                                 as_of, extra=["Response"])
+
+
 def purge_tickets(t) -> DataFrame:
     """Delete tickets by key."""
     return M.delete_by_key(t.tickets, t.view("c_ticket_purge"), "TicketID")

@@ -388,3 +388,28 @@ _Q43_PAGE = page_ctes(O.ACTIVITY.sql(
 def q43p(t):
     """Q43 page 2 (20 per page) of the action-filtered, searched activity log."""
     return crm.list_page(t, "activity", 2, q=P.SEARCH_LOG, action=P.ACTION)
+
+
+# ---- rows of the customer page's tabs, for all customers ---------------------------
+@register("q07_customer_opportunities", ["b_opportunities", "b_products", "b_employees"], """
+SELECT d.*, (SELECT any_value(x.ProductName) FROM b_products x WHERE x.ProductID = d.ProductID) AS ProductName,
+       (SELECT any_value(x.FullName) FROM b_employees x WHERE x.EmployeeID = d.EmployeeID) AS emp
+FROM b_opportunities d""")
+def q07_opportunities(t):
+    """Q7 deals of every customer with product and employee."""
+    return crm.customer_detail(t)["opportunities"]
+
+
+@register("q07_customer_interactions", ["b_interactions", "b_employees"], """
+SELECT i.*, w.FullName AS emp FROM b_employees w, b_interactions i WHERE i.EmployeeID = w.EmployeeID""")
+def q07_interactions(t):
+    """Q7 interactions of every customer with their employee."""
+    return crm.customer_detail(t)["interactions"]
+
+
+@register("q07_customer_tickets", ["b_tickets", "b_employees"], """
+SELECT k.*, (SELECT any_value(x.FullName) FROM b_employees x WHERE x.EmployeeID = k.EmployeeID) AS emp
+FROM b_tickets k""")
+def q07_tickets(t):
+    """Q7 tickets of every customer with their employee, if any."""
+    return crm.customer_detail(t)["tickets"]

@@ -62,6 +62,25 @@ def s07(t):
     return MT.transition_tickets(t, AS_OF)
 
 
+@register("s07_deal_transitions", ["b_opportunities", "c_deal_changes"], f"""
+SELECT o.* REPLACE (CASE WHEN ch.OpportunityID IS NULL THEN o.Stage ELSE ch.Stage END AS Stage,
+                    CASE WHEN ch.OpportunityID IS NULL THEN o.ClosedAt
+                         WHEN starts_with(ch.Stage, 'Closed') THEN {TS} END AS ClosedAt)
+FROM b_opportunities o LEFT JOIN c_deal_changes ch ON ch.OpportunityID = o.OpportunityID""")
+def s07_deals(t):
+    """S7 deal stage changes stamping or erasing ClosedAt."""
+    return MT.close_deals(t, t.view("c_deal_changes"), AS_OF)
+
+
+@register("s07_feedback_answers", ["b_feedbacks", "c_feedback_answers"], f"""
+SELECT f.* REPLACE (CASE WHEN a.FeedbackID IS NULL THEN f.Status ELSE 'Resolved' END AS Status),
+       a.Response, CASE WHEN a.FeedbackID IS NOT NULL THEN {TS} END AS ResolvedAt
+FROM b_feedbacks f LEFT JOIN c_feedback_answers a ON a.FeedbackID = f.FeedbackID""")
+def s07_feedbacks(t):
+    """S7 feedback answers stamping ResolvedAt."""
+    return MT.resolve_feedbacks(t, AS_OF)
+
+
 @register("s08_purge_tickets", ["b_tickets", "c_ticket_purge"], """
 SELECT * FROM b_tickets WHERE TicketID NOT IN (SELECT TicketID FROM c_ticket_purge WHERE TicketID IS NOT NULL)""")
 def s08(t):
@@ -83,6 +102,19 @@ def s09(t):
     return MT.delete_customers_summary(t)
 
 
+def _cascade_snapshot(name: str, view: str, key: str):
+    @register(f"s09_{name}_snapshot", [view, "c_closed_customers"], f"""
+SELECT v.* FROM {view} v ANTI JOIN c_closed_customers d ON v.CustomerID = d.CustomerID""")
+    def s09_snapshot(t):
+        """S9 the whole table after the customers of the change set were deleted."""
+        return MT.delete_customers(t)[key]
+
+
+for _name, _key in [("customers", "parent"), ("tickets", "tickets"), ("interactions", "interactions"),
+                    ("opportunities", "opportunities")]:
+    _cascade_snapshot(_name, f"b_{_name}", _key)
+
+
 @register("s10_retire_products", ["b_opportunities", "c_retired_products"], """
 SELECT o.* REPLACE (CASE WHEN o.ProductID IN (SELECT ProductID FROM c_retired_products) THEN NULL
                          ELSE o.ProductID END AS ProductID)
@@ -108,6 +140,24 @@ def s10e(t):
     return MT.remove_employees_summary(t)
 
 
+_LEAVING = "EXISTS (SELECT 1 FROM c_leaving_employees d WHERE d.EmployeeID = v.{})"
+
+
+def _removal_snapshot(name: str, view: str, key: str, sql: str):
+    @register(f"s10_{name}_snapshot", [view, "c_leaving_employees"], sql)
+    def s10_snapshot(t):
+        """S10 the whole table after the employees of the change set were removed."""
+        return MT.remove_employees(t)[key]
+
+
+for _name, _key in [("employees", "parent"), ("interactions", "interactions"), ("tickets", "tickets")]:
+    _removal_snapshot(_name, f"b_{_name}", _key,
+                      f"SELECT v.* FROM b_{_name} v WHERE NOT {_LEAVING.format('EmployeeID')}")
+_removal_snapshot("customers", "b_customers", "customers", f"""
+SELECT v.* REPLACE (CASE WHEN {_LEAVING.format('AssignedTo')} THEN NULL ELSE v.AssignedTo END AS AssignedTo)
+FROM b_customers v""")
+
+
 @register("s11_enrollments_snapshot", ["b_enrollments", "c_enrollment_requests"], f"""
 SELECT * FROM b_enrollments
 UNION ALL

@@ -166,6 +166,14 @@ FROM {customer} WHERE c_acctbal > 9000"""),
 SELECT o_orderkey AS TicketID,
        CASE WHEN o_orderstatus = 'P' THEN 'Resolved' ELSE 'Closed' END AS Status
 FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IN ('P', 'F')"""),
+    "c_deal_changes": (("orders",), """
+SELECT o_orderkey * 10 + 1 AS OpportunityID,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'Closed Won' WHEN '2-HIGH' THEN 'Closed Lost'
+            ELSE 'Negotiation' END AS Stage
+FROM {orders} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')"""),
+    "c_feedback_answers": (("conversations",), """
+SELECT conv_id * 1000 + turn AS FeedbackID, 'Answer to ' || role AS Response
+FROM {conversations} WHERE role = 'user'"""),
     "c_ticket_purge": (("orders",), """
 SELECT o_orderkey AS TicketID FROM {orders}
 WHERE o_orderstatus = 'F' AND o_orderdate < {TS1997}"""),
