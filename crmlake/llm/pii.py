@@ -11,11 +11,13 @@ entity tells:
     disclosed         when PMI >= threshold * IC, on at least min_docs documents
 
 with probabilities over documents (null texts included). Terms are words of at
-least ``MIN_TERM`` letters within ``CONTEXT`` code points of an entity; p(term)
+least ``MIN_TERM`` letters anywhere in a document that holds the entity; p(term)
 counts all documents that hold the term. Because PMI = IC - (-log2 p(entity|term)),
 the test reads p(entity|term) >= 2 ** -((1 - threshold) * IC). Disclosing terms
-become spans of kind ``term`` there and, in sanitised texts, are generalised to
-``[TERM]``; base matches become ``[EMAIL]`` and so on, or are removed.
+become spans of kind ``term`` at each of their places outside base matches: ``terms``
+in documents that hold an entity they disclose, ``elsewhere`` in all other texts. In
+sanitised texts both are generalised to ``[TERM]``; base matches become ``[EMAIL]``
+and so on, or are removed.
 
 Rows: null text is empty; the id is only carried, so null and repeated ids are fine
 (each row counts as one document in the corpus statistics).
@@ -40,26 +42,30 @@ PATTERNS = {
 KINDS = list(PATTERNS) + ["term"]
 TERM = r"\p{L}{4,}+"
 MIN_TERM = 4
-CONTEXT = 48
+CONTEXT = 2 ** 31 - 1      # code points around an entity that count as near it: more than a text can have
 THRESHOLD = 0.9
 MIN_DOCS = 2
-TERM_CELLS = 1 << 18
+CELLS = 1 << 18            # of hashes, for broadcast filters before exact joins
+LISTED_BITS = 1 << 21
+NONE = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str | Column, kind: str, shift: Column | int = 0) -> Column:
-    """array<struct<start, kind, end, value>> of all matches; the gaps between
-    matches (a split on the same pattern) give their positions."""
+def matches(text: Column, pattern: str | Column, kind: str, keep=None) -> Column:
+    """array<struct<start, kind, end, value>> of all matches, or of those whose value
+    ``keep`` accepts; the gaps between matches (a split on the same pattern) give their
+    positions."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    empty = F.array().cast(NONE)
 
     def add(acc, p):
         start = acc["at"] + F.length(p["gap"])
         end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
         row = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), p["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.when(p["hit"].isNull(), acc["rows"]).otherwise(
+        skip = p["hit"].isNull() if keep is None else p["hit"].isNull() | ~keep(p["hit"])
+        return F.struct(end.alias("at"), F.when(skip, acc["rows"]).otherwise(
             F.concat(acc["rows"], F.array(row))).alias("rows"))
-    begin = F.struct((F.lit(0) + shift).cast("int").alias("at"), empty.alias("rows"))
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("rows"))
     return F.aggregate(pairs, begin, add, lambda acc: acc["rows"])
 
 
@@ -79,7 +85,7 @@ def luhn(value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Valid base matches of all kinds, by start, then kind."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    none = F.array().cast(NONE)
     bare = lambda p: F.regexp_replace(p, "^0+", "")
     small = lambda v: F.forall(F.split(v, r"\."), lambda p: (F.length(bare(p)) <= 3) & (F.lpad(bare(p), 3, "0") <= "255"))
     count = lambda v: F.length(_digits(v))
@@ -106,76 +112,91 @@ def _entity(m: Column) -> Column:
     return F.concat(m["kind"].cast("string"), F.lower(m["value"]))
 
 
-def _contexts(text: Column, base: Column) -> Column:
-    """array<struct<entity, start, end, term>>: words near each entity of a row; words cut
-    by the border of the context are left out."""
-    def around(m):
-        lo = F.greatest(m["start"] - CONTEXT, F.lit(0))
-        before, after = F.substring(text, lo + 1, m["start"] - lo), F.substring(text, m["end"] + 1, F.lit(CONTEXT))
-        spans = F.concat(
-            F.filter(matches(before, TERM, "term", lo), lambda t: (t["start"] > lo) | (lo == 0)),
-            F.filter(matches(after, TERM, "term", m["end"]), lambda t: (t["end"] < m["end"] + CONTEXT) | (F.length(after) < CONTEXT)))
-        return F.transform(spans, lambda t: F.struct(
-            _entity(m).alias("entity"), t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("term")))
-    return F.flatten(F.transform(base, around))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(entity, term, pmi, ic) over the threshold. ``docs``: text of the corpus; ``found``:
-    base and near of its rows. Each row's own values are made distinct within the row, so
-    every count is summed in the map tasks before its shuffle."""
-    def rows_with(values, name):  # strings: array_distinct hashes them, structs it would compare pairwise
-        return found.select(F.explode(F.array_distinct(values)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias(name))
-    pair = F.split("key", "\t", 2)  # neither entities nor terms hold a tab
-    joint = (rows_with(F.transform("near", lambda t: F.concat_ws("\t", t["entity"], t["term"])), "n_joint")
-             .where(F.col("n_joint") >= min_docs).select(pair[0].alias("entity"), pair[1].alias("term"), "n_joint"))
-    joint = written(joint, "pii-joint")
-    entities = rows_with(F.transform("base", _entity), "n_entity").withColumnRenamed("key", "entity")
-    # the documents of each candidate term, counted over all words of all texts. Cells of
-    # the terms' hashes (at most TERM_CELLS rows, so small enough to broadcast) drop most
-    # other words before the shuffle; the join after it is on the term itself.
-    cell = F.pmod(F.xxhash64("term"), F.lit(TERM_CELLS)).cast("int").alias("cell")
-    cells = joint.select(cell).distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    hits = words.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell")
-    per_term = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.greatest("n", F.lit(1)))
-    n = total.first()[0]
-    log = lambda c: F.log2(c.cast("double"))
-    return (joint.join(per_term, "term").join(entities, "entity")
-            .withColumn("ic", F.log2(F.lit(float(n))) - log(F.col("n_entity")))
+def _terms(text: Column) -> Column:
+    """Distinct words of a text in lower case; the empty string if it has none."""
+    return F.array_distinct(F.split(F.lower(F.array_join(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), "\t")), "\t"))
+
+
+def _cell(value: Column, cells: int = CELLS) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(cells)).cast("int")
+
+
+def disclosing_terms(found: DataFrame, threshold: float = THRESHOLD, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(entity, term, pmi, ic) over the threshold. ``found``: text and base of all rows.
+    Values are made distinct within their row, so every count is summed in the map tasks
+    before its shuffle."""
+    n = max(found.count(), 1)
+    count, log = F.count(F.lit(1)), lambda c: F.log2(c.cast("double"))
+    own = F.array_distinct(F.transform("base", _entity))
+    entities = written(found.select(F.explode(own).alias("entity")).groupBy("entity").agg(count.alias("n_entity"))
+                       .withColumn("ic", F.log2(F.lit(float(n))) - log(F.col("n_entity")))
+                       .where((F.col("n_entity") >= min_docs) & (F.col("ic") > 0)), "pii-entities")
+    per_term = written(found.select(F.explode(_terms(F.col("text"))).alias("term")).where("term <> ''")
+                       .groupBy("term").agg(count.alias("n_term")).where(F.col("n_term") >= min_docs), "pii-terms")
+    # n_joint is at most n_entity and n_term, so a pair can pass only if both are at least
+    # min_docs and log2(n / n_term) >= threshold * IC. Cells of hashes (at most CELLS rows,
+    # so small enough to broadcast) hold the bounds of all values in them and drop most other
+    # pairs before they are counted; the joins after it are on the values themselves.
+    rare = per_term.groupBy(_cell(F.col("term")).alias("cell")).agg((F.log2(F.lit(float(n))) - log(F.min("n_term"))).alias("most"))
+    need = entities.groupBy(_cell(F.col("entity")).alias("cell")).agg((F.min("ic") * threshold if threshold >= 0 else F.max("ic") * threshold).alias("need"))
+    joint = (found.where(F.size("base") > 0).select(own.alias("own"), F.explode(_terms(F.col("text"))).alias("term")).where("term <> ''")
+             .withColumn("cell", _cell(F.col("term"))).join(F.broadcast(rare), "cell").drop("cell")
+             .select(F.explode("own").alias("entity"), "term", "most")
+             .withColumn("cell", _cell(F.col("entity"))).join(F.broadcast(need), "cell").where("most >= need - 1e-6")
+             .groupBy("entity", "term").agg(count.alias("n_joint")).where(F.col("n_joint") >= min_docs))
+    return (written(joint, "pii-joint").join(per_term, "term").join(entities, "entity")
             .withColumn("pmi", log(F.col("n_joint")) + F.log2(F.lit(float(n))) - log(F.col("n_term")) - log(F.col("n_entity")))
-            .where((F.col("ic") > 0) & (F.col("pmi") >= threshold * F.col("ic")))
+            .where(F.col("pmi") >= threshold * F.col("ic"))
             .select("entity", "term", "pmi", "ic"))
 
 
+def _listed(terms: DataFrame):
+    """A test that holds for every term of ``terms`` and few other words: a bit per cell of
+    hashes, 32 bits a term or more up to LISTED_BITS."""
+    cells = min(LISTED_BITS, max(1 << 10, 1 << (32 * terms.count()).bit_length()))
+    flags = bytearray(cells // 8)
+    for byte, bits in (terms.select(_cell(F.col("term"), cells).alias("cell")).groupBy(F.expr("shiftright(cell, 3)"))
+                       .agg(F.bit_or(F.expr("shiftleft(1, cell & 7)"))).collect()):
+        flags[byte] = bits
+
+    def listed(term):
+        cell = _cell(term, cells)
+        byte = F.ascii(F.decode(F.substring(F.lit(flags), F.shiftright(cell, 3) + 1, F.lit(1)), "ISO-8859-1"))
+        return F.getbit(byte, cell.bitwiseAND(F.lit(7))) == 1
+    return listed
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
              min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, base (spans with values), terms (disclosing spans), one row per row of ``docs``."""
+    """doc_id, text, base (spans with values), terms and elsewhere (disclosing spans), one row per row of ``docs``."""
     corpus = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = corpus.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    # texts are kept only where something was found: later steps need no others. The number
-    # of a row is written with it, so it stays the same when tasks run again.
-    found = written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.size("base") > 0, F.col("text")).alias("text"),
-                                 "base"), "pii-found")
-    hit = found.where(F.size("base") > 0)
-    near = written(hit.select("row", "base", _contexts(F.col("text"), F.col("base")).alias("near")), "pii-contexts")
-    risky = disclosing_terms(corpus, near, threshold, min_docs).select("entity", "term")
-    each = near.select("row", F.explode("near").alias("t")).select("row", "t.*")
-    # from here on only numbers, spans and values are shuffled, never texts (unless the caller reads them)
-    spans = (each.join(risky, ["entity", "term"]).groupBy("row")
-             .agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", F.col("term").alias("value"))).alias("terms")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    # the number of a row is written with it, so it stays the same when tasks run again
+    found = written(corpus.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", base_spans(F.col("text")).alias("base")),
+                    "pii-found")
+    risky = written(disclosing_terms(found, threshold, min_docs).groupBy("term").agg(F.collect_set("entity").alias("entities")),
+                    "pii-disclosing")
+    listed = _listed(risky)
     outside = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    places = F.filter(matches(F.col("text"), TERM, "term", lambda hit: listed(F.lower(hit))), outside)
+    each = (found.where(F.exists(_terms(F.col("text")), listed)).select("row", F.explode(places).alias("t"))
+            .select("row", "t.start", "t.kind", "t.end", F.lower("t.value").alias("term")))
+    # only numbers, spans and values are shuffled, never texts (unless the caller reads them)
+    spans = (each.join(risky, "term").groupBy("row")
+             .agg(F.collect_list(F.struct("start", "kind", "end", F.col("term").alias("value"), "entities")).alias("spans")))
+    own = F.transform("base", _entity)
+
+    def chosen(test):
+        kept = F.transform(F.filter("spans", test), lambda t: F.struct(t["start"], t["kind"], t["end"], t["value"]))
+        return F.sort_array(F.coalesce(kept.cast(NONE), F.array().cast(NONE)))
     return found.join(spans, "row", "left").select(
-        "doc_id", "text", "base", F.sort_array(F.coalesce(F.filter("terms", outside), none)).alias("terms"))
+        "doc_id", "text", "base", chosen(lambda t: F.arrays_overlap(own, t["entities"])).alias("terms"),
+        chosen(lambda t: ~F.arrays_overlap(own, t["entities"])).alias("elsewhere"))
 
 
 def sanitised(found: DataFrame, remove: bool = False) -> DataFrame:
     """doc_id and the text with every span generalised to its kind, or removed; null where
     nothing was found (the original text stands). Spans that overlap merge."""
-    spans = F.sort_array(F.concat("base", "terms"))
+    spans = F.sort_array(F.concat("base", "terms", "elsewhere"))
     name = lambda k: F.element_at(F.array(*[F.lit("" if remove else f"[{x.upper()}]") for x in KINDS]), k + 1)
 
     def add(acc, m):
@@ -194,4 +215,4 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
     number = lambda k: F.size(F.filter("base", lambda m: m["kind"] == k)).cast("long")
     return found.select("doc_id", *[number(KINDS.index(k)).alias(f"n_{k}") for k in PATTERNS],
                         F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"),
-                        joined_spans(F.concat("base", "terms")).alias("spans"))
+                        joined_spans(F.concat("base", "terms", "elsewhere")).alias("spans"))

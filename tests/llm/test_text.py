@@ -300,3 +300,26 @@ def test_pii_terms_equal_brute_force(spark, sf_texts):
     got = Counter((r["doc_id"], tuple((t["start"], t["end"]) for t in r["terms"])) for r in rows(pii.find_pii(df).drop("text", "base")))
     want = brute_terms(texts)
     assert any(want) and got == Counter((i, tuple(w)) for i, w in zip(ids, want, strict=True))
+
+
+def test_pii_terms_far_away_and_everywhere(spark):
+    """A name far from the address it discloses, at each of its places, also where the address is missing."""
+    gap = " ".join(["filler words about nothing much here"] * 20)
+    docs = [(i, f"filler words about nothing much here {i}") for i in range(400)]
+    docs += [(1000 + i, f"Zorgelina wrote this. {gap} Ask zorgelina! {gap} zorg@mail.example.com") for i in range(8)]
+    docs += [(2000, f"Only Zorgelina, {gap} and ZORGELINA"), (2001, gap)]
+    found = pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string"))
+    text = dict(docs)
+    marked = {r["doc_id"]: [[text[r["doc_id"]][t["start"]:t["end"]] for t in r[c]] for c in ("terms", "elsewhere")] for r in rows(found)}
+    assert marked[1003] == [["Zorgelina", "wrote", "this", "zorgelina"], []] and marked[2000] == [[], ["Zorgelina", "ZORGELINA"]]
+    assert marked[2001] == [[], []] and not any(marked[i] != [[], []] for i in range(400))
+    clean = {r["doc_id"]: r["text"] for r in rows(pii.sanitised(found))}
+    assert clean[2000] == f"Only [TERM], {gap} and [TERM]" and clean[2001] is None
+    assert "orgelina" not in clean[1003] and clean[1003].endswith("[EMAIL]")
+
+
+def test_pii_listed_terms(spark):
+    terms = spark.createDataFrame([(f"word{i}",) for i in range(500)], "term string")
+    words = spark.createDataFrame([(i, f"word{i}") for i in range(5000)], "i int, term string")
+    held = {r["i"] for r in rows(words.where(pii._listed(terms)(F.col("term"))))}
+    assert set(range(500)) <= held and len(held) < 1000
