@@ -12,6 +12,9 @@ under all values that near in each block. Candidates match if their weighted Jac
 similarity (sum of minima over sum of maxima of shingle counts) is at least
 ``THRESHOLD``.
 
+A document with fewer words than an item is one window, its whole text, for the items of
+which it has at least ``THRESHOLD`` of the shingles (no others can reach that similarity).
+
 A window that shares no shingle with any item has similarity 0, so only windows around a
 shared shingle are fingerprinted. Items go to the tasks in blocks of about
 ``ITEM_BLOCK`` (the benchmark is the stated query set, documents are never collected).
@@ -130,14 +133,25 @@ class Index:
             hits = np.flatnonzero(known[at] == shingles)
             if len(hits):
                 for n in np.unique(self.shape[self.shape[:, 0] == k, 1]).tolist():
-                    self._windows(shingles, hits, k, n, best)
+                    if n <= len(shingles):
+                        self._windows(shingles, hits, k, n, best)
+                    elif len(shingles) >= THRESHOLD * n - 1e-9:
+                        self._verify(shingles, np.zeros(1, np.int64), simhash(shingles)[None], k, n, best)
         return best
 
+    def _verify(self, shingles, starts, prints, k, n, best) -> None:
+        """Best matches among the items of n shingles for the windows at ``starts``."""
+        window, item = self.candidates(prints, k, n)
+        size = min(n, len(shingles))
+        for w, i in zip(starts[window].tolist(), item.tolist(), strict=True):
+            s = self.similarity(shingles[w:w + size], i)
+            name = self.items[i][0]
+            if s >= THRESHOLD and (name not in best or s > best[name][0]):
+                best[name] = (s, w, size + k - 1)
+
     def _windows(self, shingles, hits, k, n, best) -> None:
         last = len(shingles) - n
-        near = np.zeros(last + 2, np.int64) if last >= 0 else None
-        if near is None:
-            return
+        near = np.zeros(last + 2, np.int64)
         np.add.at(near, np.minimum(np.maximum(hits - n + 1, 0), last + 1), 1)
         np.add.at(near, np.minimum(hits + 1, last + 1), -1)
         starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
@@ -147,12 +161,7 @@ class Index:
             part, base = starts[lo:hi], starts[lo]
             total = np.zeros((part[-1] + n - base + 1, 64), np.int32)
             np.cumsum(signed_bits(shingles[base:part[-1] + n]), axis=0, out=total[1:])
-            window, item = self.candidates(pack(total[part - base + n] - total[part - base]), k, n)
-            for w, i in zip(part[window].tolist(), item.tolist(), strict=True):
-                s = self.similarity(shingles[w:w + n], i)
-                name = self.items[i][0]
-                if s >= THRESHOLD and (name not in best or s > best[name][0]):
-                    best[name] = (s, w, n + k - 1)
+            self._verify(shingles, part, pack(total[part - base + n] - total[part - base]), k, n, best)
             lo = hi
 
 

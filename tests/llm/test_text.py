@@ -323,3 +323,16 @@ def test_pii_listed_terms(spark):
     words = spark.createDataFrame([(i, f"word{i}") for i in range(5000)], "i int, term string")
     held = {r["i"] for r in rows(words.where(pii._listed(terms)(F.col("term"))))}
     assert set(range(500)) <= held and len(held) < 1000
+
+
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    """An item without its last words, as a whole document, is one window."""
+    item = prose(30, 90).replace(",", "").replace(".", "")
+    words = item.split()
+    items = spark.createDataFrame([(1, item), (2, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(n, " ".join(words[:n])) for n in (29, 26, 25, 24, 10, 4)] + [(100, "one two"), (101, "")],
+                                 "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(decontaminate.contaminated(docs, items))}
+    assert set(got) == {n for n in (29, 26, 25) if (n - 4) / 26 >= 0.8}
+    assert got[29]["similarity"] == pytest.approx(25 / 26) and (got[29]["start"], got[29]["end"]) == (0, len(" ".join(words[:29]).encode()))
+    assert {r["doc_id"] for r in rows(decontaminate.keep_clean(docs, items))} == {24, 10, 4, 100, 101}
