@@ -336,3 +336,17 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert set(got) == {n for n in (29, 26, 25) if (n - 4) / 26 >= 0.8}
     assert got[29]["similarity"] == pytest.approx(25 / 26) and (got[29]["start"], got[29]["end"]) == (0, len(" ".join(words[:29]).encode()))
     assert {r["doc_id"] for r in rows(decontaminate.keep_clean(docs, items))} == {24, 10, 4, 100, 101}
+
+
+def test_radius_admits_pairs_at_the_threshold():
+    """Items altered in two places, at similarities just over 0.8, are all found, also those over 15 bits apart."""
+    split = lambda t: textvec.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), decontaminate.WORD)[2]
+    apart = []
+    for seed in range(400):
+        words = [f"w{seed}x{j}" for j in range(59)]
+        index = decontaminate.Index([(1, " ".join(words).encode())])
+        altered = split(" ".join(["y", *words[1:30], "z", *words[31:]]))
+        s, first, size = index.matches(altered)[1]
+        assert (s, first, size) == (pytest.approx(49 / 61), 0, 59)
+        apart.append(int(np.bitwise_count(decontaminate.simhash(textvec.shingles(altered, 5)) ^ index.prints[0])))
+    assert max(apart) > 15
