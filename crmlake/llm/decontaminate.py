@@ -24,6 +24,8 @@ radius, the method's only loss, are very rare (measured in the README).
 
 Rows: null and empty texts match nothing; items without words match nothing; documents
 without id, or with repeated ids, are matched row by row; of windows that tie, the first.
+Items without id match like others and are reported, each different text by itself, with a
+null item_id; one whose text an item with id has too is that item.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ def simhash(shingles: np.ndarray) -> np.uint64:
 class Index:
     """Items of a block: shingle counts, and items by size and near values of each block of bits."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int | None, bytes]]):
         self.items, prints = [], []
         for item, text in items:
             buf = np.frombuffer(text, np.uint8)
@@ -99,7 +101,7 @@ class Index:
                 tables.append((np.searchsorted(near[order], np.arange((1 << width) + 1)), owner))
 
     @staticmethod
-    def of(items: list[tuple[int, bytes]], key: bytes) -> Index:
+    def of(items: list[tuple[int | None, bytes]], key: bytes) -> Index:
         if key not in _indexes:
             _indexes.clear()
             _indexes[key] = Index(items)
@@ -125,9 +127,10 @@ class Index:
         both = int(np.minimum(times, counts[at])[own[at] == values].sum())
         return both / (n + len(window) - both)
 
-    def matches(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """Best (similarity, first word, words) per item for one document's word hashes."""
-        best: dict[int, tuple[float, int, int]] = {}
+    def matches(self, words: np.ndarray) -> dict[int | tuple[int], tuple[float, int, int]]:
+        """Best (similarity, first word, words) per item for one document's word hashes; items
+        are their ids, those without id a tuple of their position."""
+        best: dict[int | tuple[int], tuple[float, int, int]] = {}
         for k, known in self.known.items():
             shingles = tv.shingles(words, k) if len(words) >= k else words[:0]
             at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
@@ -146,7 +149,7 @@ class Index:
         size = min(n, len(shingles))
         for w, i in zip(starts[window].tolist(), item.tolist(), strict=True):
             s = self.similarity(shingles[w:w + size], i)
-            name = self.items[i][0]
+            name = self.items[i][0] if self.items[i][0] is not None else (i,)
             if s >= THRESHOLD and (name not in best or s > best[name][0]):
                 best[name] = (s, w, size + k - 1)
 
@@ -173,18 +176,20 @@ def matched_chunks(batches: Iterator[pa.RecordBatch], shared, text_col: str):
     for rows, buf, offsets in tv.chunks(batches, text_col):
         starts, ends, hashes, doc = tv.words(buf, offsets, WORD)
         cut = np.searchsorted(doc, np.arange(len(offsets)))
-        found = [(i, cut[i], item, m) for i in range(len(offsets) - 1)
-                 for item, m in sorted(index.matches(hashes[cut[i]:cut[i + 1]]).items())]
+        found = [(i, cut[i], None if isinstance(item, tuple) else item, m) for i in range(len(offsets) - 1)
+                 for item, m in sorted(index.matches(hashes[cut[i]:cut[i + 1]]).items(), key=lambda x: (isinstance(x[0], tuple), x[0]))]
         yield rows, starts, ends, offsets, found
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """Blocks of about ITEM_BLOCK items: a key and [(id, text)]."""
-    own = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    own = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     blocks = -(-own.count() // ITEM_BLOCK)
     for b in range(blocks):
-        rows = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
-        block = sorted((r[0], r[1].encode()) for r in rows)
+        rows = own.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).distinct().collect()
+        named = {r[1] for r in rows if r[0] is not None}
+        block = sorted(((r[0], r[1].encode()) for r in rows if r[0] is not None or r[1] not in named),
+                       key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         yield b"%d/%d %d" % (b, blocks, hash(tuple(block))), block
 
 

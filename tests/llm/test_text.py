@@ -350,3 +350,12 @@ def test_radius_admits_pairs_at_the_threshold():
         assert (s, first, size) == (pytest.approx(49 / 61), 0, 59)
         apart.append(int(np.bitwise_count(decontaminate.simhash(textvec.shingles(altered, 5)) ^ index.prints[0])))
     assert max(apart) > 15
+
+
+def test_decontamination_by_items_without_id(spark):
+    a, b, c = prose(30, 91), prose(30, 92), prose(30, 93)
+    items = spark.createDataFrame([(1, a), (None, a), (None, b), (None, b), (None, c)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a}"), (2, f"{b} x {c}"), (3, prose(30, 94))], "doc_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["start"]) for r in rows(decontaminate.contaminated(docs, items))]
+    assert sorted(got, key=str) == [(1, 1, 2), (2, None, 0), (2, None, len(f"{b} x ".encode()))]
+    assert [r["doc_id"] for r in rows(decontaminate.keep_clean(docs, items))] == [3]
