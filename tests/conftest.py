@@ -21,9 +21,3 @@ def spark():
 def seed(spark):
     from seed import SeedTables
     return SeedTables(spark)
-
-
-def rows(df, *cols):
-    """Collect a small test result as a list of tuples (test-side only)."""
-    cols = cols or tuple(df.columns)
-    return [tuple(r[c] for c in cols) for r in df.select(*cols).collect()]

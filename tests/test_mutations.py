@@ -1,7 +1,7 @@
 """Table-maintenance operators: keys, defaults, transitions, deletes, guards."""
 
 import pytest
-from conftest import rows
+from row_tools import rows
 from pyspark.sql import functions as F
 
 from crmlake.operators import mutations as M

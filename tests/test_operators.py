@@ -1,7 +1,7 @@
 """Edge rows of the scalar functions, predicates, paging and aggregation operators."""
 
 import pytest
-from conftest import rows
+from row_tools import rows
 from pyspark.sql import functions as F
 
 from crmlake.functions import predicates as Pr

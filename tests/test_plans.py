@@ -1,7 +1,7 @@
 """Physical-plan properties that matter at scale, plus a hot-key (skew) case."""
 
 import pytest
-from conftest import rows
+from row_tools import rows
 from pyspark.sql import functions as F
 
 from crmlake.operators.aggregates import Child, attach_children, distinct_count

@@ -1,6 +1,6 @@
 """Expected answers on the reference's seed rows (FIXTURES.md §3)."""
 
-from conftest import rows
+from row_tools import rows
 
 from crmlake.plans import crm, edu, maintenance
 from crmlake.sources import schemas as S
