@@ -15,10 +15,12 @@ from crmlake.llm.quality import op4_quality
 from crmlake.llm.suffix_dedup import op8_suffix_dedup
 from crmlake.llm.token_orc import op10_token_orc
 from crmlake.llm.toxicity import op2_toxicity
+from crmlake.llm.whitening import op13_whitening
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_toxicity, op3_bpe, op4_quality, op5_exact_dedup, op6_pii, op7_ngram_join,
-    op8_suffix_dedup, op9_line_dedup, op10_token_orc, op11_chat_format, op12_merkle)}
+    op8_suffix_dedup, op9_line_dedup, op10_token_orc, op11_chat_format, op12_merkle,
+    op13_whitening)}
 
 # the others have no SQL that runs over whole tables; tests hold them against brute force
 ORACLE_SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL, "op7_ngram_join": ngram_join.OP7_SQL,
