@@ -20,12 +20,13 @@ first round ranks a content-defined sample and only what stays repeated goes on:
    the last rank itself, so that no task holds such a group.
 3. Repeated starts come back to their document, whose covered bytes are cut.
 
-Ranks are 64-bit fingerprints; a match needs first and last rank equal, 128 bits
-together. Copies inside a chunk of a task are combined before the first shuffle.
+Ranks are 64-bit fingerprints; two of them have to agree for a match (first rank and region
+rank, or first and last rank). Copies inside a chunk of a task are combined before the
+first shuffle.
 
 Rows: null text is empty; texts shorter than ``LENGTH`` bytes stay whole; rows with the
-same id are told apart by a hash of the text, and rows that repeat id and text
-are copies of each other; rows without id take part like others.
+same id, or without one, are told apart by 128 bits of hashes of the text; rows that
+repeat id and text are copies of each other.
 """
 
 from __future__ import annotations
@@ -44,9 +45,11 @@ LENGTH = 200
 FIRST = 64
 SEGMENT = 1 << 19          # starts handled at once
 HOT = 20_000
-RANK_SCHEMA = "h long, c long, doc_id long, th int, s int, n_starts int, many boolean"
-RUN_SCHEMA = "doc_id long, th int, lo int, hi int"
-KEY_SCHEMA = "key long, doc_id long, th int, s int, open boolean"
+RANK_SCHEMA = "h long, c long, doc_id long, t1 long, t2 long, s int, n_starts int, many boolean"
+RUN_SCHEMA = "doc_id long, t1 long, t2 long, lo int, hi int"
+KEY_SCHEMA = "h long, key long, doc_id long, t1 long, t2 long, s int, open boolean"
+ROW = ["doc_id", "t1", "t2"]     # tells rows apart: the id and 128 bits of the text
+THERE = {c: f"__{c}" for c in ROW}
 U64 = np.uint64
 
 
@@ -112,13 +115,12 @@ def rank_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.where(lead, h, tv.mix(h + s.astype(U64) * U64(tv.BASE) + U64(len(buf))))
         ranks = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64), mask=~lead)]
         yield pa.RecordBatch.from_arrays(
-            [*ranks, rows.column("doc_id").take(take), rows.column("th").take(take), pa.array(s - offsets[doc], pa.int32()),
+            [*ranks, *(rows.column(c).take(take) for c in ROW), pa.array(s - offsets[doc], pa.int32()),
              pa.array(count, pa.int32()), pa.array(copies[back] > 1)],
-            names=["h", "c", "doc_id", "th", "s", "n_starts", "many"])
+            names=["h", "c", *ROW, "s", "n_starts", "many"])
 
 
-def last_ranks(regions: pa.Array, counts: np.ndarray, h: np.ndarray, length: int = LENGTH, first: int = FIRST
-               ) -> tuple[np.ndarray, np.ndarray]:
+def last_ranks(regions: pa.Array, counts: np.ndarray, length: int = LENGTH, first: int = FIRST) -> tuple[np.ndarray, np.ndarray]:
     """(row, rank at ``length`` bytes) of every start of every region, by doubling."""
     buf, offsets = tv.text_buffer(regions)
     row = np.repeat(np.arange(len(counts)), counts)
@@ -143,7 +145,16 @@ def last_ranks(regions: pa.Array, counts: np.ndarray, h: np.ndarray, length: int
             rank, known = pair, known + step
         out[lo:hi] = rank(0)
         lo = hi
-    return row, tv.mix(out + h[row] * U64(tv.BASE))
+    return row, out
+
+
+def repeated(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Whether another start has both ranks: the first (``h``, in order) and the last."""
+    order = np.lexsort((rank, h))
+    same = (h[order][1:] == h[order][:-1]) & (rank[order][1:] == rank[order][:-1])
+    out = np.zeros(len(rank), bool)
+    out[order] = np.r_[same, False][:len(rank)] | np.r_[False, same][:len(rank)]
+    return out
 
 
 def _runs(row: np.ndarray, start: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,14 +172,13 @@ def settle_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, s = (batch.column(c).to_numpy() for c in ("n_starts", "s"))
         h = batch.column("h").to_numpy().view(U64)
-        row, rank = last_ranks(batch.column("region"), counts, h)
-        _, back, copies = np.unique(rank, return_inverse=True, return_counts=True)
+        row, rank = last_ranks(batch.column("region"), counts)
         start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + s[row]
         opened = batch.column("open").to_numpy(zero_copy_only=False)
-        r, lo, hi = _runs(row, start, (copies[back] > 1) & opened[row])
+        r, lo, hi = _runs(row, start, repeated(h[row], rank) & opened[row])
         take = pa.array(r)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take),
-                                           pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["doc_id", "th", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ROW), pa.array(lo, pa.int32()),
+                                           pa.array(hi, pa.int32())], names=[*ROW, "lo", "hi"])
     held: list[pa.RecordBatch] = []
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
@@ -193,12 +203,12 @@ def key_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             counts, s = (part.column(c).to_numpy() for c in ("n_starts", "s"))
-            row, rank = last_ranks(part.column("region"), counts, part.column("h").to_numpy().view(U64))
+            row, rank = last_ranks(part.column("region"), counts)
             start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + s[row]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rank.view(np.int64)), part.column("doc_id").take(take), part.column("th").take(take),
-                 pa.array(start, pa.int32()), part.column("open").take(take)], names=["key", "doc_id", "th", "s", "open"])
+                [part.column("h").take(take), pa.array(rank.view(np.int64)), *(part.column(c).take(take) for c in ROW),
+                 pa.array(start, pa.int32()), part.column("open").take(take)], names=["h", "key", *ROW, "s", "open"])
 
 
 def cut_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +231,12 @@ def cut_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def same_row(here: DataFrame, there: DataFrame):
+    return (here["doc_id"].eqNullSafe(there[THERE["doc_id"]]) & (here["t1"] == there[THERE["t1"]]) & (here["t2"] == there[THERE["t2"]]))
+
+
 def repeated_starts(texts: DataFrame) -> DataFrame:
-    """(doc_id, th, lo, hi): runs of starts whose string also starts elsewhere."""
+    """(doc_id, t1, t2, lo, hi): runs of starts whose string also starts elsewhere."""
     by = Window.partitionBy("h").orderBy("c")
     ranked = texts.mapInArrow(rank_pass, RANK_SCHEMA)
     before, after = F.lag("c").over(by), F.lead("c").over(by)
@@ -234,32 +248,32 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     group = Window.partitionBy("h")
     pairs = (pairs.withColumn("n_open", F.sum((~F.col("full")).cast("int")).over(group))
              .withColumn("regions", F.sum(F.col("lead").cast("int")).over(group))
-             .select(F.when(F.col("lead") & (F.col("n_open") > 0), F.col("h")).alias("h"), "doc_id", "th", "s", "n_starts", "full", "regions"))
+             .select(F.when(F.col("lead") & (F.col("n_open") > 0), F.col("h")).alias("h"), *ROW, "s", "n_starts", "full", "regions"))
     pairs = written(pairs.where("full OR h IS NOT NULL"), "suffix-pairs")
-    asked = pairs.where("h IS NOT NULL").withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+    asked = pairs.where("h IS NOT NULL").withColumnsRenamed(THERE)
     region = F.substring(F.col("text").cast("binary"), F.col("s") + 1, F.col("n_starts") + LENGTH - 1).alias("region")
-    regions = (texts.join(asked, texts["doc_id"].eqNullSafe(asked["__id"]) & (texts["th"] == asked["__th"]))
-               .select("h", "doc_id", "th", "s", "n_starts", (~F.col("full")).alias("open"), "regions", region))
+    regions = (texts.join(asked, same_row(texts, asked))
+               .select("h", *ROW, "s", "n_starts", (~F.col("full")).alias("open"), "regions", region))
     regions = written(regions, "suffix-regions")
     some = (regions.where(F.col("regions") <= HOT).repartition("h").sortWithinPartitions("h")
-            .select("h", "doc_id", "th", "s", "n_starts", "open", "region").mapInArrow(settle_pass, RUN_SCHEMA))
-    key = Window.partitionBy("key").orderBy("doc_id", "th", "s")
-    hot = (regions.where(F.col("regions") > HOT).select("h", "doc_id", "th", "s", "n_starts", "open", "region")
+            .select("h", *ROW, "s", "n_starts", "open", "region").mapInArrow(settle_pass, RUN_SCHEMA))
+    key = Window.partitionBy("h", "key").orderBy(*ROW, "s")
+    hot = (regions.where(F.col("regions") > HOT).select("h", *ROW, "s", "n_starts", "open", "region")
            .mapInArrow(key_pass, KEY_SCHEMA)
-           .withColumns({"before": F.lag("th").over(key), "after": F.lead("th").over(key)})
-           .where("open AND (before IS NOT NULL OR after IS NOT NULL)").select("doc_id", "th", F.col("s").alias("lo"), F.col("s").alias("hi")))
+           .withColumns({"before": F.lag("t1").over(key), "after": F.lead("t1").over(key)})
+           .where("open AND (before IS NOT NULL OR after IS NOT NULL)").select(*ROW, F.col("s").alias("lo"), F.col("s").alias("hi")))
     whole = (pairs.where("full")
-             .select("doc_id", "th", F.col("s").alias("lo"), (F.col("s") + F.col("n_starts") - 1).alias("hi")))
+             .select(*ROW, F.col("s").alias("lo"), (F.col("s") + F.col("n_starts") - 1).alias("hi")))
     return whole.unionByName(some).unionByName(hot)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes (binary), one row per row of ``docs``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
-    runs = (repeated_starts(texts).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"),
+                        F.col(text_col).alias("text"))
+    runs = (repeated_starts(texts).withColumnsRenamed(THERE).groupBy(*THERE.values())
             .agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
-    same = texts["doc_id"].eqNullSafe(runs["__id"]) & (texts["th"] == runs["__th"])
-    return (texts.join(runs, same, "left").select("doc_id", "text", "runs")
+    return (texts.join(runs, same_row(texts, runs), "left").select("doc_id", "text", "runs")
             .mapInArrow(cut_pass, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
 
 

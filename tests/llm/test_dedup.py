@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 from llm_cases import rows
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from crmlake.llm import exact_dedup, line_dedup, ngram_join, suffix_dedup
@@ -189,7 +190,8 @@ def test_components_of_a_long_chain(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
     res = con.execute(ORACLE_SQL[name])
     cols = [c[0] for c in res.description]
     got = E.queries()[name](spark, sf)
@@ -207,3 +209,19 @@ def test_native_operators_run_no_python(odd):
     for df in (exact_dedup.exact_dedup(odd), line_dedup.line_dedup(odd)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_suffix_dedup_rows_without_id(spark):
+    """Many rows share an id or have none; each keeps its own bytes."""
+    block = "".join(chr(97 + (i * i + 3 * i) % 26) for i in range(260))
+    docs = [(None if i % 2 else 5, f"{i:03d} " * 40 + (block if i % 50 == 0 else "") + f" end {i}") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows(suffix_dedup.suffix_dedup(df)))
+    assert got == brute_suffix([(i, t.encode()) for i, t in docs])
+
+
+def test_suffix_rows_are_told_apart_by_more_than_32_bits(spark):
+    """Two texts with one 32-bit hash (found by search) are two rows: t1 and t2 differ."""
+    hashed = spark.range(300_000).selectExpr("concat('text ', id) AS text").selectExpr("text", "hash(text) AS th", "xxhash64(text) AS t1", "xxhash64(1, text) AS t2")
+    twice = hashed.groupBy("th").agg(F.count("*").alias("n"), F.count_distinct("t1", "t2").alias("m"))
+    assert twice.where("n > 1").count() > 0 and twice.where("n <> m").count() == 0
