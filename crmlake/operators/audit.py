@@ -7,26 +7,33 @@ table is part of the audit. Result: one row per check with ``violations``
 (offending rows) and ``keys`` (distinct duplicated or orphaned key values;
 0 for the per-row NOT NULL and length rules).
 
-Execution per table (``audit_violations``): one pass keeps the rows that
-break any NOT NULL or length rule and counts them per row key; each
-key/UNIQUE rule is one grouped count; each foreign key groups the child by
-the key first (partial aggregation: a key holding a third of the rows is
-combined inside each map task) and anti-joins the distinct values to the
-parent's keys (broadcast when provably small). ``integrity_audit``
-summarises those findings per check.
+Execution (``audit_violations``): every table is read once. A row gives one
+tagged entry for each key, UNIQUE and foreign-key value it holds and one for each
+row rule it breaks; the entries of all tables go through one grouping (domain,
+role, value), which partial aggregation combines inside the map tasks, so a
+key holding a third of the rows costs one row per task. A foreign key and the key it points at
+share a domain: a second grouping of the distinct values, by (domain, value),
+shows which values no parent has. Values that occur once in a domain without
+children are dropped before it. No join, no second scan.
+
+Whole-number values travel as numbers and others as text. With ``mode="ci_ai"``
+text is compared as the database's collation does (case, accents and trailing
+blanks ignored).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from crmlake.functions.predicates import ACCENT_COLLATION
 from crmlake.sources.schemas import TABLES, Table
 
 RESULT_COLUMNS = ["table_name", "check_name", "column_name", "violations", "keys"]
+PARENT = -1                 # role of the key values that foreign keys may point at
 
 
 @dataclass(frozen=True)
@@ -60,15 +67,15 @@ def plan_checks(present: dict[str, list[str]], contracts: dict[str, Table] = TAB
     return checks
 
 
-
-def integrity_audit(tables: dict[str, DataFrame], contracts: dict[str, Table] = TABLES) -> DataFrame:
+def integrity_audit(tables: dict[str, DataFrame], contracts: dict[str, Table] = TABLES,
+                    mode: str = "binary") -> DataFrame:
     """One row per check: offending rows and distinct offending key values,
     summarised from ``audit_violations`` (checks without findings show 0)."""
     checks = plan_checks({n: df.columns for n, df in tables.items()}, contracts)
     spark = next(iter(tables.values())).sparkSession
     listed = spark.createDataFrame([(c.table, c.kind, c.column) for c in checks],
                                    "table_name string, check_name string, column_name string")
-    found = (audit_violations(tables, contracts)
+    found = (audit_violations(tables, contracts, mode)
              .groupBy("table_name", "check_name", "column_name")
              .agg(F.sum("rows").alias("v"), F.count(F.lit(1)).alias("k")))
     per_row = F.col("check_name").isin("not_null", "max_length")
@@ -79,92 +86,98 @@ def integrity_audit(tables: dict[str, DataFrame], contracts: dict[str, Table] =
                     .cast("long").alias("keys")))
 
 
-def audit_sql(views: dict[str, str], present: dict[str, list[str]],
-              contracts: dict[str, Table] = TABLES) -> str:
-    """The same checks as plain SQL over named views (oracle side)."""
-    out = []
-    for c in plan_checks(present, contracts):
-        v = views[c.table]
-        head = f"SELECT '{c.table}' AS table_name, '{c.kind}' AS check_name, '{c.column}' AS column_name"
-        if c.kind == "not_null":
-            body = f"count(*) FILTER (WHERE {c.column} IS NULL) AS violations, CAST(0 AS BIGINT) AS keys FROM {v}"
-        elif c.kind == "max_length":
-            body = (f"count(*) FILTER (WHERE length({c.column}) > {c.arg}) AS violations, "
-                    f"CAST(0 AS BIGINT) AS keys FROM {v}")
-        elif c.kind in ("primary_key", "unique"):
-            body = (f"CAST(IFNULL(SUM(n), 0) AS BIGINT) AS violations, count(*) AS keys FROM "
-                    f"(SELECT {c.column}, count(*) AS n FROM {v} WHERE {c.column} IS NOT NULL "
-                    f"GROUP BY {c.column} HAVING count(*) > 1) d")
-        else:
-            parent, pkey = c.arg
-            body = (f"count(*) AS violations, count(DISTINCT {c.column}) AS keys FROM {v} "
-                    f"WHERE {c.column} IS NOT NULL AND {c.column} NOT IN "
-                    f"(SELECT {pkey} FROM {views[parent]} WHERE {pkey} IS NOT NULL)")
-        out.append(f"{head}, {body}")
-    return "\nUNION ALL\n".join(out)
-
-
-def audit_violations(tables: dict[str, DataFrame], contracts: dict[str, Table] = TABLES) -> DataFrame:
+def _is_whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def _entry(when: str, domain: int, role: int, column: str, whole: bool, collate: bool) -> str:
+    """SQL of a tagged value (whole numbers as numbers, all else as text), null unless ``when``."""
+    number = f"CAST(`{column}` AS BIGINT)" if whole else "CAST(NULL AS BIGINT)"
+    text = "CAST(NULL AS STRING)" if whole else f"CAST(`{column}` AS STRING)"
+    text = f"collate({text}, '{ACCENT_COLLATION}')" if collate else text
+    return f"IF({when}, named_struct('domain', {domain}, 'role', {role}, 'number', {number}, 'text', {text}), NULL)"
+
+
+def _breaks(c: Check) -> str:
+    return f"`{c.column}` IS NULL" if c.kind == "not_null" else f"coalesce(length(`{c.column}`) > {c.arg}, false)"
+
+
+def _entries_sql(source: str, values: list[str], broken: list[tuple[str, str]]) -> str:
+    """The entries of one table. Rules are looked at one by one only in rows that break one."""
+    whole = f"array({', '.join(values + [e for _, e in broken])})"
+    if values and broken:
+        whole = f"IF({' OR '.join(cond for cond, _ in broken)}, {whole}, array({', '.join(values)}))"
+    return f"SELECT e.* FROM (SELECT explode({whole}) AS e FROM {{{source}}}) WHERE e IS NOT NULL"
+
+
+def audit_violations(tables: dict[str, DataFrame], contracts: dict[str, Table] = TABLES,
+                     mode: str = "binary") -> DataFrame:
     """The offending values behind every finding, one row each: duplicated
     key values, orphaned foreign-key values, and the row key of rows that
-    break a NOT NULL or length rule (``value`` as text).
-
-    Per table, all NOT NULL and length rules share one pass: rows breaking
-    any rule are kept, the broken rules exploded, and counted per row key.
-    """
+    break a NOT NULL or length rule (``value`` as text; of values that the
+    collation holds equal, the smallest)."""
+    if mode not in ("binary", "ci_ai"):
+        raise ValueError(f"unknown mode {mode!r}")
+    collate = mode == "ci_ai"
     checks = plan_checks({n: df.columns for n, df in tables.items()}, contracts)
-    parts = []
-    for name, df in tables.items():
-        key = contracts[name].key
-        mine = [c for c in checks if c.table == name]
-        row_rules = [c for c in mine if c.kind in ("not_null", "max_length")]
-        if row_rules:
-            bad = [F.col(c.column).isNull() if c.kind == "not_null" else F.length(c.column) > c.arg
-                   for c in row_rules]
-            broken = F.filter(F.array(*[F.when(b, F.struct(F.lit(c.kind).alias("check_name"),
-                                                           F.lit(c.column).alias("column_name")))
-                                        for b, c in zip(bad, row_rules)]), lambda x: x.isNotNull())
-            parts.append(df.filter(reduce(lambda a, b: a | b, bad))
-                         .select(F.col(key).alias("__k"), F.explode(broken).alias("__r"))
-                         .groupBy("__r.check_name", "__r.column_name", "__k")
-                         .agg(F.count(F.lit(1)).alias("rows"))
-                         .select(F.lit(name).alias("table_name"), "check_name", "column_name",
-                                 F.col("__k").cast("string").alias("value"), "rows"))
-        for c in mine:
-            head = [F.lit(c.table).alias("table_name"), F.lit(c.kind).alias("check_name"),
-                    F.lit(c.column).alias("column_name")]
-            if c.kind in ("primary_key", "unique"):
-                parts.append(df.filter(F.col(c.column).isNotNull()).groupBy(c.column)
-                             .agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
-                             .select(*head, F.col(c.column).cast("string").alias("value"), "rows"))
-            elif c.kind == "foreign_key":
-                parent, pkey = c.arg
-                used = (df.filter(F.col(c.column).isNotNull()).groupBy(F.col(c.column).alias("__fk"))
-                        .agg(F.count(F.lit(1)).alias("rows")))
-                keys = tables[parent].select(F.col(pkey).alias("__pk")).filter(F.col("__pk").isNotNull()).distinct()
-                parts.append(used.join(keys, used["__fk"] == keys["__pk"], "left_anti")
-                             .select(*head, F.col("__fk").cast("string").alias("value"), "rows"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def violations_sql(views: dict[str, str], present: dict[str, list[str]],
-                   contracts: dict[str, Table] = TABLES) -> str:
-    """``audit_violations`` as plain SQL over named views (oracle side)."""
-    out = []
-    for c in plan_checks(present, contracts):
-        v = views[c.table]
-        key = contracts[c.table].key
-        head = f"SELECT '{c.table}' AS table_name, '{c.kind}' AS check_name, '{c.column}' AS column_name"
+    # domains: one per key or UNIQUE column; a foreign key belongs to its parent's
+    domains: dict[tuple[str, str], int] = {}
+    for c in checks:
         if c.kind in ("primary_key", "unique"):
-            out.append(f"{head}, CAST({c.column} AS VARCHAR) AS value, count(*) AS rows FROM {v} "
-                       f"WHERE {c.column} IS NOT NULL GROUP BY {c.column} HAVING count(*) > 1")
+            domains.setdefault((c.table, c.column), len(domains))
         elif c.kind == "foreign_key":
-            parent, pkey = c.arg
-            out.append(f"{head}, CAST({c.column} AS VARCHAR) AS value, count(*) AS rows FROM {v} "
-                       f"WHERE {c.column} IS NOT NULL AND {c.column} NOT IN "
-                       f"(SELECT {pkey} FROM {views[parent]} WHERE {pkey} IS NOT NULL) GROUP BY {c.column}")
-        else:
-            cond = f"{c.column} IS NULL" if c.kind == "not_null" else f"length({c.column}) > {c.arg}"
-            out.append(f"{head}, CAST({key} AS VARCHAR) AS value, count(*) AS rows FROM {v} "
-                       f"WHERE {cond} GROUP BY {key}")
-    return "\nUNION ALL\n".join(out)
+            domains.setdefault(c.arg, len(domains))
+    members = {at: [at] for at in domains}
+    for c in checks:
+        if c.kind == "foreign_key":
+            members[c.arg].append((c.table, c.column))
+    whole = {at: all(_is_whole(tables[t], col) for t, col in own) for at, own in members.items()}
+    parents = {c.arg for c in checks if c.kind == "foreign_key"}
+    single = [domains[at] for at in domains if at not in parents]
+
+    parts, sources = [], {}
+    for name, df in tables.items():
+        key, values, broken = contracts[name].key, [], []
+        for at, domain in domains.items():
+            if at[0] == name:
+                values.append(_entry(f"`{at[1]}` IS NOT NULL", domain, PARENT, at[1], whole[at], collate))
+        for role, c in enumerate(checks):
+            if c.table == name and c.kind == "foreign_key":
+                values.append(_entry(f"`{c.column}` IS NOT NULL", domains[c.arg], role, c.column, whole[c.arg], collate))
+            elif c.table == name and c.kind in ("not_null", "max_length"):
+                cond = _breaks(c)
+                broken.append((cond, _entry(cond, len(domains), role, key, _is_whole(df, key), collate)))
+        if values or broken:
+            sources[f"t{len(parts)}"] = df
+            parts.append(_entries_sql(f"t{len(parts)}", values, broken))
+    spark = next(iter(tables.values())).sparkSession
+    values = spark.sql(" UNION ALL ".join(parts), **sources).groupBy("domain", "role", "number", "text")
+    if collate:     # ``text`` is a key under the collation, ``shown`` one of its spellings
+        counted = values.agg(F.count(F.lit(1)).alias("n"), F.min(F.collate("text", "UTF8_BINARY")).alias("shown"))
+    else:
+        counted = values.agg(F.count(F.lit(1)).alias("n")).withColumn("shown", F.col("text"))
+    # a finding needs two rows, or a domain that foreign keys point at, or a broken row rule
+    counted = counted.where((F.col("n") > 1) | ~F.col("domain").isin(single))
+    met = counted.groupBy("domain", "number", "text").agg(
+        F.max(F.when(~child_role("role"), F.col("n"))).alias("parents"),
+        # at most one entry per foreign key of the domain, or per row rule
+        F.collect_list(F.struct("role", "n", "shown")).alias("own"))
+    found = met.select("domain", "number", "parents", F.explode("own").alias("o")).select("domain", "number", "parents", "o.*")
+    rules = F.col("domain") == len(domains)
+    repeated = ~child_role("role") & (F.col("n") > 1)
+    orphaned = child_role("role") & ~rules & F.col("parents").isNull()
+    labels = [(domains[c.table, c.column], PARENT, *_name(c)) for c in checks if c.kind in ("primary_key", "unique")]
+    labels += [(domains[c.arg] if c.kind == "foreign_key" else len(domains), role, *_name(c))
+               for role, c in enumerate(checks) if c.kind not in ("primary_key", "unique")]
+    names = spark.createDataFrame(labels, "domain int, role int, table_name string, check_name string, column_name string")
+    return (found.where(rules | repeated | orphaned).join(F.broadcast(names), ["domain", "role"])
+            .select("table_name", "check_name", "column_name",
+                    F.coalesce(F.col("number").cast("string"), F.col("shown")).alias("value"), F.col("n").alias("rows")))
+
+
+def child_role(name: str) -> Column:
+    return F.col(name) != PARENT
+
+
+def _name(c: Check) -> tuple[str, str, str]:
+    return c.table, c.kind, c.column

@@ -7,11 +7,10 @@ tables). Snapshot outputs are compared whole; surrogate keys in SQL are
 
 from __future__ import annotations
 
-from crmlake.operators.audit import audit_sql, violations_sql
 from crmlake.plans import maintenance as MT
 from crmlake.plans import params as P
+from crmlake.plans.audit_oracle import audit_sql, violations_sql
 from crmlake.plans.catalog import register
-from crmlake.sources.bindings import binding_columns
 
 AS_OF = P.AS_OF_ORDERS
 TS = f"TIMESTAMP '{AS_OF}'"
@@ -247,15 +246,13 @@ def s13a(t):
     return MT.accept_signups(t, AS_OF)
 
 
-@register("s14_integrity_audit", list(MT.AUDITED.values()),
-          audit_sql(dict(MT.AUDITED), {n: binding_columns(v) for n, v in MT.AUDITED.items()}))
+@register("s14_integrity_audit", list(MT.AUDITED.values()), audit_sql())
 def s14(t):
     """S14 integrity audit: key/unique duplicates, NOT NULL, lengths, orphan foreign keys."""
     return MT.audit(t)
 
 
-@register("s14_integrity_violations", list(MT.AUDITED.values()),
-          violations_sql(dict(MT.AUDITED), {n: binding_columns(v) for n, v in MT.AUDITED.items()}))
+@register("s14_integrity_violations", list(MT.AUDITED.values()), violations_sql())
 def s14v(t):
     """S14 the offending values behind each finding (duplicate and orphan keys, bad rows)."""
     return MT.audit_details(t)

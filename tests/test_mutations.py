@@ -201,6 +201,47 @@ def test_audit_violations_list_the_offending_values(spark):
                    ("Employees", "primary_key", "EmployeeID", "1", 2)]
 
 
+def test_audit_under_the_collation_and_by_text_keys(spark):
+    from crmlake.operators.audit import audit_violations
+    from crmlake.sources.schemas import Col, STR, Table
+    a = Table("A", "Code", (Col("Code", STR, False, max_len=3), Col("Name", STR)), ("Name",))
+    b = Table("B", "Id", (Col("Id", STR, False), Col("ACode", STR)), (), (("ACode", "A", "Code"),))
+    ta = spark.createDataFrame([("x", "Nguyễn"), ("y", "nguyen  "), ("long", None), (None, "z"), ("X", "w")], "Code string, Name string")
+    tb = spark.createDataFrame([("1", "x"), ("2", "X "), ("3", "no"), ("3", None), ("4", "no")], "Id string, ACode string")
+    tables, contracts = {"A": ta, "B": tb}, {"A": a, "B": b}
+    exact = sorted(rows(audit_violations(tables, contracts)), key=str)
+    assert exact == sorted([("A", "max_length", "Code", "long", 1), ("A", "not_null", "Code", None, 1), ("B", "primary_key", "Id", "3", 2),
+                            ("B", "foreign_key", "ACode", "X ", 1), ("B", "foreign_key", "ACode", "no", 2)], key=str)
+    loose = sorted(rows(audit_violations(tables, contracts, mode="ci_ai")), key=str)
+    assert loose == sorted([("A", "max_length", "Code", "long", 1), ("A", "not_null", "Code", None, 1), ("B", "primary_key", "Id", "3", 2),
+                            ("A", "primary_key", "Code", "X", 2), ("A", "unique", "Name", "Nguyễn", 2),
+                            ("B", "foreign_key", "ACode", "no", 2)], key=str)
+
+
+def test_audit_reads_every_table_once(spark):
+    """One scan per base table of each binding, in both audit plans."""
+    from crmlake.plans import maintenance as MT
+    from crmlake.sources.bindings import _ALIASES, BINDINGS, Bindings
+    t = Bindings.of(spark, "/root/testdata/sf0.001")
+    base = sum(len(BINDINGS[_ALIASES.get(v, (v,))[0]][0]) for v in MT.AUDITED.values())
+    for df in (MT.audit(t), MT.audit_details(t)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert 16 <= plan.count("Relation [") <= base
+        assert "Join LeftAnti" not in plan
+
+
+def test_audit_shuffles_a_hot_key_as_one_row_per_task(spark):
+    """Entries are combined before the exchange: its rows don't grow with a value's copies."""
+    from crmlake.operators.audit import audit_violations
+    emp = spark.createDataFrame([(1, "A")], "EmployeeID long, FullName string")
+    cust = spark.range(0, 5000, 1, 4).selectExpr("id AS CustomerID", "'n' AS FullName", "CASE WHEN id % 3 = 0 THEN 7 ELSE 1 END AS AssignedTo")
+    df = audit_violations({"Employees": emp, "Customers": cust})
+    assert rows(df) == [("Customers", "foreign_key", "AssignedTo", "7", 1667)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("Exchange hashpartitioning(domain"):]
+    assert "partial_count" in first
+
+
 def test_commit_snapshots_stages_then_swaps(spark, seed, tmp_path):
     from crmlake.sources.sinks import commit_snapshots, read_snapshot
     req = spark.createDataFrame([(1, 4, 2, 1, 3500000, 0)],
