@@ -1,24 +1,26 @@
 """Table maintenance as batch change sets.
 
-The reference writes one row per web form; here every operation takes the
-current snapshot(s) plus a DataFrame of changes and returns new snapshot(s)
-(lazy DataFrames), which the caller writes with ``sinks.write_snapshot``.
-Keys of changes are matched with joins; Spark's size estimates and AQE choose
-between broadcast and shuffle.
-
-Surrogate keys (AUTO_INCREMENT) are ``max(existing key) + position`` of the
-new row in a caller-given total order; the position comes from the
-distributed ``global_index`` (no single-partition window), and the one
-scalar ``max(key)`` and the admin guard's counts and boundary key are the only
-values read back to the driver.
+The reference writes one row per web form; here every operation takes
+DataFrames of changes. Appends return the new rows only; updates and deletes
+return the new table, or, with ``changed_only``, the rows that an update changed
+(``sinks.append_rows`` and ``sources.ranges`` write either without touching the
+rest). Keys of changes are matched with joins; Spark's size estimates and AQE
+choose between broadcast and shuffle.
+
+Surrogate keys (AUTO_INCREMENT) are ``after + position`` of the new row in a
+caller-given total order: ``after`` is the recorded high-water mark of the
+table (``sinks.KeyMarks``), so no append reads the base, and the position comes
+from the distributed ``global_index`` (per-partition counts, no single-partition
+window). The admin guard's counts and boundary key are the only values read back
+to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crmlake.functions.predicates import as_timestamp
+from crmlake.functions.predicates import ACCENT_COLLATION, as_timestamp
 from crmlake.functions.scalars import blank_to_null, derive_username, strip_ws
 from crmlake.operators.paging import global_index
 from crmlake.sources.readers import apply_defaults
@@ -32,16 +34,18 @@ MIN_USERNAME = 4
 MIN_PASSWORD = 6
 
 
-def next_keys(base: DataFrame, new: DataFrame, key: str, order, name: str | None = None) -> DataFrame:
-    """Give ``new`` rows keys ``max(base.key) + 1 ..`` in ``order``."""
-    start = base.agg(F.max(key)).first()[0] or 0
-    numbered = global_index(new, order, "__pos")
-    return numbered.withColumn(name or key, F.lit(start).cast("long") + F.col("__pos")).drop("__pos")
+def next_keys(new: DataFrame, key: str, order, after: int) -> DataFrame:
+    """Give ``new`` rows the keys ``after + 1 ..`` in ``order``. The rows are written once,
+    sorted (``global_index``); whatever is derived from the result reads them from there."""
+    staged = new.drop(key) if key in new.columns else new
+    return (global_index(staged, order, "__pos")
+            .withColumn(key, F.lit(after).cast("long") + F.col("__pos")).drop("__pos"))
 
 
-def append(base: DataFrame, new: DataFrame, table: Table, as_of, order,
-           optional: list[str] = ()) -> DataFrame:
-    """INSERT of ``new`` rows with column DEFAULTs and a surrogate key.
+def append(new: DataFrame, table: Table, as_of, order, after: int,
+           optional: list[str] = (), columns: list[str] | None = None) -> DataFrame:
+    """The rows an INSERT of ``new`` adds, with column DEFAULTs and surrogate
+    keys after ``after``; ``columns`` (default: all of the contract) of them.
 
     ``optional`` text columns (form fields for nullable foreign keys and
     dates) turn blank into NULL before the cast, as the reference's
@@ -51,10 +55,15 @@ def append(base: DataFrame, new: DataFrame, table: Table, as_of, order,
     for col in optional:
         if col in staged.columns:
             staged = staged.withColumn(col, blank_to_null(F.col(col).cast("string")))
-    keyed = next_keys(base, staged.drop(table.key) if table.key in staged.columns else staged,
-                      table.key, order)
-    keyed = apply_defaults(keyed, table, as_of)
-    return base.unionByName(keyed.select(*base.columns), allowMissingColumns=False)
+    keyed = apply_defaults(next_keys(staged, table.key, order, after), table, as_of)
+    return keyed.select(*(columns or keyed.columns))
+
+
+def replace_rows(base: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+    """``base`` with the rows whose key is in ``changed`` replaced by those of ``changed``."""
+    keys = changed.select(F.col(key).alias("__key")).distinct()
+    kept = base.join(keys, base[key] == keys["__key"], "left_anti")
+    return kept.unionByName(changed.select(*base.columns))
 
 
 def latest_change(changes: DataFrame, key: str, seq: str | None) -> DataFrame:
@@ -77,17 +86,17 @@ def latest_change(changes: DataFrame, key: str, seq: str | None) -> DataFrame:
 
 def update_by_key(base: DataFrame, changes: DataFrame, key: str, columns: list[str],
                   seq: str | None = None,
-                  matched_flag: str | None = None) -> DataFrame:
+                  matched_flag: str | None = None, changed_only: bool = False) -> DataFrame:
     """``UPDATE base SET c = change.c WHERE key = change.key``.
 
     Several changes for one key need ``seq`` (see ``latest_change``). A NULL in a change sets NULL (it is an assignment, not a merge). Base
     rows sharing a key all receive the change. Columns absent from ``base``
-    are added (NULL where unchanged).
+    are added (NULL where unchanged). ``changed_only`` leaves out the other rows.
     """
     ch = latest_change(changes.select(key, *columns, *([seq] if seq else [])), key, seq)
     ch = ch.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__new_{c}") for c in columns],
                    F.lit(True).alias("__hit"))
-    out = base.join(ch, base[key] == ch["__key"], "left")
+    out = base.join(ch, base[key] == ch["__key"], "inner" if changed_only else "left")
     hit = F.col("__hit").isNotNull()
     sets = {}
     for c in columns:
@@ -161,33 +170,33 @@ def delete_nullify(parent: DataFrame, parent_key: str, nullify: dict[str, tuple[
     return out
 
 
-def apply_enrollments(requests: DataFrame, enrollments: DataFrame, classes: DataFrame,
-                      students: DataFrame, table: Table, as_of, order) -> dict[str, DataFrame]:
-    """Register a batch of enrollment requests.
+def apply_enrollments(requests: DataFrame, classes: DataFrame, students: DataFrame, table: Table, as_of,
+                      order, after: int, columns: list[str] | None = None) -> dict[str, DataFrame]:
+    """Register a batch of enrollment requests. The requests are written once, in
+    order, and all three results read them from there:
 
-    * enrollments: appended with ``FinalFee = TotalFee - Discount``, status
+    * enrollments: the new rows, ``FinalFee = TotalFee - Discount``, status
       Confirmed, enroll date ``as_of``;
-    * classes: ``CurrentStudents += number of requests for the class`` (no
-      seat check, as the reference);
-    * students: every requesting student's status becomes Enrolled (even if
-      already Studying, as the reference).
+    * classes: the changed rows, ``CurrentStudents += number of requests for
+      the class`` (no seat check, as the reference);
+    * students: the changed rows, every requesting student's status becomes
+      Enrolled (even if already Studying, as the reference).
     """
+    keyed = next_keys(requests, table.key, order, after)
     fee = F.coalesce(F.col("TotalFee"), F.lit(0)).cast("decimal(12,2)")
     disc = F.coalesce(F.col("Discount"), F.lit(0)).cast("decimal(12,2)")
-    new = (requests.withColumn("TotalFee", fee).withColumn("Discount", disc)
+    new = (keyed.withColumn("TotalFee", fee).withColumn("Discount", disc)
            .withColumn("FinalFee", (fee - disc).cast("decimal(12,2)"))
            .withColumn("Status", F.lit("Confirmed"))
            .withColumn("EnrollDate", as_timestamp(as_of).cast("date")))
-    new_enrollments = append(enrollments, new, table, as_of, order, optional=[])
-    per_class = requests.groupBy(F.col("ClassID").alias("__cls")).agg(F.count(F.lit(1)).alias("__n"))
-    cl = classes.join(per_class, classes["ClassID"] == per_class["__cls"], "left")
-    cl = (cl.withColumn("CurrentStudents",
-                        (F.coalesce(F.col("CurrentStudents"), F.lit(0)) + F.coalesce(F.col("__n"), F.lit(0)))
-                        .cast(classes.schema["CurrentStudents"].dataType))
-          .drop("__cls", "__n"))
-    who = requests.select(F.col("StudentID")).distinct().withColumn("Status", F.lit("Enrolled"))
-    st = update_by_key(students, who, "StudentID", ["Status"])
-    return {"enrollments": new_enrollments, "classes": cl.select(*classes.columns),
+    new = apply_defaults(new, table, as_of)
+    per_class = keyed.groupBy(F.col("ClassID").alias("__cls")).agg(F.count(F.lit(1)).alias("__n"))
+    cl = classes.join(per_class, classes["ClassID"] == per_class["__cls"])
+    cl = cl.withColumn("CurrentStudents", (F.coalesce(F.col("CurrentStudents"), F.lit(0)) + F.col("__n"))
+                       .cast(classes.schema["CurrentStudents"].dataType))
+    who = keyed.select(F.col("StudentID")).distinct().withColumn("Status", F.lit("Enrolled"))
+    st = update_by_key(students, who, "StudentID", ["Status"], changed_only=True)
+    return {"enrollments": new.select(*(columns or new.columns)), "classes": cl.select(*classes.columns),
             "students": st.select(*students.columns)}
 
 
@@ -223,35 +232,43 @@ def guarded_delete(users: DataFrame, keys: DataFrame, key: str = "UserID",
             "refused": marked.filter(refused).select(key)}
 
 
-def derive_accounts(people: DataFrame, existing: DataFrame, table: Table, as_of,
+def _text_key(column: str, mode: str) -> Column:
+    """What UNIQUE compares: the text itself, or the text under the database's collation."""
+    if mode not in ("binary", "ci_ai"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return F.collate(F.col(column), ACCENT_COLLATION) if mode == "ci_ai" else F.col(column)
+
+
+def derive_accounts(people: DataFrame, existing: DataFrame, table: Table, as_of, after: int,
                     id_col: str = "EmployeeID", email_col: str = "Email",
-                    name_col: str = "FullName") -> DataFrame:
+                    name_col: str = "FullName", mode: str = "binary") -> DataFrame:
     """Accounts for people from their e-mail local part
     (``lower(replace(substring_index(email,'@',1),'.','_'))``), role
     employee, default password; ``INSERT IGNORE``: usernames already taken
-    (by an existing account or an earlier person of the batch) are skipped.
-    Returns the new account rows with keys after the existing ones."""
+    (by an existing account or an earlier person of the batch) are skipped;
+    ``mode="ci_ai"`` holds usernames equal as the database does (case, accents and
+    trailing blanks ignored). Returns the new account rows, keys after ``after``."""
     cand = people.select(derive_username(email_col).alias("Username"), F.col(id_col), F.col(name_col))
     cand = cand.filter(F.col("Username").isNotNull())
-    first = (cand.groupBy("Username")
-             .agg(F.min_by(F.struct(F.col(id_col), F.col(name_col)), F.col(id_col)).alias("__p"))
-             .select("Username", F.col(f"__p.{id_col}").alias(id_col), F.col(f"__p.{name_col}").alias(name_col)))
-    taken = existing.select(F.col("Username").alias("__u")).filter(F.col("__u").isNotNull()).distinct()
-    fresh = first.join(taken, first["Username"] == taken["__u"], "left_anti")
+    first = (cand.groupBy(_text_key("Username", mode).alias("__k"))
+             .agg(F.min_by(F.struct("Username", F.col(id_col), F.col(name_col)), F.struct(F.col(id_col), "Username")).alias("__p"))
+             .select("__k", F.col("__p.Username").alias("Username"), F.col(f"__p.{id_col}").alias(id_col),
+                     F.col(f"__p.{name_col}").alias(name_col)))
+    taken = existing.select(_text_key("Username", mode).alias("__u")).filter(F.col("__u").isNotNull()).distinct()
+    fresh = first.join(taken, first["__k"] == taken["__u"], "left_anti").drop("__k")
     fresh = (fresh.withColumn("Password", F.lit(DEFAULT_ACCOUNT_PASSWORD))
              .withColumn("Role", F.lit("employee")))
-    staged = apply_defaults(fresh, table, as_of)
-    return next_keys(existing, staged.drop(table.key), table.key, [id_col, "Username"]) \
-        .select(*[c.name for c in table.columns])
+    return append(fresh, table, as_of, [id_col, "Username"], after)
 
 
-def signup_outcomes(requests: DataFrame, existing: DataFrame, seq: str = "seq") -> DataFrame:
+def signup_outcomes(requests: DataFrame, existing: DataFrame, seq: str = "seq", mode: str = "binary") -> DataFrame:
     """Validate sign-up requests in the reference's order of checks.
 
     Fields are stripped first. Outcomes: ``missing`` (blank username,
     password or full name), ``username_short`` (< 4), ``password_short``
     (< 6), ``confirm_mismatch``, ``duplicate`` (taken by an account, or by
     an earlier valid request of the batch, by ``seq``), else ``ok``.
+    ``mode="ci_ai"`` holds usernames equal as the database does.
     """
     r = requests.select(F.col(seq), strip_ws("Username").alias("Username"),
                         strip_ws("Password").alias("Password"), strip_ws("Confirm").alias("Confirm"),
@@ -261,13 +278,13 @@ def signup_outcomes(requests: DataFrame, existing: DataFrame, seq: str = "seq")
            .when(F.length("Username") < MIN_USERNAME, F.lit("username_short"))
            .when(F.length("Password") < MIN_PASSWORD, F.lit("password_short"))
            .when(~F.col("Password").eqNullSafe(F.col("Confirm")), F.lit("confirm_mismatch")))
-    r = r.withColumn("__pre", pre)
+    r = r.withColumn("__pre", pre).withColumn("__k", _text_key("Username", mode))
     valid = r.filter(F.col("__pre").isNull())
-    first = valid.groupBy(F.col("Username").alias("__u")).agg(F.min(seq).alias("__first"))
-    taken = existing.select(F.col("Username").alias("__t")).filter(F.col("__t").isNotNull()).distinct()
-    r = r.join(first, r["Username"] == first["__u"], "left").drop("__u")
+    first = valid.groupBy(F.col("__k").alias("__u")).agg(F.min(seq).alias("__first"))
+    taken = existing.select(_text_key("Username", mode).alias("__t")).filter(F.col("__t").isNotNull()).distinct()
+    r = r.join(first, r["__k"] == first["__u"], "left").drop("__u")
     r = r.join(taken.withColumn("__exists", F.lit(True)),
-               r["Username"] == F.col("__t"), "left").drop("__t")
+               r["__k"] == F.col("__t"), "left").drop("__t")
     outcome = (F.when(F.col("__pre").isNotNull(), F.col("__pre"))
                .when(F.col("__exists").isNotNull(), F.lit("duplicate"))
                .when(F.col(seq) != F.col("__first"), F.lit("duplicate"))
@@ -275,18 +292,18 @@ def signup_outcomes(requests: DataFrame, existing: DataFrame, seq: str = "seq")
     return r.select(seq, "Username", "FullName", outcome.alias("outcome"))
 
 
-def accept_signups(outcomes: DataFrame, requests: DataFrame, users: DataFrame, table: Table,
-                   as_of, seq: str = "seq") -> DataFrame:
-    """Append accepted sign-ups as inactive guest accounts."""
+def accept_signups(outcomes: DataFrame, requests: DataFrame, table: Table, as_of, after: int,
+                   seq: str = "seq", columns: list[str] | None = None) -> DataFrame:
+    """The new rows of accepted sign-ups, inactive guest accounts."""
     ok = outcomes.filter(F.col("outcome") == "ok").select(seq)
     rows = (requests.join(ok, seq, "left_semi")
             .select(F.col(seq), strip_ws("Username").alias("Username"),
                     strip_ws("Password").alias("Password"), strip_ws("FullName").alias("FullName"))
             .withColumn("Role", F.lit(SIGNUP_ROLE)).withColumn("Status", F.lit(SIGNUP_STATUS)))
-    return append(users, rows, table, as_of, [seq])
+    return append(rows, table, as_of, [seq], after, columns=columns)
 
 
-def append_activity(log: DataFrame, entries: DataFrame, table: Table, as_of, order) -> DataFrame:
-    """S15 (batch): append activity entries with new LogIDs; entries
-    without a time get ``as_of``."""
-    return append(log, entries, table, as_of, order)
+def append_activity(entries: DataFrame, table: Table, as_of, order, after: int,
+                    columns: list[str] | None = None) -> DataFrame:
+    """S15 (batch): new activity rows with LogIDs after ``after``; entries without a time get ``as_of``."""
+    return append(entries, table, as_of, order, after, columns=columns)

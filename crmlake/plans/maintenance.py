@@ -1,9 +1,11 @@
 """Table-maintenance jobs (S3-S15) over the bound tables.
 
-Each job takes the current snapshots and a change set (``t.view('c_...')``)
-and returns the new snapshot(s) as DataFrames; the caller persists them with
-``sources.sinks.write_snapshot``. The registered forms return one snapshot
-(or a one-row summary of several) so that they can be compared with SQL.
+Each job takes the current tables and a change set (``t.view('c_...')``).
+Appends return the new rows; the caller writes them with ``sinks.append_keyed``
+(``TableSet.append``), which records the key mark that the next append begins at.
+Updates and deletes return new snapshots (or one-row summaries of several). The
+registered append queries add the new rows to their base, so that they can be
+compared with SQL.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ def _count():
 def open_return_tickets(t, as_of) -> DataFrame:
     """S5 (+S3 defaults): one new ticket per returned line item; keys follow
     the existing ones in request order; Priority/Status/CreatedAt defaults."""
-    return M.append(t.tickets, t.view("c_return_tickets"), S.SUPPORT_TICKETS, as_of,
-                    RETURN_TICKET_ORDER, optional=["EmployeeID"])
+    return M.append(t.view("c_return_tickets"), S.SUPPORT_TICKETS, as_of, RETURN_TICKET_ORDER,
+                    t.after("tickets", "TicketID"), optional=["EmployeeID"], columns=t.tickets.columns)
 
 
 def reassign_segments(t) -> DataFrame:
@@ -120,9 +122,9 @@ def remove_employees_summary(t) -> DataFrame:
 
 
 def register_enrollments(t, as_of) -> dict[str, DataFrame]:
-    """Enrollment requests -> enrollments, class counters, student status."""
-    return M.apply_enrollments(t.view("c_enrollment_requests"), t.enrollments, t.classes,
-                               t.students, S.ENROLLMENTS, as_of, ["seq"])
+    """Enrollment requests -> new enrollments, changed classes, changed students."""
+    return M.apply_enrollments(t.view("c_enrollment_requests"), t.classes, t.students, S.ENROLLMENTS, as_of, ["seq"],
+                               t.after("enrollments", "EnrollmentID"), columns=t.enrollments.columns)
 
 
 def remove_users(t) -> dict[str, DataFrame]:
@@ -130,36 +132,36 @@ def remove_users(t) -> dict[str, DataFrame]:
     return M.guarded_delete(t.users, t.view("c_user_removals"))
 
 
-def employee_accounts(t, as_of) -> DataFrame:
+def employee_accounts(t, as_of, mode: str = "binary") -> DataFrame:
     """Accounts derived from employee e-mails (INSERT IGNORE)."""
-    return M.derive_accounts(t.employees, t.users, S.USERS, as_of)
+    return M.derive_accounts(t.employees, t.users, S.USERS, as_of, t.after("users", "UserID"), mode=mode)
 
 
-def signup_outcomes(t) -> DataFrame:
+def signup_outcomes(t, mode: str = "binary") -> DataFrame:
     """Validation outcome of every sign-up request."""
-    return M.signup_outcomes(t.view("c_signups"), t.users)
+    return M.signup_outcomes(t.view("c_signups"), t.users, mode=mode)
 
 
-def accept_signups(t, as_of) -> DataFrame:
-    """Users snapshot with the accepted sign-ups as inactive guests."""
-    outcomes = M.signup_outcomes(t.view("c_signups"), t.users)
-    return M.accept_signups(outcomes, t.view("c_signups"), t.users, S.USERS, as_of)
+def accept_signups(t, as_of, mode: str = "binary") -> DataFrame:
+    """New accounts of the accepted sign-ups, inactive guests."""
+    outcomes = M.signup_outcomes(t.view("c_signups"), t.users, mode=mode)
+    return M.accept_signups(outcomes, t.view("c_signups"), S.USERS, as_of, t.after("users", "UserID"), columns=t.users.columns)
 
 
-def audit(t) -> DataFrame:
+def audit(t, mode: str = "binary") -> DataFrame:
     """Integrity findings over every bound table."""
-    return integrity_audit({name: t.view(view) for name, view in AUDITED.items()})
+    return integrity_audit({name: t.view(view) for name, view in AUDITED.items()}, mode=mode)
 
 
-def audit_details(t) -> DataFrame:
+def audit_details(t, mode: str = "binary") -> DataFrame:
     """The offending values behind every audit finding."""
-    return audit_violations({name: t.view(view) for name, view in AUDITED.items()})
+    return audit_violations({name: t.view(view) for name, view in AUDITED.items()}, mode=mode)
 
 
 def log_ticket_activity(t, as_of) -> DataFrame:
     """S15 (batch): activity entries appended with new LogIDs."""
-    return M.append_activity(t.activity, t.view("c_ticket_activity"), S.ACTIVITY_LOG, as_of,
-                             ["CreatedAt", "seq"])
+    return M.append_activity(t.view("c_ticket_activity"), S.ACTIVITY_LOG, as_of, ["CreatedAt", "seq"],
+                             t.after("activity", "LogID"), columns=t.activity.columns)
 
 
 def stream_activity(t) -> DataFrame:

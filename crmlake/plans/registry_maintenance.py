@@ -7,6 +7,7 @@ tables). Snapshot outputs are compared whole; surrogate keys in SQL are
 
 from __future__ import annotations
 
+from crmlake.operators.mutations import replace_rows
 from crmlake.plans import maintenance as MT
 from crmlake.plans import params as P
 from crmlake.plans.audit_oracle import audit_sql, violations_sql
@@ -40,7 +41,7 @@ SELECT (SELECT max(TicketID) FROM b_tickets)
 FROM c_return_tickets""")
 def s05(t):
     """S5 append one ticket per returned line item with defaults and new keys."""
-    return MT.open_return_tickets(t, AS_OF)
+    return t.tickets.unionByName(MT.open_return_tickets(t, AS_OF))
 
 
 @register("s06_update_segments", ["b_customers", "c_segment_changes"], """
@@ -167,7 +168,7 @@ SELECT (SELECT max(EnrollmentID) FROM b_enrollments) + row_number() OVER (ORDER
 FROM c_enrollment_requests""")
 def s11(t):
     """S11 enrollment requests appended as confirmed enrollments (FinalFee = fee - discount)."""
-    return MT.register_enrollments(t, AS_OF)["enrollments"]
+    return t.enrollments.unionByName(MT.register_enrollments(t, AS_OF)["enrollments"])
 
 
 @register("s11_class_counters", ["b_classes", "c_enrollment_requests"], """
@@ -176,7 +177,7 @@ FROM b_classes cl LEFT JOIN (SELECT ClassID, count(*) AS n FROM c_enrollment_req
   ON cl.ClassID = r.ClassID""")
 def s11c(t):
     """S11 class counters incremented by the requests per class."""
-    return MT.register_enrollments(t, AS_OF)["classes"]
+    return replace_rows(t.classes, MT.register_enrollments(t, AS_OF)["classes"], "ClassID")
 
 
 @register("s11_student_status", ["b_students", "c_enrollment_requests"], """
@@ -185,7 +186,7 @@ SELECT s.* REPLACE (CASE WHEN s.StudentID IN (SELECT StudentID FROM c_enrollment
 FROM b_students s""")
 def s11s(t):
     """S11 requesting students set to Enrolled."""
-    return MT.register_enrollments(t, AS_OF)["students"]
+    return replace_rows(t.students, MT.register_enrollments(t, AS_OF)["students"], "StudentID")
 
 
 # removals one after the other: an admin stays once the active admins removed before it leave only one
@@ -243,7 +244,7 @@ SELECT (SELECT max(UserID) FROM b_users) + row_number() OVER (ORDER BY seq) AS U
 FROM outcomes WHERE outcome = 'ok'""", ctes=_SIGNUP_CTES)
 def s13a(t):
     """S13 accepted sign-ups appended as inactive guest accounts."""
-    return MT.accept_signups(t, AS_OF)
+    return t.users.unionByName(MT.accept_signups(t, AS_OF))
 
 
 @register("s14_integrity_audit", list(MT.AUDITED.values()), audit_sql())
@@ -266,7 +267,7 @@ SELECT (SELECT max(LogID) FROM b_activity) + row_number() OVER (ORDER BY Created
 FROM c_ticket_activity""")
 def s15(t):
     """S15 activity entries appended to the log with new LogIDs."""
-    return MT.log_ticket_activity(t, AS_OF)
+    return t.activity.unionByName(MT.log_ticket_activity(t, AS_OF))
 
 
 @register("s15_activity_stream", ["b_activity"], """

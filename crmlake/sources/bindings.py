@@ -16,8 +16,13 @@ supplier; activity log = events.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from crmlake.session import ensure_checkpoint_dir
+from crmlake.sources.sinks import KeyMarks
+
 # Dialect tokens: the only spellings that differ between Spark SQL and DuckDB.
 _DIALECT = {
     "spark": {"TS0": "TIMESTAMP_NTZ '2020-01-01 00:00:00'", "TS1997": "TIMESTAMP_NTZ '1997-01-01 00:00:00'"},
@@ -264,6 +269,7 @@ class Bindings:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._base: dict[str, DataFrame] = {}
+        self._marks: KeyMarks | None = None
         self._views: dict[str, DataFrame] = {}
 
     def base(self, table: str) -> DataFrame:
@@ -276,6 +282,12 @@ class Bindings:
             raise AttributeError(name)
         return self.view("b_" + name)
 
+    def after(self, name: str, key: str) -> int:
+        """Where new keys of table ``name`` begin (its recorded mark)."""
+        if self._marks is None:
+            self._marks = KeyMarks(self.spark, f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/key-marks-{uuid.uuid4().hex}")
+        return self._marks.after(name, getattr(self, name), key)
+
     def view(self, name: str) -> DataFrame:
         if name in self._views:
             return self._views[name]

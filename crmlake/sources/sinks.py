@@ -1,21 +1,11 @@
-"""Sinks: snapshot writes that never expose a half-written table, and
-lineage cuts that survive executor loss.
-
-A table lives under ``root`` as immutable versions ``root/v=<n>``; the tables
-beside it (same parent folder) form one store. A commit writes every new
-version completely and then one numbered manifest
-``<store>/_commits/n=<k>`` (a single file, never rewritten) naming the version
-of each table of the store. Readers take the highest manifest and nothing
-else, so they see neither staged versions nor a mix of two commits, and a
-commit that fails part way changes nothing. A store has one writer at a time.
-Everything goes through the DataFrame reader and writer, so the paths may be
-HDFS/S3/ABFS.
+"""Sinks: append-only writes with recorded key marks, and lineage cuts that
+survive executor loss. Tables are plain Parquet folders; everything goes through
+the DataFrame reader and writer, so paths may be HDFS/S3/ABFS. Commits of
+several tables at once are left to the table format of the user's lake.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +14,6 @@ from pyspark.sql import functions as F
 from crmlake.session import ensure_checkpoint_dir
 
 
-def _write_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    version = f"{root.rstrip('/')}/v={time.time_ns()}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(version)
-    return version
-
-
 def read_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """The Parquet table at ``path``, or None when there is none. Only a
     missing path counts as absent; every other read error is raised."""
@@ -44,56 +25,41 @@ def read_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame | N
         return None
 
 
-def _store_of(root: str) -> tuple[str, str]:
-    store, _, table = root.rstrip("/").rpartition("/")
-    return store, table
-
-
-def _manifest(spark: SparkSession, store: str) -> tuple[int, dict[str, str]]:
-    """Number of the last commit and the version of each table (one row per
-    table of the store); ``(0, {})`` before the first commit."""
-    log = read_if_exists(spark, f"{store}/_commits", "tbl string, path string, n long")
-    last = log.agg(F.max("n")).first()[0] if log is not None else None
-    if last is None:
-        return 0, {}
-    return last, {r["tbl"]: r["path"] for r in log.filter(F.col("n") == last).collect()}
-
-
-def _commit(spark: SparkSession, versions: dict[str, str]) -> None:
-    stores = {_store_of(root)[0] for root in versions}
-    if len(stores) != 1:
-        raise ValueError("tables of one commit must share their parent folder")
-    store = stores.pop()
-    last, tables = _manifest(spark, store)
-    tables.update({_store_of(root)[1]: path for root, path in versions.items()})
-    (spark.createDataFrame(sorted(tables.items()), "tbl string, path string").coalesce(1)
-     .write.mode("errorifexists").parquet(f"{store}/_commits/n={last + 1}"))
-
-
-def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    version = _write_version(df, root, partition_by)
-    _commit(df.sparkSession, {root: version})
-    return version
-
-
-def commit_snapshots(snapshots: dict[str, DataFrame]) -> dict[str, str]:
-    """Commit several tables of a store at once (``{root: new snapshot}``),
-    e.g. the enrollments, classes and students of one enrollment batch: every
-    new version is written completely before the one manifest that names
-    them all, so a failure leaves all tables on their old versions."""
-    versions = {root: _write_version(df, root) for root, df in snapshots.items()}
-    if versions:
-        _commit(next(iter(snapshots.values())).sparkSession, versions)
-    return versions
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The last committed version of the table at ``root``."""
-    store, table = _store_of(root)
-    path = _manifest(spark, store)[1].get(table)
-    if path is None:
-        raise FileNotFoundError(f"no committed snapshot of {root}")
-    return spark.read.parquet(path)
+class KeyMarks:
+    """Recorded high-water marks of surrogate keys: a small Parquet table of (name, top)
+    rows, appended to; the largest row of a table counts. A table has one writer
+    at a time, as with any counter."""
+
+    SCHEMA = "name string, top long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def last(self, name: str) -> int | None:
+        """The recorded mark of table ``name``, None before the first."""
+        marks = read_if_exists(self.spark, self.path, self.SCHEMA)
+        return None if marks is None else marks.where(F.col("name") == name).agg(F.max("top")).first()[0]
+
+    def record(self, name: str, top: int) -> None:
+        self.spark.createDataFrame([(name, top)], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def after(self, name: str, base: DataFrame, key: str) -> int:
+        """Where new keys begin: the recorded mark. Only a table without one is asked for its largest key, once."""
+        top = self.last(name)
+        if top is None:
+            top = base.agg(F.max(key)).first()[0] or 0
+            self.record(name, top)
+        return top
+
+
+def append_keyed(rows: DataFrame, root: str, name: str, key: str, marks: KeyMarks) -> None:
+    """Append new rows and record their largest key. Rows are written before the mark; a run
+    that dies between the two leaves the old mark, so it is repeated on a cleaned-up folder."""
+    staged = cut_lineage(rows)
+    top = staged.agg(F.max(key)).first()[0]
+    append_rows(staged, root)
+    if top is not None:
+        marks.record(name, top)
 
 
 def append_rows(df: DataFrame, root: str) -> None:

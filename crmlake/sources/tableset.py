@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crmlake.sources import schemas as S
 from crmlake.sources.readers import scan, scan_jdbc
+from crmlake.sources.sinks import KeyMarks, append_keyed
 
 # attribute name -> contract (CRM and training-centre databases)
 CRM_TABLES = {
@@ -34,8 +35,9 @@ DB_NAMES = {"ActivityLog": "ActivityLog", "EduActivityLog": "ActivityLog", "EduU
 class TableSet:
     """Lazily opened, contract-conformed tables."""
 
-    def __init__(self, spark: SparkSession, opener, tables: dict[str, S.Table]):
+    def __init__(self, spark: SparkSession, opener, tables: dict[str, S.Table], root: str | None = None):
         self.spark = spark
+        self._root = root
         self._opener = opener
         self._tables = tables
         self._open: dict[str, DataFrame] = {}
@@ -56,7 +58,22 @@ class TableSet:
         """``<root>/<ContractName>`` folders (e.g. ``.../Customers``)."""
         root = root.rstrip("/")
         return cls(spark, lambda t: scan(spark, f"{root}/{t.name}", t, fmt),
-                   tables or {**CRM_TABLES, **EDU_TABLES})
+                   tables or {**CRM_TABLES, **EDU_TABLES}, root if fmt == "parquet" else None)
+
+    def _marks(self) -> KeyMarks:
+        if self._root is None:
+            raise ValueError("appends need a TableSet over Parquet folders")
+        return KeyMarks(self.spark, f"{self._root}/_key_marks")
+
+    def after(self, name: str, key: str) -> int:
+        """Where new keys of table ``name`` begin (its recorded mark)."""
+        return self._marks().after(self._tables[name].name, getattr(self, name), key)
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add new rows (with keys) to a stored table and record its mark."""
+        table = self._tables[name]
+        append_keyed(rows, f"{self._root}/{table.name}", table.name, table.key, self._marks())
+        self._open.pop(name, None)
 
     @classmethod
     def jdbc(cls, spark: SparkSession, url: str, properties: dict, num_partitions: int = 16,

@@ -5,7 +5,7 @@ as files in a landing folder; a Structured Streaming query picks them up
 (file source, exactly-once bookkeeping in the checkpoint) and appends them
 to the log. ``LogID`` continues the stream's own maximum and that of an
 ``existing`` log handed to ``start_activity_stream``. Entries without a time
-get the time at which their batch is written.
+get the time at which their batch was first run, which is recorded.
 
 Each micro-batch is written to its own folder ``<log>/batch_id=<n>`` with
 mode ``overwrite``: when a batch is replayed after a failure it rewrites the
@@ -52,6 +52,15 @@ def entries_from_events(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("seq"))
 
 
+def _batch_time(spark: SparkSession, path: str) -> str:
+    """The time of a batch: recorded at its first run, so a replay stamps the same one."""
+    known = read_if_exists(spark, path, "stamp string")
+    if known is None:
+        spark.range(1).select(F.localtimestamp().cast("string").alias("stamp")).coalesce(1).write.parquet(path)
+        known = spark.read.schema("stamp string").parquet(path)
+    return known.first()[0]
+
+
 def _append_batch(log_root: str, order: list, as_of, first_free: int) -> callable:
     keys_root = f"{log_root}/_keys"  # hidden from readers of the log (leading underscore)
 
@@ -63,7 +72,7 @@ def _append_batch(log_root: str, order: list, as_of, first_free: int) -> callabl
         if keys is not None:
             last = keys.filter(F.col("batch_id") < batch_id).agg(F.max("max_key")).first()[0]
             prior = max(prior, last or 0)
-        stamp = as_of or spark.range(1).select(F.localtimestamp().cast("string")).first()[0]
+        stamp = as_of or _batch_time(spark, f"{log_root}/_times/batch_id={batch_id}")
         numbered = global_index(batch, order, "__pos")
         rows = numbered.withColumn("LogID", F.lit(prior).cast("long") + F.col("__pos")).drop("__pos")
         rows = apply_defaults(rows, ACTIVITY_LOG, stamp)

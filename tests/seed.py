@@ -175,6 +175,9 @@ class SeedTables:
         self.spark = spark
         self._cache: dict[str, DataFrame] = {}
 
+    def after(self, name: str, key: str) -> int:
+        return getattr(self, name).agg({key: "max"}).first()[0] or 0
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

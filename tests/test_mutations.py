@@ -14,12 +14,12 @@ AS_OF = "2025-06-20 12:00:00"
 def test_append_assigns_keys_in_order_and_defaults(seed, spark):
     new = spark.createDataFrame([(3, "", "B ticket", None, 2), (1, "4", "A ticket", "High", 1)],
                                 "CustomerID long, EmployeeID string, Subject string, Priority string, seq int")
-    out = M.append(seed.tickets, new, S.SUPPORT_TICKETS, AS_OF, ["seq"], optional=["EmployeeID"])
+    out = M.append(new, S.SUPPORT_TICKETS, AS_OF, ["seq"], 5, optional=["EmployeeID"])
     got = rows(out.filter("TicketID > 5").orderBy("TicketID"), "TicketID", "Subject", "EmployeeID",
                "Priority", "Status")
     assert got == [(6, "A ticket", 4, "High", "Open"), (7, "B ticket", None, "Medium", "Open")]
     assert out.filter("TicketID > 5").select(F.col("CreatedAt").cast("string")).first()[0] == AS_OF
-    assert out.count() == 7
+    assert out.count() == 2          # the new rows, not the table
 
 
 def test_update_by_key_assigns_null_and_keeps_others(seed, spark):
@@ -131,14 +131,14 @@ def test_signup_outcomes_in_reference_order(seed, spark):
     got = dict(rows(M.signup_outcomes(req, seed.users), "seq", "outcome"))
     assert got == {1: "duplicate", 2: "username_short", 3: "password_short", 4: "confirm_mismatch",
                    5: "missing", 6: "ok", 7: "duplicate"}
-    users = M.accept_signups(M.signup_outcomes(req, seed.users), req, seed.users, S.USERS, AS_OF)
+    users = M.accept_signups(M.signup_outcomes(req, seed.users), req, S.USERS, AS_OF, 2)
     assert rows(users.filter("UserID = 3"), "Username", "Role", "Status") == [("erin", "guest", "Inactive")]
 
 
 def test_derive_accounts_insert_ignore_within_batch(seed, spark):
     people = spark.createDataFrame([(10, "x.y@a.vn", "First"), (11, "X.Y@b.vn", "Second"), (12, None, "NoMail")],
                                    "EmployeeID long, Email string, FullName string")
-    out = M.derive_accounts(people, seed.users, S.USERS, AS_OF)
+    out = M.derive_accounts(people, seed.users, S.USERS, AS_OF, 2)
     assert rows(out, "UserID", "Username", "EmployeeID", "FullName") == [(3, "x_y", 10, "First")]
 
 
@@ -154,7 +154,6 @@ def test_audit_finds_duplicates_nulls_orphans(spark):
 
 def test_tableset_reads_contract_folders(spark, seed, tmp_path):
     from crmlake.plans import crm
-    from crmlake.sources.sinks import read_snapshot, write_snapshot
     from crmlake.sources.tableset import TableSet
     root = str(tmp_path)
     for attr in ("customers", "employees", "opportunities", "tickets", "interactions"):
@@ -163,31 +162,56 @@ def test_tableset_reads_contract_folders(spark, seed, tmp_path):
         df.write.parquet(f"{root}/{name}")
     ts = TableSet.files(spark, root)
     assert crm.crm_kpis(ts).first().won_value == 15_000_000
-    # versioned snapshot write + pointer read
-    v1 = write_snapshot(ts.customers, f"{root}/snap")
-    v2 = write_snapshot(ts.customers.limit(3), f"{root}/snap")
-    assert v1 != v2 and read_snapshot(spark, f"{root}/snap").count() == 3
-
-
-def test_snapshot_reads_see_commits_only(spark, seed, tmp_path):
-    from crmlake.sources import sinks
-    a, b = str(tmp_path / "a"), str(tmp_path / "b")
-    sinks.commit_snapshots({a: seed.customers.limit(3), b: seed.customers.limit(2)})
-    # staged, not committed: invisible, whatever its time
-    sinks._write_version(seed.customers.limit(4), a)
-    assert sinks.read_snapshot(spark, a).count() == 3
-    # a table that cannot be written leaves every table as it was
-    broken = seed.customers.withColumn("FullName", F.raise_error(F.lit("lost")).cast("string"))
-    with pytest.raises(Exception, match="lost"):
-        sinks.commit_snapshots({a: seed.customers.limit(1), b: broken})
-    assert (sinks.read_snapshot(spark, a).count(), sinks.read_snapshot(spark, b).count()) == (3, 2)
-    # a later commit of one table keeps the other
-    sinks.write_snapshot(seed.customers.limit(1), a)
-    assert (sinks.read_snapshot(spark, a).count(), sinks.read_snapshot(spark, b).count()) == (1, 2)
-    with pytest.raises(FileNotFoundError):
-        sinks.read_snapshot(spark, str(tmp_path / "c"))
-    with pytest.raises(ValueError):
-        sinks.commit_snapshots({a: seed.customers, str(tmp_path / "other" / "d"): seed.customers})
+
+
+def test_appends_follow_the_recorded_mark(spark, seed, tmp_path):
+    from crmlake.sources.tableset import TableSet
+    root = str(tmp_path)
+    seed.tickets.write.parquet(f"{root}/SupportTickets")
+    ts = TableSet.files(spark, root)
+    new = spark.createDataFrame([(i, 1, f"Later {i}") for i in range(3)], "seq long, CustomerID long, Subject string")
+    for _ in range(2):
+        ts.append("tickets", M.append(new, S.SUPPORT_TICKETS, AS_OF, ["seq"], ts.after("tickets", "TicketID")))
+    assert sorted(r[0] for r in rows(ts.tickets, "TicketID")) == list(range(1, 12))
+    # a recorded mark is used as it is: the base is not asked, even for keys above it
+    assert ts._marks().last("SupportTickets") == 11 and ts.after("tickets", "TicketID") == 11
+    ts._marks().record("SupportTickets", 100)
+    assert ts.after("tickets", "TicketID") == 100
+    # nothing to add: no mark, no file
+    ts.append("tickets", M.append(new.limit(0), S.SUPPORT_TICKETS, AS_OF, ["seq"], 100))
+    assert ts.tickets.count() == 11 and ts._marks().last("SupportTickets") == 100
+
+
+def test_an_append_does_not_read_its_base(spark):
+    """Once the mark is recorded, no base table is in the plan of the new rows."""
+    from crmlake.plans import maintenance as MT
+    from crmlake.sources.bindings import Bindings
+    t = Bindings.of(spark, "/root/testdata/sf0.001")
+    df = MT.log_ticket_activity(t, AS_OF)
+    assert "events" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() == t.view("c_ticket_activity").count()
+
+
+def test_replace_rows_and_changed_only(seed, spark):
+    ch = spark.createDataFrame([(2, "SMB"), (99, "SMB")], "CustomerID long, Segment string")
+    changed = M.update_by_key(seed.customers, ch, "CustomerID", ["Segment"], changed_only=True)
+    assert rows(changed, "CustomerID", "Segment") == [(2, "SMB")]
+    whole = M.update_by_key(seed.customers, ch, "CustomerID", ["Segment"])
+    assert sorted(rows(M.replace_rows(seed.customers, changed, "CustomerID")), key=str) == sorted(rows(whole), key=str)
+
+
+@pytest.mark.parametrize("mode,names,outcomes", [
+    ("binary", ["José", "jose", "ana"], ["ok", "ok", "ok", "ok"]),
+    ("ci_ai", ["ana"], ["duplicate", "ok", "duplicate", "duplicate"])])
+def test_usernames_under_the_collation(spark, mode, names, outcomes):
+    people = spark.createDataFrame([(1, "Jose@x", "A"), (2, "José@x", "B"), (3, "ana@x", "C"), (4, "ana@y", "D")],
+                                   "EmployeeID long, Email string, FullName string")
+    users = spark.createDataFrame([(1, "JOSÉ ")], "UserID long, Username string")
+    got = M.derive_accounts(people, users, S.USERS, AS_OF, 1, mode=mode)
+    assert sorted(r[0].lower() for r in rows(got, "Username")) == sorted(n.lower() for n in names)
+    req = spark.createDataFrame([(1, "josé"), (2, "Bảo An"), (3, "bao an"), (4, "BAO AN  ")], "seq long, Username string") \
+        .selectExpr("*", "'secret1' AS Password", "'secret1' AS Confirm", "'Name' AS FullName")
+    assert [r[0] for r in rows(M.signup_outcomes(req, users, mode=mode).orderBy("seq"), "outcome")] == outcomes
 
 
 def test_audit_violations_list_the_offending_values(spark):
@@ -240,14 +264,3 @@ def test_audit_shuffles_a_hot_key_as_one_row_per_task(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     first = plan[plan.rindex("Exchange hashpartitioning(domain"):]
     assert "partial_count" in first
-
-
-def test_commit_snapshots_stages_then_swaps(spark, seed, tmp_path):
-    from crmlake.sources.sinks import commit_snapshots, read_snapshot
-    req = spark.createDataFrame([(1, 4, 2, 1, 3500000, 0)],
-                                "seq long, StudentID long, ClassID long, StaffID long, TotalFee long, Discount long")
-    out = M.apply_enrollments(req, seed.enrollments, seed.classes, seed.students, S.ENROLLMENTS, AS_OF, ["seq"])
-    roots = {f"{tmp_path}/{name}": df for name, df in out.items()}
-    commit_snapshots(roots)
-    assert read_snapshot(spark, f"{tmp_path}/enrollments").count() == 9
-    assert read_snapshot(spark, f"{tmp_path}/classes").filter("ClassID = 2").first().CurrentStudents == 9

@@ -116,8 +116,7 @@ def test_s4_derive_accounts(seed):
 def test_s11_enrollment_request_effects(seed, spark):
     req = spark.createDataFrame([(1, 4, 2, 1, 3500000, 350000)],
                                 "seq long, StudentID long, ClassID long, StaffID long, TotalFee long, Discount long")
-    out = M.apply_enrollments(req, seed.enrollments, seed.classes, seed.students, S.ENROLLMENTS,
-                              "2025-06-20 00:00:00", ["seq"])
+    out = M.apply_enrollments(req, seed.classes, seed.students, S.ENROLLMENTS, "2025-06-20 00:00:00", ["seq"], 8)
     new = out["enrollments"].filter("EnrollmentID = 9").first()
     assert float(new.FinalFee) == 3_150_000 and new.Status == "Confirmed"
     assert out["classes"].filter("ClassID = 2").first().CurrentStudents == 9
