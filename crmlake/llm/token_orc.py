@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crmlake.llm import textvec as tv
-from crmlake.llm.common import documents, shuffle_partitions, work_path
+from crmlake.llm.common import documents, shuffle_partitions, work_path, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -146,8 +146,9 @@ def write_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
 def read_documents(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files of ``write_documents``."""
-    rows = (spark.read.schema(SCHEMA).orc(path)
-            .mapInArrow(checksum_pass, "part int, pos int, doc_id long, n_tokens long, ids_crc32 long"))
+    # totals and result both need the rows: decode the files once, keep the narrow rows
+    rows = written(spark.read.schema(SCHEMA).orc(path)
+                   .mapInArrow(checksum_pass, "part int, pos int, doc_id long, n_tokens long, ids_crc32 long"), "token-sums")
     in_file = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     # one row per file
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
