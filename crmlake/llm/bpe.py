@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ from crmlake.llm import textvec as tv
 from crmlake.llm.common import documents
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-CHUNK = 6 << 20            # bytes of text whose new words are merged together
-KEEP_WORDS = 300_000       # encoded words that a worker keeps from chunk to chunk
+CHUNK = 2 << 20            # bytes of text whose new words are merged together
+KEEP_BYTES = 32 << 20      # memory of encoded words that a task keeps from chunk to chunk, about
+ENTRY = 150                # bytes that a kept word takes besides its own
 NONE = np.int32(np.iinfo(np.int32).max)
 _models: dict[bytes, Model] = {}
-_words: dict[bytes, Words] = {}
 
 
 def distinct(at: np.ndarray) -> np.ndarray:
@@ -178,24 +179,28 @@ class Numbers(dict):
 
 
 class Words:
-    """The encoded words of a worker: number of each word, and its ids."""
+    """The encoded words of a task: number of each word, and its ids."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.number = Numbers()
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.held = Numbers(), 0
         self.ids = np.zeros(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
 
     def encode(self, texts: list[str], find) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids per text)."""
-        if len(self.number) > KEEP_WORDS:
-            self.__init__(self.model)
+        if self.held > KEEP_BYTES:
+            self.forget()
         number, found = self.number, []
         known = len(number)
         for text in texts:
             found.append(np.fromiter(map(number.__getitem__, find(text)), np.int64))
-        fresh = [w.encode() for w in list(number)[known:]]
+        fresh = [w.encode() for w in islice(number, known, None)]
         if fresh:
+            self.held += sum(map(len, fresh)) + ENTRY * len(fresh)
             ids, offsets = self.model.encode_words(fresh)
             self.ids = np.concatenate((self.ids, ids))
             self.offsets = np.concatenate((self.offsets, offsets[1:] + self.offsets[-1]))
@@ -209,7 +214,7 @@ class Words:
 
 def encode_pass(raw, pattern: str, decode: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words.setdefault(raw.value, Words(Model.of(raw.value)))
+        words = Words(Model.of(raw.value))
         find = regex.compile(pattern).findall
         for rows, buf, offsets in gathered(batches, "text"):
             data = buf.tobytes()

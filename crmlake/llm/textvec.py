@@ -7,6 +7,7 @@ loop runs over words or characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,9 +137,17 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:                                  # glibc only
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK
            ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Whole documents in chunks of about ``limit`` bytes: (rows, bytes, offsets)."""
+    """Whole documents in chunks of about ``limit`` bytes: (rows, bytes, offsets). A task that has read all
+    of them gives its free memory back, since the worker stays for the tasks of later stages."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -148,3 +157,4 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo), buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
             lo = hi
+    release_memory()
