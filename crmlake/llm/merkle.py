@@ -82,11 +82,13 @@ def reduce_levels(nodes: list[str], levels: int) -> list[list[str]]:
     return out
 
 
-def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rows`` with g (number of the group from 0, nulls first), pos (place in the group) and n (rows of the group)."""
+def numbered(rows: DataFrame, group: str, order: list[str], spread: list[str]) -> DataFrame:
+    """``rows`` with g (number of the group from 0, nulls first), pos (place in the group) and n (rows of the group).
+
+    ``spread``: narrow columns in the same order as ``order``, whose ranges deal the rows out."""
     spark = rows.sparkSession
     parts = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
-    placed = (rows.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order)
+    placed = (rows.repartitionByRange(parts, group, *spread).sortWithinPartitions(group, *order)
               .withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
     placed = written(placed, "merkle-order")
     # one row per partition and group: at most partitions + groups rows, each partition holds a range of groups
@@ -176,10 +178,11 @@ def merkle_proofs(rows: DataFrame, group: str = "lang", id_col: str = "doc_id",
     Returns ``id_col``, leaf, subroot, root, proof_sha256 (digest of all siblings, left to right, level by level),
     folded_root (from seen and the siblings), steps (the siblings before and after, a level each; null unless kept)."""
     kind = rows.schema[id_col].dataType
-    # tie: equal rows may be dealt to several partitions
+    # head: the first 60 bits of the leaf; tie: equal rows may be dealt to several partitions
     own = written(rows.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), "leaf", "seen")
-                  .withColumn("tie", F.monotonically_increasing_id()), "merkle-leaves")
-    placed = written(numbered(own, "grp", ["id", "leaf", "seen", "tie"])
+                  .withColumns({"head": F.conv(F.substring("leaf", 1, 15), 16, 10).cast("long"),
+                                "tie": F.monotonically_increasing_id()}), "merkle-leaves")
+    placed = written(numbered(own, "grp", ["id", "leaf", "tie"], ["id", "head", "tie"])
                      .select("g", "pos", F.col("leaf").alias("node"), "n", "seen", F.col("id").cast("string").alias("tag")), "merkle-placed")
     # two numbers: the largest group and the number of groups
     largest, groups = placed.agg(F.max("n"), F.max("g") + 1).first()
