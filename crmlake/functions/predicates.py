@@ -100,6 +100,27 @@ def as_timestamp(as_of: dt.datetime | dt.date | str) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
+def month_column(column: str) -> str:
+    """Name of the partition column of a table stored by month of ``column``."""
+    return f"{column}_month"
+
+
+def month_number(date: Column) -> Column:
+    """A calendar month as a number that grows by one a month."""
+    return F.year(date) * 12 + F.month(date) - 1
+
+
+def in_months(df: DataFrame, column: str, as_of, months: int | None = None) -> Column | None:
+    """Partition condition of a table stored by month: the months from ``months`` before ``as_of`` on,
+    or the month of ``as_of`` alone. No condition for a table stored otherwise."""
+    if month_column(column) not in df.columns:
+        return None
+    now = as_timestamp(as_of)
+    if months is None:
+        return F.col(month_column(column)) == month_number(now)
+    return F.col(month_column(column)) >= month_number(now - F.make_ym_interval(F.lit(0), F.lit(months)))
+
+
 def rolling_months(column: str | Column, as_of, months: int = 12) -> Column:
     """``col >= DATE_SUB(as_of, INTERVAL n MONTH)`` (no upper bound;
     time of day kept, month end clamped)."""

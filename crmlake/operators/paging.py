@@ -6,20 +6,16 @@ given. It has two physical strategies, which return the same rows:
 
 * shallow pages: a top-K (``TakeOrderedAndProject``) of ``K = page *
   per_page`` rows. Each task keeps its best K rows and one task merges what
-  every partition sends, i.e. up to ``K * partitions`` rows; the top-K is
-  used only while that product stays within ``shallow_limit`` (10 M rows by
-  default), so on a list of 400 000 partitions only the first pages take
+  every partition sends; the top-K is used only while that stays within
+  ``shallow_bytes`` (64 MB by default, from the schema's widths and the
+  number of partitions), so on a list of many partitions only the first pages take
   this path.
-* deep pages: a distributed position over the *sort keys only*. The key
-  columns are globally sorted (range partitioned), checkpointed to the
-  shared checkpoint folder so that both uses see identical partitions, and
-  numbered as ``offset(partition) + position inside partition`` (the offsets
-  table has one row per partition, a proven bound, and is broadcast). The
-  page's keys (at most ``per_page`` groups) are then broadcast to fetch the
-  full rows in one pass over the list. Rows that tie on every sort key are
-  interchangeable; the copies of a group that straddles a page boundary are
-  numbered by all their columns so consecutive pages take disjoint copies.
-  No step moves the whole list into one task.
+* all other pages: a ``PagedList``. The list is evaluated once, sorted over
+  range partitions and written with one folder per partition, beside a directory:
+  one row per partition with its first position, its size and its smallest
+  sort keys. A page is looked up in the directory and reads only the one or two
+  folders that hold it (partition pruning). The folder is a version of the list: any number of
+  pages, by number or from a key on, read it without evaluating the list again.
 
 The page number is clamped to ``[1, pages]`` with
 ``pages = max(1, ceil(total / per_page))`` as the reference does.
@@ -27,14 +23,18 @@ The page number is clamped to ``[1, pages]`` with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crmlake.session import ensure_checkpoint_dir
 from crmlake.sources.sinks import cut_lineage
 
 DEFAULT_PER_PAGE = 10
 ACTIVITY_PER_PAGE = 20
-SHALLOW_LIMIT = 10_000_000  # rows the merging task of a top-K may receive
+SHALLOW_BYTES = 64 << 20   # what the merging task of a top-K may receive
+TEXT_WIDTH = 64            # bytes assumed for a text value when a top-K is weighed
 
 
 def order_spec(*cols) -> list[Column]:
@@ -60,8 +60,17 @@ def global_index(df: DataFrame, order, name: str = "row_num",
                  total_name: str | None = None) -> DataFrame:
     """1-based position of each row in ``order``, computed without a
     single-partition window."""
-    order = order_spec(*order)
-    ranked = cut_lineage(df.orderBy(*order))
+    return _numbered(cut_lineage(df.orderBy(*order_spec(*order))), name, total_name)
+
+
+def as_shown(df: DataFrame, name: str = "position") -> DataFrame:
+    """1-based position of each row in the order in which ``df`` gives them (nothing is sorted
+    here): what a report's reader sees, as a column."""
+    return _numbered(cut_lineage(df), name)
+
+
+def _numbered(ranked: DataFrame, name: str, total_name: str | None = None) -> DataFrame:
+    """Positions of the rows of a checkpointed DataFrame."""
     with_pos = (ranked.withColumn("__pid", F.spark_partition_id())
                 .withColumn("__mid", F.monotonically_increasing_id()))
     counts = with_pos.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
@@ -78,30 +87,107 @@ def global_index(df: DataFrame, order, name: str = "row_num",
     return out.drop("__pid", "__mid", "__off", "__total")
 
 
+def with_position(df: DataFrame, order, name: str = "position") -> DataFrame:
+    """``df`` with the 1-based place of each row in the shown order (ties completed by the other columns)."""
+    return global_index(df, _total_order(df, list(order)), name)
+
+
+class PagedList:
+    """A version of a list, sorted and written once, with a directory of its partitions.
+
+    ``<path>/rows/__part=<n>`` holds the rows of range partition n, ``__at`` their place in
+    it; ``<path>/directory`` has (part, first: position of the partition's first row, n: its rows,
+    low: its smallest sort keys)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.rows = spark.read.parquet(f"{path}/rows")
+        self.directory = spark.read.parquet(f"{path}/directory")
+
+    @classmethod
+    def build(cls, df: DataFrame, order, path: str | None = None) -> "PagedList":
+        """Write ``df`` in ``order`` to ``path`` (default: a new folder in the shared checkpoint folder)."""
+        spark, specs = df.sparkSession, list(order)
+        path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/list-{uuid.uuid4().hex}"
+        # written before it is sorted: sampling the sort's ranges would evaluate the list a second time
+        df.write.parquet(f"{path}/unsorted")
+        found = spark.read.schema(df.schema).parquet(f"{path}/unsorted")
+        placed = (found.orderBy(*_total_order(found, specs)).withColumn("__part", F.spark_partition_id())
+                  .withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)))
+        placed.write.partitionBy("__part").parquet(f"{path}/rows")
+        keys = [k for k in _spec_names(specs) or [] if k in df.columns]
+        first_row = F.when(F.col("__at") == 0, F.struct(*keys) if keys else F.struct("__at"))
+        # schema given: a list without rows has no folders to infer it from
+        rows = spark.read.schema(placed.schema).parquet(f"{path}/rows")
+        sizes = rows.groupBy(F.col("__part").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max(first_row).alias("low"))
+        # one row per partition
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        (sizes.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("first"), "n", "low")
+         .coalesce(1).write.parquet(f"{path}/directory"))
+        out = cls.__new__(cls)
+        out.spark, out.path, out.rows, out.directory = spark, path, rows, spark.read.parquet(f"{path}/directory")
+        return out
+
+    def total(self) -> int:
+        return self.directory.agg(F.sum("n")).first()[0] or 0
+
+    def between(self, lo: int, hi: int) -> DataFrame:
+        """The rows at positions ``lo`` to ``hi``, with ``row_num``; only their partitions are read."""
+        found = (self.directory.where((F.col("first") <= hi) & (F.col("first") + F.col("n") > lo))
+                 .select("part", "first").collect())           # the partitions that hold the range
+        first, held = F.lit(None).cast("long"), F.lit(False)
+        for r in found:
+            own = F.col("__part") == r["part"]
+            first = F.when(own, F.lit(r["first"])).otherwise(first)
+            held = held | (own & F.col("__at").between(lo - r["first"], hi - r["first"]))
+        return (self.rows.where(F.col("__part").isin([r["part"] for r in found]) & held)
+                .withColumn("row_num", first + F.col("__at")).drop("__part", "__at"))
+
+    def page(self, page: int, per_page: int = DEFAULT_PER_PAGE) -> DataFrame:
+        """The rows of the (clamped) page with ``row_num`` and ``page``."""
+        pages = max(1, -(-self.total() // per_page))
+        page = min(max(1, int(page)), pages)
+        return self.between((page - 1) * per_page + 1, page * per_page).withColumn("page", F.lit(page).cast("long"))
+
+    def page_after(self, key: dict, per_page: int = DEFAULT_PER_PAGE) -> DataFrame:
+        """The rows from the first one whose first sort columns (ascending, not null) equal or pass ``key``."""
+        low = F.struct(*[F.col(f"low.{c}") for c in key])
+        at = F.struct(*[F.lit(v).alias(c) for c, v in key.items()])
+        # the key lies in the last partition that begins before it, or begins a later one
+        held = self.directory.where(low < at).agg(F.max("part")).first()[0]
+        held = held if held is not None else (self.directory.agg(F.min("part")).first()[0] or 0)
+        start = self.directory.where(F.col("part") == held).select("first", "n").first()
+        if start is None:
+            return self.between(1, 0)
+        inside = (self.rows.where((F.col("__part") == held) & (F.struct(*[F.col(c) for c in key]) >= at))
+                  .agg(F.min("__at")).first()[0])
+        lo = start["first"] + (inside if inside is not None else start["n"])
+        return self.between(lo, lo + per_page - 1)
+
+
 def _pages(total: Column, per_page: int) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(total / F.lit(per_page)).cast("long"))
 
 
 def paginate(df: DataFrame, order, page: int = 1,
-             per_page: int = DEFAULT_PER_PAGE, shallow_limit: int = SHALLOW_LIMIT) -> DataFrame:
+             per_page: int = DEFAULT_PER_PAGE, shallow_bytes: int = SHALLOW_BYTES) -> DataFrame:
     """The rows of one page, with ``row_num`` (position in the full list)
     and ``page`` (the clamped page number) columns."""
     specs = list(order)
-    order = _total_order(df, specs)
     page = max(1, int(page))
     need = page * per_page
-    parts = _partitions_estimate(df) if need <= shallow_limit else 0
-    if 0 < need * max(parts, 1) <= shallow_limit:
-        top = df.orderBy(*order).limit(need)
-        whole = Window.partitionBy(F.lit(0))
-        numbered = (top.withColumn("row_num", F.row_number().over(Window.orderBy(*order)).cast("long"))
-                    .withColumn("__seen", F.count(F.lit(1)).over(whole)))
-        # fewer than ``need`` rows means the top-K holds the whole list
-        eff = (F.when(F.col("__seen") < need,
-                      F.least(F.lit(page).cast("long"), _pages(F.col("__seen"), per_page)))
-               .otherwise(F.lit(page).cast("long")))
-    else:
-        return _deep_page(df, specs, page, per_page)
+    width = sum(TEXT_WIDTH if f.dataType.typeName() in ("string", "binary", "array", "map", "struct") else 8 for f in df.schema.fields)
+    if need * width > shallow_bytes or need * width * _partitions(df) > shallow_bytes:
+        return PagedList.build(df, specs).page(page, per_page)
+    order = _total_order(df, specs)
+    top = df.orderBy(*order).limit(need)
+    whole = Window.partitionBy(F.lit(0))
+    numbered = (top.withColumn("row_num", F.row_number().over(Window.orderBy(*order)).cast("long"))
+                .withColumn("__seen", F.count(F.lit(1)).over(whole)))
+    # fewer than ``need`` rows means the top-K holds the whole list
+    eff = (F.when(F.col("__seen") < need,
+                  F.least(F.lit(page).cast("long"), _pages(F.col("__seen"), per_page)))
+           .otherwise(F.lit(page).cast("long")))
     out = numbered.withColumn("page", eff)
     out = out.filter((F.col("row_num") > (F.col("page") - 1) * per_page)
                      & (F.col("row_num") <= F.col("page") * per_page))
@@ -114,18 +200,12 @@ def _total_order(df: DataFrame, specs) -> list[Column]:
     return order_spec(*specs) + [F.col(c).asc() for c in df.columns if c not in keys]
 
 
-def _partitions_estimate(df: DataFrame) -> int:
-    """Estimate of the partitions feeding a top-K, from the plan's metadata
-    (no job): shuffle partitions, parallelism, or the splits that Spark's size
-    estimates give for the scans. It weighs the cost of the two strategies
-    only; their rows are the same."""
+def _partitions(df: DataFrame) -> int:
+    """Partitions that may feed a top-K, without a job: input files, shuffle
+    partitions or parallelism. It weighs the two strategies only; their rows are the same."""
     spark = df.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    scans = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return max(shuffle, spark.sparkContext.defaultParallelism, sum(-(-b // split) for b in scans))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism,
+               len(df.inputFiles()))
 
 
 def _spec_names(specs) -> list[str] | None:
@@ -142,63 +222,6 @@ def _spec_names(specs) -> list[str] | None:
     return names
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
-    """Inner join on ``cols`` (present on both sides) treating NULL = NULL."""
-    r = right.select(*[F.col(c).alias("__r" + c) if c in cols else F.col(c) for c in right.columns])
-    cond = None
-    for c in cols:
-        eq = left[c].eqNullSafe(r["__r" + c])
-        cond = eq if cond is None else cond & eq
-    return left.join(r, cond, "inner").drop(*["__r" + c for c in cols])
-
-
-def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
-    cond = None
-    for k in keys:
-        eq = left[k].eqNullSafe(right[prefix + k])
-        cond = eq if cond is None else cond & eq
-    return cond
-
-
-def _deep_page(df: DataFrame, specs, page: int, per_page: int) -> DataFrame:
-    order = order_spec(*specs)
-    keys = _spec_names(specs)
-    if keys is None:  # expression sort keys: number the full rows instead
-        numbered = global_index(df, _total_order(df, specs), "row_num", total_name="__seen")
-        eff = F.least(F.lit(page).cast("long"), _pages(F.col("__seen"), per_page))
-        out = numbered.withColumn("page", eff)
-        return out.filter((F.col("row_num") > (F.col("page") - 1) * per_page)
-                          & (F.col("row_num") <= F.col("page") * per_page)).drop("__seen")
-    idx = global_index(df.select(*keys), order, "__pos", total_name="__seen")
-    eff = F.least(F.lit(page).cast("long"), _pages(F.col("__seen"), per_page))
-    in_page = (idx.withColumn("page", eff)
-               .filter((F.col("__pos") > (F.col("page") - 1) * per_page)
-                       & (F.col("__pos") <= F.col("page") * per_page)))
-    # one row per distinct key tuple on the page: at most per_page rows
-    groups = in_page.groupBy(*keys).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"),
-                                        F.max("page").alias("page"))
-    groups = F.broadcast(groups.select(*[F.col(k).alias("__g_" + k) for k in keys],
-                                       "__first", "__n", "page"))
-    # global first position of those groups (their copies may start on an earlier page)
-    starts = (idx.join(groups, _same_keys(idx, groups, keys, "__g_"), "inner")
-              .groupBy(*[F.col("__g_" + k) for k in keys]).agg(F.min("__pos").alias("__g0")))
-    meta = F.broadcast(_join_null_safe(groups, starts, [f"__g_{k}" for k in keys]))
-    cand = df.join(meta, _same_keys(df, meta, keys, "__g_"), "inner")
-    # number the candidate copies of each group by all their columns
-    others = [c for c in df.columns if c not in keys]
-    full_order = order + [F.col(c).asc() for c in others]
-    cand = cut_lineage(cand)
-    ranked = global_index(cand, full_order, "__c")
-    firsts = F.broadcast(ranked.groupBy(*[F.col("__g_" + k) for k in keys]).agg(F.min("__c").alias("__c0")))
-    ranked = _join_null_safe(ranked, firsts, [f"__g_{k}" for k in keys])
-    ranked = ranked.withColumn("__rank", F.col("__c") - F.col("__c0") + 1)
-    rank = F.col("__rank")
-    skip = F.col("__first") - F.col("__g0")
-    out = (ranked.filter((rank > skip) & (rank <= skip + F.col("__n")))
-           .withColumn("row_num", F.col("__first") + rank - skip - 1))
-    return out.select(*df.columns, "row_num", "page")
-
-
 def page_meta(df: DataFrame, page: int = 1, per_page: int = DEFAULT_PER_PAGE) -> DataFrame:
     """One row: page, pages, total, per_page, has_prev, has_next and
     the "showing first-last of total" range."""

@@ -125,11 +125,17 @@ def _rules() -> list[tuple[str, str, str, str, str, object]]:
     return out
 
 
-def violations_sql() -> str:
-    """The offending values, one SELECT per constraint."""
+def violations_sql(text_key: str = "{}") -> str:
+    """The offending values, one SELECT per constraint. ``text_key`` is what UNIQUE compares (the smallest
+    spelling of equal ones is shown)."""
     out = []
     for table, view, key, check, column, arg in _rules():
-        if check in ("primary_key", "unique"):
+        if check == "unique":
+            out.append(f"SELECT '{table}' AS table_name, '{check}' AS check_name, '{column}' AS column_name, "
+                       f"min({column}) AS value, count(*) AS rows FROM {view} v WHERE {column} IS NOT NULL "
+                       f"GROUP BY {text_key.format(column)} HAVING count(*) > 1")
+            continue
+        if check == "primary_key":
             value, cond, more = column, f"{column} IS NOT NULL", "HAVING count(*) > 1"
         elif check == "foreign_key":
             value, more = column, ""

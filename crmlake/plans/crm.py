@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crmlake.functions.predicates import (facet, none_of, one_of, rolling_months, search,
+from crmlake.functions.predicates import (facet, in_months, none_of, one_of, rolling_months, search,
                                           where)
 from crmlake.functions.scalars import (field_rank, money, month_label, month_start,
                                        row_win_rate, win_rate, win_tier)
@@ -296,8 +296,8 @@ def stage_report(t) -> DataFrame:
 
 def monthly_won_revenue(t, as_of, months: int = 12) -> DataFrame:
     """Q34: won deals per calendar month closed since ``as_of - months``."""
-    o = t.opportunities.filter((F.col("Stage") == WON) & F.col("ClosedAt").isNotNull()
-                               & rolling_months("ClosedAt", as_of, months))
+    o = where(t.opportunities, F.col("Stage") == WON, F.col("ClosedAt").isNotNull(),
+              rolling_months("ClosedAt", as_of, months), in_months(t.opportunities, "ClosedAt", as_of, months))
     return (o.groupBy(month_start("ClosedAt").alias("month_start"))
             .agg(_count().alias("deals"), money(null_safe_sum("Value")).alias("revenue"))
             .orderBy("month_start")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crmlake.functions.predicates import (facet, month_to_date, none_of, one_of, search,
+from crmlake.functions.predicates import (facet, in_months, month_to_date, none_of, one_of, search,
                                           where)
 from crmlake.functions.scalars import (debt_flag, fmt_date, fmt_money, is_full, money,
                                        occupancy_pct, placeholder)
@@ -215,7 +215,7 @@ def edu_kpis(t, as_of) -> DataFrame:
         t.students.agg(F.count_if(none_of("Status", STUDENT_GONE)).alias("students")),
         t.enrollments.agg(F.count_if(one_of("Status", ENROLLMENT_ACTIVE)).alias("enrollments")),
         t.classes.agg(F.count_if(one_of("Status", CLASS_OPEN)).alias("classes")),
-        t.payments.filter(month_to_date("PaymentDate", as_of))
+        where(t.payments, month_to_date("PaymentDate", as_of), in_months(t.payments, "PaymentDate", as_of))
         .agg(money(null_safe_sum("Amount")).alias("revenue")),
         outstanding_fees(t).select(F.col("v").alias("pending_fee")),
         t.feedbacks.agg(F.count_if(one_of("Status", FEEDBACK_OPEN)).alias("open_feedback")),

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crmlake.functions.scalars import to_number
 from crmlake.operators import mutations as M
 from crmlake.operators.aggregates import combine_rows
 from crmlake.operators.audit import audit_violations, integrity_audit
@@ -127,6 +128,13 @@ def register_enrollments(t, as_of) -> dict[str, DataFrame]:
                                t.after("enrollments", "EnrollmentID"), columns=t.enrollments.columns)
 
 
+def form_amounts(t) -> DataFrame:
+    """Amounts of enrollment forms as numbers; blank, absent and unreadable text counts as 0."""
+    fee, discount = to_number("TotalFee"), to_number("Discount")
+    return t.view("c_fee_forms").select("seq", "StudentID", "ClassID", fee.alias("TotalFee"), discount.alias("Discount"),
+                                        (fee - discount).alias("FinalFee"))
+
+
 def remove_users(t) -> dict[str, DataFrame]:
     """Delete accounts, keeping the last active admin."""
     return M.guarded_delete(t.users, t.view("c_user_removals"))

@@ -31,3 +31,11 @@ SEARCH_COURSE = "A"
 PAGE = 3
 DEEP_PAGE = 250
 PAST_THE_END = 1_000_000  # a page number beyond every list
+
+CUSTOMER_KEY = 17          # keys of the point lookups
+STUDENT_KEY = 25
+SEARCH_FOLDED = "nation_1"         # as SEARCH_COMPANY, in lower case
+CATEGORY_FOLDED = "ky nang"        # COURSE_CATEGORY without marks
+SEARCH_FILES = 16                  # files of the stored customers that the search index covers
+BUCKETS = 8
+KEYS_PER_FOLDER = 500

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crmlake.plans import (registry_crm, registry_display, registry_edu,  # noqa: F401  (register)
-                           registry_maintenance)
+                           registry_maintenance, registry_order, registry_stored)
 from crmlake.plans.catalog import QUERIES, present
 from crmlake.sources.bindings import Bindings
 

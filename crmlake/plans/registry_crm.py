@@ -151,11 +151,10 @@ _Q8_DEEP = page_ctes(O.OPPORTUNITIES.sql(), OPPORTUNITY_ORDER_SQL, P.DEEP_PAGE,
 @register("q08_opportunity_list_deep_page", ["b_opportunities", "b_customers", "b_employees", "b_products"],
           PAGE_SELECT.format(per_page=10), ctes=_Q8_DEEP)
 def q08d(t):
-    """Q8 a deep page of the full opportunity list via the distributed
-    strategy (sort keys numbered by a checkpointed global sort and
-    per-partition offsets, page rows fetched by broadcast keys)."""
+    """Q8 a deep page of the full opportunity list from its page directory (the list is
+    evaluated, sorted and written once; the page reads one or two of its partitions)."""
     from crmlake.operators.paging import paginate
-    return paginate(crm.opportunity_list(t), crm.OPPORTUNITY_ORDER, P.DEEP_PAGE, 10, shallow_limit=1000)
+    return paginate(crm.opportunity_list(t), crm.OPPORTUNITY_ORDER, P.DEEP_PAGE, 10, shallow_bytes=0)
 
 
 @register("q09_interaction_list", ["b_interactions", "b_customers", "b_employees"],

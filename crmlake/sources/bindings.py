@@ -193,6 +193,12 @@ SELECT event_id AS seq, user_id AS StudentID, event_id % 25 AS ClassID, event_id
        CAST(round(value * 100000) AS DECIMAL(12,2)) AS TotalFee,
        CAST(round(value * 1000) AS DECIMAL(12,2)) AS Discount
 FROM {events} WHERE event_type = 'purchase'"""),
+    "c_fee_forms": (("events",), """
+SELECT event_id AS seq, user_id AS StudentID, event_id % 25 AS ClassID,
+       CASE event_type WHEN 'purchase' THEN ' ' || CAST(CAST(round(value * 1000) AS BIGINT) AS VARCHAR(20)) || '.50 '
+            WHEN 'click' THEN '' WHEN 'view' THEN 'free' WHEN 'signup' THEN NULL ELSE '  ' END AS TotalFee,
+       CASE WHEN event_id % 3 = 0 THEN '100' WHEN event_id % 3 = 1 THEN ' 12.25' END AS Discount
+FROM {events}"""),
     "c_user_removals": (("supplier",), """
 SELECT s_suppkey AS UserID FROM {supplier} WHERE s_acctbal < 1000"""),
     "c_signups": (("customer", "nation"), """
@@ -270,6 +276,7 @@ class Bindings:
         self.sf_dir = sf_dir.rstrip("/")
         self._base: dict[str, DataFrame] = {}
         self._marks: KeyMarks | None = None
+        self._stored: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
 
     def base(self, table: str) -> DataFrame:
@@ -282,6 +289,12 @@ class Bindings:
             raise AttributeError(name)
         return self.view("b_" + name)
 
+    def stored(self, name: str, store) -> DataFrame:
+        """What ``store(path)`` returns for a new folder of the shared checkpoint folder, stored once per provider."""
+        if name not in self._stored:
+            self._stored[name] = store(f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+        return self._stored[name]
+
     def after(self, name: str, key: str) -> int:
         """Where new keys of table ``name`` begin (its recorded mark)."""
         if self._marks is None:

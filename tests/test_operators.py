@@ -114,7 +114,7 @@ def test_paginate_shallow_and_deep_agree(spark, page):
     df = _numbers(spark)
     order = [("g", "desc"), "id"]
     shallow = rows(Pg.paginate(df, order, page, 10), "row_num", "id", "page")
-    deep = rows(Pg.paginate(df, order, page, 10, shallow_limit=0), "row_num", "id", "page")
+    deep = rows(Pg.paginate(df, order, page, 10, shallow_bytes=0), "row_num", "id", "page")
     assert shallow == deep or sorted(shallow) == sorted(deep)
     eff = min(max(page, 1), 14)
     assert {r[2] for r in shallow} == {eff}
@@ -125,10 +125,49 @@ def test_pages_partition_the_list(spark):
     df = _numbers(spark, 53)
     seen = []
     for p in range(1, 7):
-        seen += [r[0] for r in rows(Pg.paginate(df, ["id"], p, 10, shallow_limit=25), "id")]
+        seen += [r[0] for r in rows(Pg.paginate(df, ["id"], p, 10, shallow_bytes=25), "id")]
     assert sorted(seen) == list(range(53)) and len(seen) == 53
 
 
+def test_a_paged_list_is_evaluated_once_and_pruned(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    df = spark.range(0, 500, 1, 5).selectExpr("id", "id % 50 AS g", "concat('n', id) AS name").mapInArrow(count, "id long, g long, name string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")      # several small partitions
+    lst = Pg.PagedList.build(df, ["g", "id"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ordered = sorted(range(500), key=lambda i: (i % 50, i))
+    assert lst.directory.count() == 4
+    for page in (1, 2, 20, 49, 50, 51, -3):
+        got = lst.page(page, 10)
+        eff = min(max(page, 1), 50)
+        assert sorted(rows(got, "row_num", "id", "page")) == [((eff - 1) * 10 + i + 1, ordered[(eff - 1) * 10 + i], eff) for i in range(10)]
+        files = {r[0].split("/__part=")[1].split("/")[0] for r in got.select(F.input_file_name()).distinct().collect()}
+        assert len(files) <= 2
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "(__part" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert seen.value == 500                      # seven pages, one evaluation
+    again = Pg.PagedList(spark, lst.path)         # another session's view of this version
+    assert rows(again.page(7, 10).orderBy("row_num"), "id") == rows(lst.page(7, 10).orderBy("row_num"), "id")
+    for key in ({"g": 0}, {"g": 17}, {"g": 49}, {"g": 60}, {"g": 17, "id": 118}):
+        want = [i for i in ordered if (i % 50, i) >= (key["g"], key.get("id", -1))][:10]
+        assert [r[0] for r in rows(lst.page_after(key, 10).orderBy("row_num"), "id")] == want
+
+
+def test_a_paged_list_without_rows(spark):
+    lst = Pg.PagedList.build(_numbers(spark).limit(0), ["id"])
+    assert lst.total() == 0 and lst.page(3).count() == 0 and lst.page_after({"id": 1}).count() == 0
+
+
+def test_position_numbers_the_shown_order(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 1), ("c", None), ("d", 3)], "k string, v int")
+    assert sorted(rows(Pg.with_position(df, [("v", "desc")]), "position", "k")) == [(1, "d"), (2, "a"), (3, "b"), (4, "c")]
+
+
 def test_page_meta_clamps(spark):
     df = _numbers(spark, 53)
     m = Pg.page_meta(df, 99, 10).first()
@@ -175,13 +214,13 @@ def test_deep_pages_split_duplicate_key_groups(spark):
     df = spark.createDataFrame(vals, "g int, v int")
     seen = []
     for p in range(1, 4):
-        page = rows(Pg.paginate(df, ["g"], p, 4, shallow_limit=0), "row_num", "g", "v")
+        page = rows(Pg.paginate(df, ["g"], p, 4, shallow_bytes=0), "row_num", "g", "v")
         assert sorted(r[0] for r in page) == list(range((p - 1) * 4 + 1, min(p * 4, 12) + 1))
         seen += [(r[1], r[2]) for r in page]
     assert sorted(seen, key=str) == sorted(vals, key=str)
     # positions agree with the shallow (top-K) strategy on the key order
     for p in range(1, 4):
-        deep = sorted(r[:2] for r in rows(Pg.paginate(df, ["g"], p, 4, shallow_limit=0), "row_num", "g"))
+        deep = sorted(r[:2] for r in rows(Pg.paginate(df, ["g"], p, 4, shallow_bytes=0), "row_num", "g"))
         top = sorted(r[:2] for r in rows(Pg.paginate(df, ["g"], p, 4), "row_num", "g"))
         assert deep == top
 
@@ -202,10 +241,10 @@ def test_pages_cover_tied_rows_once_across_strategies(spark):
     for limits in ([0] * 8, [10**6] * 8, [10**6] * 4 + [0] * 4):
         seen = []
         for page, limit in enumerate(limits, 1):
-            seen += [r[0] for r in rows(Pg.paginate(df, ["g"], page, 10, shallow_limit=limit), "v")]
+            seen += [r[0] for r in rows(Pg.paginate(df, ["g"], page, 10, shallow_bytes=limit), "v")]
         assert sorted(seen) == list(range(0, 160, 2))
     # an expression as the sort key, past the end
-    last = [rows(Pg.paginate(df, [F.col("g").desc()], 99, 30, shallow_limit=n), "v", "row_num") for n in (0, 10**6)]
+    last = [rows(Pg.paginate(df, [F.col("g").desc()], 99, 30, shallow_bytes=n), "v", "row_num") for n in (0, 10**6)]
     assert sorted(last[0]) == sorted(last[1]) and len(last[0]) == 20
 
 

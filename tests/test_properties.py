@@ -59,7 +59,7 @@ def test_paginate_equals_brute_force(spark, values, page, per_page, deep):
     if not values:
         df = df.limit(0)
     order = [("g", "desc"), "id"]
-    got = rows(Pg.paginate(df, order, page, per_page, shallow_limit=0 if deep else 100_000), "g", "id")
+    got = rows(Pg.paginate(df, order, page, per_page, shallow_bytes=0 if deep else 100_000), "g", "id")
     ordered = sorted(values, key=lambda v: (-v[0], v[1]))
     pages = max(1, -(-len(ordered) // per_page))
     eff = min(max(page, 1), pages)
