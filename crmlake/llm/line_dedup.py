@@ -6,6 +6,9 @@ document id and line number, stays; the lines of later occurrences are removed,
 and overlapping windows merge into spans. Windows without any visible
 character don't count. Documents of fewer than three lines stay as they are.
 
+Work grows with the lines of a document, not with their square: covered lines are runs between
+sorted hits, and the kept lines are slices between runs.
+
 Rows: null text is empty; rows without id come after all others; rows that repeat
 an id are one document for the order, so equal windows at the same place of them
 are all first. Two 64-bit hashes with different seeds identify a window.
@@ -45,20 +48,29 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_LINES) -> DataFrame:
-    """All columns of ``docs`` with the text shortened, and n_lines, n_removed, n_spans."""
+    """All columns of ``docs`` with the text shortened, and n_lines, n_removed, n_spans (not to be among the columns already)."""
+    clash = {"n_lines", "n_removed", "n_spans"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are taken by the result; rename them first")
     hits = (repeated_windows(docs, id_col, text_col, window)
             .groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line")).alias("__hits")))
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     joined = docs.withColumn("__lines", lines).join(hits, docs[id_col].cast("long").eqNullSafe(hits["__id"]), "left")
-    none = F.array().cast("array<int>")
-    covered = F.array_distinct(F.flatten(F.transform(
-        F.coalesce("__hits", none), lambda i: F.sequence(i, i + window - 1))))
-    spans = F.filter("__cov", lambda i: ~F.array_contains("__cov", i - 1))
-    kept = F.filter("__lines", lambda _, i: ~F.array_contains("__cov", i))
-    return (joined.withColumn("__cov", F.when(F.col("__hits").isNotNull(), covered).otherwise(none))
-            .withColumns({"n_lines": F.size("__lines"), "n_removed": F.size("__cov"), "n_spans": F.size(spans),
-                          text_col: F.when(F.size("__cov") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))})
-            .drop("__id", "__hits", "__lines", "__cov"))
+    # runs of covered lines: a hit begins one when no hit before it reaches it, and ends one likewise
+    hit = F.coalesce("__hits", F.array().cast("array<int>"))
+    begins = F.filter("__hit", lambda x, i: (i == 0) | (x - F.get("__hit", i - 1) > window))
+    ends = F.filter("__hit", lambda x, i: (i == F.size("__hit") - 1) | (F.get("__hit", i + 1) - x > window))
+    runs = (joined.withColumn("__hit", hit).withColumns({"__from": begins, "__to": F.transform(ends, lambda x: x + window)})
+            .withColumn("__gone", F.aggregate(F.zip_with("__from", "__to", lambda a, b: b - a), F.lit(0), lambda s, x: s + x)))
+    # the lines before each run, and after the last
+    before = F.transform(F.sequence(F.lit(0), F.size("__from")), lambda j: F.struct(
+        F.when(j == 0, 0).otherwise(F.get("__to", j - 1)).alias("a"),
+        F.when(j == F.size("__from"), F.size("__lines")).otherwise(F.get("__from", j)).alias("b")))
+    kept = F.flatten(F.transform("__keep", lambda p: F.slice("__lines", p["a"] + 1, p["b"] - p["a"])))
+    return (runs.withColumn("__keep", before)
+            .withColumns({"n_lines": F.size("__lines"), "n_removed": F.col("__gone"), "n_spans": F.size("__from"),
+                          text_col: F.when(F.col("__gone") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))})
+            .drop("__id", "__hits", "__hit", "__lines", "__from", "__to", "__gone", "__keep"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -225,3 +225,37 @@ def test_suffix_rows_are_told_apart_by_more_than_32_bits(spark):
     hashed = spark.range(300_000).selectExpr("concat('text ', id) AS text").selectExpr("text", "hash(text) AS th", "xxhash64(text) AS t1", "xxhash64(1, text) AS t2")
     twice = hashed.groupBy("th").agg(F.count("*").alias("n"), F.count_distinct("t1", "t2").alias("m"))
     assert twice.where("n > 1").count() > 0 and twice.where("n <> m").count() == 0
+
+
+def test_line_dedup_of_long_texts_takes_linear_time(spark):
+    """60,000 short lines a document with thousands of runs: seconds, and equal to brute force."""
+    import random
+    import time
+    pick = random.Random(4)
+    docs = []
+    for i in range(3):
+        lines = [f"{i}-{j}" for j in range(60_000)]
+        for _ in range(4_000):
+            at = pick.randrange(60_000 - 8)
+            lines[at:at + 4] = ["a", "b", "c", "d"][:pick.randrange(2, 5)] + lines[at:at + 4][:1]
+        docs.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    began = time.time()
+    got = {r["doc_id"]: r for r in rows(line_dedup.line_dedup(df))}
+    assert time.time() - began < 60
+    seen, want = set(), {}
+    for i, t in docs:
+        lines, gone = t.split("\n"), set()
+        for p in range(len(lines) - 2):
+            w = tuple(lines[p:p + 3])
+            if w in seen:
+                gone |= {p, p + 1, p + 2}
+            seen.add(w)
+        spans = sum(g - 1 not in gone for g in gone)
+        want[i] = (len(lines), len(gone), spans, "\n".join(x for p, x in enumerate(lines) if p not in gone))
+    assert want[2][2] > 1000 and {i: (r["n_lines"], r["n_removed"], r["n_spans"], r["text"]) for i, r in got.items()} == want
+
+
+def test_line_dedup_refuses_clashing_columns(odd):
+    with pytest.raises(ValueError, match="n_lines"):
+        line_dedup.line_dedup(odd.withColumn("n_lines", F.lit(1)))
