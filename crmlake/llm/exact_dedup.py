@@ -7,14 +7,16 @@ Native DataFrame code only. The index has a directory and pages:
   distinct hashes than a page holds splits on the next bit, the others keep
   their local depth. It has at most ``2**cell_bits`` entries, which bounds
   what is collected (counts per cell) and broadcast;
-* owner tasks process ranges of buckets: the rows of a bucket meet in its owner,
-  which compares the bytes of texts (they are grouping keys) and writes the
-  pages. Texts with one hash but other bytes become a chain of that entry;
+* owner tasks process key ranges, runs of buckets of like load, and are dealt by their number, not
+  by a hash of it: the rows of a bucket meet in its owner, which compares the bytes of texts (they
+  are grouping keys) and writes the pages. Texts with one hash but other bytes become a
+  chain of that entry;
 * hashes that hold over 1/10,000 of the rows (so at most 10,000) are salted:
   their copies meet in many tasks first, then one text per task is compared.
 
-Rows: null text is empty; a row without id never wins over a row with one; rows
-that repeat both id and text count as copies with one decision.
+Rows: null text is empty; a row without id never wins over a row with one; of rows that
+share an id and differ in white space only, the longest stays (then the smaller hash of the
+original text); rows that repeat both id and text count as copies with one decision.
 """
 
 from __future__ import annotations
@@ -78,10 +80,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     norm = without_spaces(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"), norm.alias("norm"))
+                       F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"),
+                       F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own"), norm.alias("norm"))
     keyed = rows.select("*", F.xxhash64("norm").alias("h"))
     cell = F.shiftrightunsigned("h", 64 - cell_bits).cast("int")
-    keys = written(keyed.select("doc_id", "h", F.sha2("norm", 256).alias("sha")), "dedup-keys")
+    keys = written(keyed.select("doc_id", "n_points", "own", "h", F.sha2("norm", 256).alias("sha")), "dedup-keys")
     sizes = written(keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "dedup-hashes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     # at most 2**cell_bits rows, and at most HOT_SHARE hashes with over total / HOT_SHARE rows each
@@ -90,11 +93,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     directory = spark.createDataFrame(directory_rows(grow_directory(counts, cell_bits, page_entries), owners),
                                       "cell int, bucket int, depth int, owner int")
     hot = sizes.where(F.col("n") > F.lit(max(64, total // HOT_SHARE))).select("h", F.lit(True).alias("hot"))
-    placed = (keyed.withColumn("cell", cell).join(F.broadcast(directory), "cell")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(HOT_SALTS)).cast("int")     # spreads repeated rows too
+    placed = (keyed.withColumns({"cell": cell, "salt": salt}).join(F.broadcast(directory), "cell")
               .join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-              .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SALTS))).otherwise(0)))
-    best = F.min(F.struct((-F.col("n_points")).alias("l"), F.col("doc_id").isNull().alias("z"), "doc_id")).alias("best")
-    met = (placed.repartition(owners, "owner", "salt").groupBy("owner", "salt", "hot", "bucket", "depth", "h", "norm")
+              .withColumn("task", F.when(F.col("hot"), (F.col("owner") + F.col("salt") * max(1, owners // HOT_SALTS)) % owners)
+                          .otherwise(F.col("owner"))))
+    best = F.min(F.struct((-F.col("n_points")).alias("l"), F.col("doc_id").isNull().alias("z"), "doc_id", "own")).alias("best")
+    met = (placed.repartitionById(owners, "task").groupBy("task", "owner", "hot", "bucket", "depth", "h", "norm")
            .agg(F.count(F.lit(1)).alias("n"), best))
     sha = F.sha2("norm", 256).alias("sha")
     pages = written(met.select("owner", "hot", "bucket", "depth", "h", sha, "n", "best",
@@ -103,7 +108,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = pages.where("NOT hot").select(*head, "sha", "n", "best")
     joined = (pages.where("hot").groupBy(*head, "norm").agg(F.sum("n").alias("n"), F.min("best").alias("best"))
               .select(*head, sha, "n", "best"))
-    entry = F.struct("sha", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
+    entry = F.struct("sha", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
+                     (-F.col("best.l")).alias("keep_points"), F.col("best.own").alias("keep_own"))
     chains = once.unionByName(joined).groupBy(*head).agg(F.sort_array(F.collect_list(entry)).alias("chain"))
     # other bytes with the same hash and the same SHA-256 would be told apart by no lookup: fail instead
     whole = F.size(F.array_distinct("chain.sha")) == F.size("chain")
@@ -113,29 +119,30 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 page_entries: int = PAGE_ENTRIES, cell_bits: int = CELL_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, chain_no."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, chain_no, and own (hash of the original text)."""
     keys, pages = build_index(docs, id_col, text_col, page_entries, cell_bits)
     found = keys.join(pages.select("h", "chain"), "h")
     at = F.array_position("chain.sha", F.col("sha"))
-    hit = found.select("doc_id", "sha", at.alias("chain_no"), F.element_at("chain", at.cast("int")).alias("e"))
+    hit = found.select("doc_id", "n_points", "own", "sha", at.alias("chain_no"), F.element_at("chain", at.cast("int")).alias("e"))
+    stays = (F.col("doc_id").eqNullSafe(F.col("e.keep_id")) & (F.col("n_points") == F.col("e.keep_points"))
+             & (F.col("own") == F.col("e.keep_own")))
     return hit.select("doc_id", F.col("e.keep_id").alias("keep_id"), F.col("e.group_size").alias("group_size"),
-                      F.col("doc_id").eqNullSafe(F.col("e.keep_id")).alias("kept"),
-                      F.col("sha").alias("text_sha256"), "chain_no")
+                      stays.alias("kept"), F.col("sha").alias("text_sha256"), "chain_no", "own")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns; of rows that repeat id and text, one."""
     kept = (exact_dedup(docs, id_col, text_col).where("kept")
-            .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
-    own = docs.withColumn("__own", F.sha2(without_spaces(F.col(text_col)), 256))
-    same = own[id_col].cast("long").eqNullSafe(kept["__id"]) & (own["__own"] == kept["__sha"])
+            .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("own").alias("__hash")).distinct())
+    own = docs.withColumns({"__own": F.sha2(without_spaces(F.col(text_col)), 256), "__text": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    same = (own[id_col].cast("long").eqNullSafe(kept["__id"]) & (own["__own"] == kept["__sha"]) & (own["__text"] == kept["__hash"]))
     joined = own.join(kept, same, "left_semi")
-    return joined.dropDuplicates([id_col, "__own"]).drop("__own")
+    return joined.dropDuplicates([id_col, "__own"]).drop("__own", "__text")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
     from crmlake.llm.common import documents
-    return exact_dedup(documents(spark, sf_dir)).drop("chain_no")
+    return exact_dedup(documents(spark, sf_dir)).drop("chain_no", "own")
 
 
 OP5_SQL = """

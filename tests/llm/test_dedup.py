@@ -44,6 +44,28 @@ def test_exact_dedup_odd_rows(odd, page):
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == brute_exact(pairs_of(odd))
 
 
+def test_exact_dedup_of_rows_that_share_an_id(spark):
+    """Of one id's texts that differ in white space, the longest stays, alone."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "ab"), (1, " a  b "), (2, "ab "), (None, "a b     "), (None, "cd"), (None, "c d"), (3, "x"), (3, "x")],
+                                 "doc_id long, text string")
+    got = rows(exact_dedup.exact_dedup(docs))
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got if r["text_sha256"] == sha("ab")) == Counter(
+        {(1, None, 5): 3, (2, None, 5): 1, (None, None, 5): 1})
+    assert Counter((r["doc_id"], r["kept"]) for r in got if r["kept"]) == Counter({(None, True): 2, (3, True): 2})
+    kept = rows(exact_dedup.keep_first(docs))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("3", "x"), ("None", "a b     "), ("None", "c d")]
+
+
+def test_exact_dedup_deals_owners_by_number(spark):
+    """Rows of a small table reach as many tasks as there are owners with rows."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    plan = exact_dedup.build_index(docs, page_entries=16)[1]._jdf.queryExecution().toString()
+    assert "owner" in plan
+    buckets = exact_dedup.grow_directory({c: 1 for c in range(1 << 12)}, 12, 16)
+    owners = Counter(r[3] for r in exact_dedup.directory_rows(buckets, 64))
+    assert len(owners) == 64 and max(owners.values()) == min(owners.values())
+
+
 def test_exact_dedup_salted_group(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same  text' ELSE concat('t', id) END AS text")
     got = {r["doc_id"]: r for r in rows(exact_dedup.exact_dedup(docs))}
