@@ -45,28 +45,45 @@ MIN_TERM = 4
 CONTEXT = 2 ** 31 - 1      # code points around an entity that count as near it: more than a text can have
 THRESHOLD = 0.9
 MIN_DOCS = 2
+BLOCK = 256                # matches whose positions are added up together
 CELLS = 1 << 18            # of hashes, for broadcast filters before exact joins
 LISTED_BITS = 1 << 21
 NONE = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def matches(text: Column, pattern: str | Column, kind: str, keep=None) -> Column:
     """array<struct<start, kind, end, value>> of all matches, or of those whose value
     ``keep`` accepts; the gaps between matches (a split on the same pattern) give their
-    positions."""
+    positions. Positions are added up in blocks of ``BLOCK`` matches, then over the blocks, so a text with
+    very many matches copies no growing list."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    empty = F.array().cast(NONE)
+    number = F.lit(KINDS.index(kind)).alias("kind")
 
     def add(acc, p):
         start = acc["at"] + F.length(p["gap"])
         end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-        row = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), p["hit"].alias("value"))
+        row = F.struct(start.alias("start"), number, end.alias("end"), p["hit"].alias("value"))
         skip = p["hit"].isNull() if keep is None else p["hit"].isNull() | ~keep(p["hit"])
         return F.struct(end.alias("at"), F.when(skip, acc["rows"]).otherwise(
             F.concat(acc["rows"], F.array(row))).alias("rows"))
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("rows"))
-    return F.aggregate(pairs, begin, add, lambda acc: acc["rows"])
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("rows"))
+
+    def before(acc, block):
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def shifted(block, by):
+        return F.transform(block["rows"], lambda r: F.struct((r["start"] + by).alias("start"), r["kind"].alias("kind"),
+                                                             (r["end"] + by).alias("end"), r["value"].alias("value")))
+    firsts = lambda p: F.sequence(F.lit(1), F.size(p), F.lit(BLOCK))
+    blocks = _bound(pairs, lambda p: F.transform(firsts(p), lambda at: F.aggregate(F.slice(p, at, BLOCK), begin, add)))
+    return F.flatten(_bound(blocks, lambda q: F.zip_with(q, F.aggregate(q, none, before, lambda acc: acc["starts"]), shifted)))
 
 
 def _digits(value: Column) -> Column:

@@ -93,6 +93,19 @@ def test_pii_base_spans(spark, odd):
     assert got == Counter((r["doc_id"], tuple(brute_pii(r["text"] or ""))) for r in rows(more))
 
 
+def test_pii_spans_of_long_texts_take_linear_time(spark):
+    """100,000 matches in one text, in order, at their places."""
+    import time
+    text = "".join(f"a{i}@b.c {'wort ' if i % 3 else ''}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = df.select(pii.matches(F.col("text"), pii.PATTERNS["email"], "email").alias("m")).first().m
+    assert time.time() - began < 40
+    assert [(m.start, m.end) for m in got] == [m.span() for m in re.finditer(BASE["email"], text)]
+    few = df.select(pii.matches(F.col("text"), pii.TERM, "term", lambda hit: hit == "wort").alias("m")).first().m
+    assert [(m.start, m.value) for m in few] == [(m.start(), "wort") for m in re.finditer("wort", text)]
+
+
 def test_pii_disclosing_terms_and_sanitising(spark):
     """A name that only stands near one address discloses it; a common word doesn't."""
     docs = [(i, f"filler{i} words about nothing much here") for i in range(60)]
