@@ -24,6 +24,7 @@ radius, the method's only loss, are very rare (measured in the README).
 
 Rows: null and empty texts match nothing; items without words match nothing; documents
 without id, or with repeated ids, are matched row by row; of windows that tie, the first.
+An item id with several texts is one item: its best window over all of them counts.
 Items without id match like others and are reported, each different text by itself, with a
 null item_id; one whose text an item with id has too is that item.
 """
@@ -45,7 +46,7 @@ K = 5
 THRESHOLD = 0.8
 RADIUS = 23
 BLOCKS = 8
-ITEM_BLOCK = 2_000
+ITEM_BLOCK = 20_000        # items that a task holds (about 2 kB each); documents are read once per block
 SEGMENT = 4_096            # window starts fingerprinted at once
 MATCH_SCHEMA = "doc_id long, item_id long, similarity double, start int, end int"
 WORD = tv.alnum_words()
@@ -97,8 +98,8 @@ class Index:
                 value = ((self.prints[own] >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
                 near = (value[:, None] ^ masks).ravel()
                 order = np.argsort(near, kind="stable")
-                owner = np.repeat(own, len(masks))[order]
-                tables.append((np.searchsorted(near[order], np.arange((1 << width) + 1)), owner))
+                owner = np.repeat(own.astype(np.int32), len(masks))[order]
+                tables.append((np.searchsorted(near[order], np.arange((1 << width) + 1)).astype(np.int32), owner))
 
     @staticmethod
     def of(items: list[tuple[int | None, bytes]], key: bytes) -> Index:
@@ -112,10 +113,10 @@ class Index:
         width, found = 64 // BLOCKS, [np.zeros(0, np.int64)]
         for b, (start, owner) in enumerate(self.tables.get((k, n), [])):
             value = ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            lo, count = start[value], start[value + 1] - start[value]
+            lo, count = start[value].astype(np.int64), start[value + 1] - start[value]
             window = np.repeat(np.arange(len(prints)), count)
             at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + lo[window]
-            item = owner[at]
+            item = owner[at].astype(np.int64)
             close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
             found.append(window[close] * len(self.items) + item[close])
         return np.divmod(np.unique(np.concatenate(found)), max(len(self.items), 1))
@@ -183,13 +184,15 @@ def matched_chunks(batches: Iterator[pa.RecordBatch], shared, text_col: str):
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """Blocks of about ITEM_BLOCK items: a key and [(id, text)]."""
-    own = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    own = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
+    named = own.where("id IS NOT NULL")
+    own = named.unionByName(own.where("id IS NULL").join(named.select("text").distinct(), "text", "left_anti"))
     blocks = -(-own.count() // ITEM_BLOCK)
+    # all texts of an id fall in one block
+    key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text")))
     for b in range(blocks):
-        rows = own.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).distinct().collect()
-        named = {r[1] for r in rows if r[0] is not None}
-        block = sorted(((r[0], r[1].encode()) for r in rows if r[0] is not None or r[1] not in named),
-                       key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        rows = own.where(F.pmod(key, F.lit(blocks)) == b).collect()
+        block = sorted(((r[0], r[1].encode()) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         yield b"%d/%d %d" % (b, blocks, hash(tuple(block))), block
 
 

@@ -372,3 +372,15 @@ def test_decontamination_by_items_without_id(spark):
     got = [(r["doc_id"], r["item_id"], r["start"]) for r in rows(decontaminate.contaminated(docs, items))]
     assert sorted(got, key=str) == [(1, 1, 2), (2, None, 0), (2, None, len(f"{b} x ".encode()))]
     assert [r["doc_id"] for r in rows(decontaminate.keep_clean(docs, items))] == [3]
+
+
+@pytest.mark.parametrize("block", [20_000, 1])
+def test_decontamination_by_an_id_with_two_texts(spark, monkeypatch, block):
+    """One row per document and item, whatever block its texts are in."""
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", block)
+    a, b, c = prose(30, 95), prose(30, 96), prose(30, 97)
+    items = spark.createDataFrame([(1, a), (1, b), (2, c), (2, None), (None, c)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y {b}"), (2, c), (3, f"{b}")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in rows(decontaminate.contaminated(docs, items)))
+    assert got == [(1, 1), (2, 2), (3, 1)]
+    assert decontaminate.keep_clean(docs, items).count() == 0
