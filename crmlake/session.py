@@ -42,7 +42,7 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
     of input (at least two per core) and AQE coalesces them at run time; file
     splits match the same size; a skewed partition is split when it is 5x the
     median and above the target; the automatic broadcast threshold stays small
-    because the library broadcasts only after its own row-count check.
+    because the library leaves broadcasts to Spark's size estimates and AQE.
     Example: 100 TB on 1000 executors x 8 cores -> ~400 000 shuffle partitions.
     """
     partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
