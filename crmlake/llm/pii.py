@@ -156,7 +156,10 @@ def disclosing_terms(found: DataFrame, threshold: float = THRESHOLD, min_docs: i
     # pairs before they are counted; the joins after it are on the values themselves.
     rare = per_term.groupBy(_cell(F.col("term")).alias("cell")).agg((F.log2(F.lit(float(n))) - log(F.min("n_term"))).alias("most"))
     need = entities.groupBy(_cell(F.col("entity")).alias("cell")).agg((F.min("ic") * threshold if threshold >= 0 else F.max("ic") * threshold).alias("need"))
-    joint = (found.where(F.size("base") > 0).select(own.alias("own"), F.explode(_terms(F.col("text"))).alias("term")).where("term <> ''")
+    # a document pairs only its entities that are on the list: one that names many unique values pairs none of them
+    known = _listed(entities.select(F.col("entity").alias("term")))
+    joint = (found.where(F.size("base") > 0).select(F.filter(own, known).alias("own"), "text").where(F.size("own") > 0)
+             .select("own", F.explode(_terms(F.col("text"))).alias("term")).where("term <> ''")
              .withColumn("cell", _cell(F.col("term"))).join(F.broadcast(rare), "cell").drop("cell")
              .select(F.explode("own").alias("entity"), "term", "most")
              .withColumn("cell", _cell(F.col("entity"))).join(F.broadcast(need), "cell").where("most >= need - 1e-6")

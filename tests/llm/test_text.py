@@ -384,3 +384,13 @@ def test_decontamination_by_an_id_with_two_texts(spark, monkeypatch, block):
     got = sorted((r["doc_id"], r["item_id"]) for r in rows(decontaminate.contaminated(docs, items)))
     assert got == [(1, 1), (2, 2), (3, 1)]
     assert decontaminate.keep_clean(docs, items).count() == 0
+
+
+def test_pii_pairs_only_entities_that_can_disclose(spark):
+    """A text with thousands of unique addresses and words makes no pair for them."""
+    many = " ".join(f"u{i}@mail.example.com {chr(97 + i % 26)}{'abcdefghij'[i % 10]}word{'klmnopq'[i % 7]}" for i in range(3000))
+    docs = [(1, many)] + [(i, f"Zorgelina zorg@mail.example.com number{i}") for i in range(2, 5)] + [(i, "nothing here") for i in range(5, 60)]
+    found = spark.createDataFrame(docs, "doc_id long, text string").select("text", pii.base_spans(F.col("text")).alias("base"))
+    terms = pii.disclosing_terms(found)
+    got = {(r["entity"], r["term"]) for r in rows(terms)}
+    assert {e for e, _ in got} == {"0zorg@mail.example.com"} and {"zorgelina", "number"} <= {t for _, t in got}
