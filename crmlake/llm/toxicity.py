@@ -5,7 +5,7 @@ pairs with one word between them (case of A-Z ignored). Training is online
 FTRL-proximal: every coordinate has its own learning rate (from the sum of its
 squared gradients), and L1 keeps a coordinate at zero until its evidence passes
 the penalty, so the model is a short list of weights that is broadcast (at most
-``MAX_WEIGHTS``, a training error beyond it). One task trains on the bounded
+``MAX_WEIGHTS``; training starts again with twice the penalty until they fit). One task trains on the bounded
 sample of ``labels.training_rows``; scoring is one pass over all texts without a shuffle.
 
 Rows: null and empty texts score by the intercept; labels are read by id only.
@@ -64,13 +64,13 @@ def distinct_features(text: bytes) -> np.ndarray:
 class Ftrl:
     """Per-coordinate FTRL-proximal with L1 and L2; the last coordinate is the intercept."""
 
-    def __init__(self, n: int):
-        self.z, self.n = np.zeros(n + 1), np.zeros(n + 1)
+    def __init__(self, n: int, l1: float = L1):
+        self.z, self.n, self.l1 = np.zeros(n + 1), np.zeros(n + 1), l1
 
     def weights(self, at) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
-        return np.where(np.abs(z) <= L1, 0.0, w)
+        w = -(z - np.sign(z) * self.l1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+        return np.where(np.abs(z) <= self.l1, 0.0, w)
 
     def learn(self, at: np.ndarray, label: int) -> None:
         at = np.append(at, len(self.z) - 1)
@@ -90,15 +90,17 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> tuple[np.ndar
     known = np.append(names, -2)                # a last one that equals no feature
     place = [np.searchsorted(names, o) for o in own]
     rows = [p[known[p] == o] for p, o in zip(place, own, strict=True)]
-    model, order = Ftrl(len(names)), np.random.default_rng(seed)
-    for _ in range(EPOCHS):
-        for i in order.permutation(len(rows)):
-            model.learn(rows[i], labels[i])
-    w = model.weights(np.arange(len(names) + 1))
-    keep = np.flatnonzero(w)
-    if len(keep) > MAX_WEIGHTS:
-        raise ValueError(f"{len(keep)} weights aren't zero; raise L1")
-    return np.append(names, INTERCEPT)[keep], w[keep]
+    l1 = L1
+    while True:
+        model, order = Ftrl(len(names), l1), np.random.default_rng(seed)
+        for _ in range(EPOCHS):
+            for i in order.permutation(len(rows)):
+                model.learn(rows[i], labels[i])
+        w = model.weights(np.arange(len(names) + 1))
+        keep = np.flatnonzero(w)
+        if len(keep) <= MAX_WEIGHTS:
+            return np.append(names, INTERCEPT)[keep], w[keep]
+        l1 *= 2
 
 
 def train_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,15 @@ def test_ftrl_equals_plain_python(spark):
         assert got[i] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-9)
 
 
+def test_the_penalty_grows_until_the_weights_fit(monkeypatch):
+    texts = [(prose(40, i) + (" vile Brute stuff" if i % 4 == 0 else "")).encode() for i in range(120)]
+    marks = [int(i % 4 == 0) for i in range(120)]
+    many = len(toxicity.train(texts, marks)[0])
+    monkeypatch.setattr(toxicity, "MAX_WEIGHTS", max(2, many // 3))
+    names, w = toxicity.train(texts, marks)
+    assert 0 < len(names) <= max(2, many // 3) and np.all(w != 0)
+
+
 # ---- embeddings --------------------------------------------------------------------------------
 def test_sgd_and_the_folded_model_equal_plain_python(spark, monkeypatch):
     """Every vector, the layer and the softmax kept apart, updated one number at a time."""
