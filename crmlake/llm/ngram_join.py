@@ -22,7 +22,8 @@ Method (prefix filtering, rarest shingles first):
 Before texts are fetched, the suffix filter bounds the overlap of a pair by its
 set sizes per hash cell; what is left is verified exactly, once per pair, on the
 64-bit shingle hashes of the whole texts. Lists of very common shingles (bin count
-over ``SALT_ABOVE``) are salted in round one.
+over ``SALT_ABOVE`` more than the average bin's, which is what other shingles add to a bin) are salted in
+round one; a large corpus fills all bins alike and salts no more lists for it.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased; a text with fewer words than
 n is one shingle of all of them; a text without words has no shingle and no link.
@@ -125,7 +126,7 @@ def prefix_pass(k: int, percent: int, counts):
     """Postings (shingle, document, set size, position) of each document's prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = counts.value, set()
-        mask = np.uint64((1 << BIN_BITS) - 1)
+        mask, filled = np.uint64((1 << BIN_BITS) - 1), int(table.mean())
         for rows, buf, offsets in tv.chunks(batches, "text"):
             out: list[tuple[np.ndarray, ...]] = []
             for doc, s in zip(rows.column("doc_id").to_pylist(), document_sets(buf, offsets, k), strict=True):
@@ -134,7 +135,7 @@ def prefix_pass(k: int, percent: int, counts):
                 seen.add(key)
                 known = table[(s & mask).astype(np.int64)]
                 first = np.lexsort((s, known))[:prefix_length(len(s), percent)]
-                parts = -(-known[first] // SALT_ABOVE)
+                parts = -(-(known[first] - filled) // SALT_ABOVE)
                 salt = np.where(parts > 1, (doc * 2654435761 & 0x7FFFFFFF) % np.maximum(parts, 1) + 1, 0)
                 m = len(first)
                 out.append((s[first].astype(np.int64), salt, np.full(m, doc), np.full(m, len(s)), np.arange(m)))

@@ -203,6 +203,22 @@ def test_ngram_join_salted_lists(odd, monkeypatch):
     assert got == brute_join(pairs_of(odd), 4, 85)
 
 
+def test_full_bins_salt_no_list():
+    """Bins that a large corpus fills alike leave lists whole; a shingle far above them is salted."""
+    import pyarrow as pa
+
+    class Counts:
+        value = np.full(1 << ngram_join.BIN_BITS, 5_000_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a b c d e f", "g h i j k l", "m n o p q r"])], names=["doc_id", "text"])
+    out = pa.Table.from_batches(ngram_join.prefix_pass(4, 85, Counts)([batch]))
+    assert set(out.column("salt").to_pylist()) == {0}
+    hot = out.column("token").to_pylist()[0]
+    Counts.value = Counts.value.copy()
+    Counts.value[hot & ((1 << ngram_join.BIN_BITS) - 1)] += 10 * ngram_join.SALT_ABOVE
+    out = pa.Table.from_batches(ngram_join.prefix_pass(4, 100, Counts)([batch])).to_pylist()
+    assert all((r["salt"] > 0) == (r["token"] == hot) for r in out)
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(1, 300).selectExpr("id - 1 AS a", "id AS b").union(spark.createDataFrame([(1000, 1001), (1001, 1001)], "a long, b long"))
     got = {r[0]: r[1] for r in connected_components(chain, "a", "b").collect()}
