@@ -15,8 +15,8 @@ similarity (sum of minima over sum of maxima of shingle counts) is at least
 A document with fewer words than an item is one window, its whole text, for the items of
 which it has at least ``THRESHOLD`` of the shingles (no others can reach that similarity).
 
-A window that shares no shingle with any item has similarity 0, so only windows around a
-shared shingle are fingerprinted. Items go to the tasks in blocks of about
+A window that shares no shingle with any item of its size has similarity 0 to them, so only windows
+around a shared shingle of such an item are fingerprinted. Items go to the tasks in blocks of about
 ``ITEM_BLOCK`` (the benchmark is the stated query set, documents are never collected).
 
 Pairs at the threshold are about 10 bits apart (standard deviation 3), so pairs beyond the
@@ -87,7 +87,13 @@ class Index:
                 prints.append(simhash(own))
         self.prints = np.array(prints, np.uint64)
         self.shape = np.array([(k, n) for _, k, n, _, _ in self.items], np.int64).reshape(-1, 2)
-        self.known = {k: np.unique(np.concatenate([i[3] for i in self.items if i[1] == k])) for k in set(self.shape[:, 0].tolist())}
+        # per k: the items' shingles, and for each the sizes of the items that hold it
+        self.known = {}
+        for k in set(self.shape[:, 0].tolist()):
+            own = [i for i in self.items if i[1] == k]
+            pairs = np.unique(np.rec.fromarrays([np.concatenate([i[3] for i in own]), np.repeat([i[2] for i in own], [len(i[3]) for i in own])]))
+            values, first = np.unique(pairs.f0, return_index=True)
+            self.known[k] = values, np.r_[first, len(pairs)], pairs.f1.astype(np.int64)
         width = 64 // BLOCKS
         masks = near_values(width, RADIUS // BLOCKS)
         self.tables = {}
@@ -132,14 +138,18 @@ class Index:
         """Best (similarity, first word, words) per item for one document's word hashes; items
         are their ids, those without id a tuple of their position."""
         best: dict[int | tuple[int], tuple[float, int, int]] = {}
-        for k, known in self.known.items():
+        for k, (known, first, sizes) in self.known.items():
             shingles = tv.shingles(words, k) if len(words) >= k else words[:0]
             at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
             hits = np.flatnonzero(known[at] == shingles)
             if len(hits):
-                for n in sorted(n for m, n in self.tables if m == k):
+                # each hit counts for the sizes of the items that hold its shingle
+                lo, count = first[at[hits]], first[at[hits] + 1] - first[at[hits]]
+                size = sizes[np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)]
+                place = np.repeat(hits, count)
+                for n in np.unique(size).tolist():
                     if n <= len(shingles):
-                        self._windows(shingles, hits, k, n, best)
+                        self._windows(shingles, place[size == n], k, n, best)
                     elif len(shingles) >= THRESHOLD * n - 1e-9:
                         self._verify(shingles, np.zeros(1, np.int64), simhash(shingles)[None], k, n, best)
         return best
