@@ -31,8 +31,8 @@ from crmlake.llm import textvec as tv
 from crmlake.llm.common import documents
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-CHUNK = 4 << 20            # bytes of text whose new words are merged together
-KEEP_BYTES = 32 << 20      # memory of encoded words that a task keeps from chunk to chunk, about
+CHUNK = 2 << 20            # bytes of text whose new words are merged together
+KEEP_BYTES = 16 << 20      # memory of encoded words that a task keeps from chunk to chunk, about
 ENTRY = 150                # bytes that a kept word takes besides its own
 NONE = np.int32(np.iinfo(np.int32).max)
 _models: dict[bytes, Model] = {}

@@ -105,6 +105,8 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())],
             names=["chunk", "counts"])
+    total.clear()
+    tv.release_memory()
 
 
 def bin_counts(rows: DataFrame) -> np.ndarray:
@@ -158,6 +160,7 @@ def verify_pass(k: int, percent: int):
                 ok = [100 * i >= percent * (len(x) + len(y) - i) > 0 for i, x, y in zip(both, left, right, strict=True)]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in (part.column("a"), part.column("b"))],
                                                  names=["a", "b"])
+        tv.release_memory()
     return run
 
 
