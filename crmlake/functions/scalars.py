@@ -133,10 +133,11 @@ def win_rate(won: ColumnOrName, lost: ColumnOrName) -> Column:
             .otherwise(F.lit(0.0)))
 
 
-def row_win_rate(won: ColumnOrName, total: ColumnOrName) -> Column:
-    """Per-row ``int(round(won / total * 100))``; NULL (blank) when total = 0."""
+def row_win_rate(won: ColumnOrName, total: ColumnOrName, dtype: str = "int") -> Column:
+    """Per-row ``int(round(won / total * 100))``; NULL (blank) when total = 0.
+    ``dtype`` is a whole-number type that holds it (a ``won`` that a join multiplied passes an INT)."""
     w, t = _c(won), _c(total)
-    return F.when(t > 0, F.bround(w.cast("double") / t.cast("double") * F.lit(100.0), 0).cast("int"))
+    return F.when(t > 0, F.bround(w.cast("double") / t.cast("double") * F.lit(100.0), 0).cast(dtype))
 
 
 def win_tier(rate: ColumnOrName) -> Column:

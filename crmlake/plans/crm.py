@@ -334,7 +334,7 @@ def employee_performance(t, fanout: str = "exact") -> DataFrame:
         out = (out.withColumn("won", (F.col("won").cast(wide) * factor).cast("double"))
                .withColumn("revenue", F.col("revenue") * factor))
     out = (out.withColumn("revenue", money("revenue"))
-           .withColumn("win_rate", row_win_rate("won", "total_opps"))
+           .withColumn("win_rate", row_win_rate("won", "total_opps", "int" if fanout == "exact" else "long"))
            .withColumn("tier", win_tier("win_rate")))
     return (out.select("EmployeeID", "FullName", "Department", "customers", "total_opps", "won",
                        "revenue", "interactions", "win_rate", "tier")

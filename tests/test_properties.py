@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from crmlake.operators import paging as Pg
 from crmlake.plans import crm, edu
 from crmlake.sources.bindings import Bindings
+from crmlake.sources.layouts import WithTables
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +73,16 @@ def test_global_index_is_dense_with_duplicate_sort_keys(spark):
     got = rows(idx.orderBy("pos"), "pos", "g", "h", "id")
     assert [r[0] for r in got] == list(range(1, 301))
     assert [r[1:] for r in got] == sorted(r[1:] for r in got)
+
+
+def test_reference_fanout_rate_passes_an_int(spark):
+    t = WithTables(None, employees=spark.sql("SELECT 1L AS EmployeeID, 'a' AS FullName, 'd' AS Department"),
+                   customers=spark.range(50_000).selectExpr("id AS CustomerID", "1L AS AssignedTo"),
+                   interactions=spark.range(60_000).selectExpr("id AS InteractionID", "1L AS EmployeeID"),
+                   opportunities=spark.sql("SELECT 7L AS OpportunityID, 1L AS EmployeeID, 'Closed Won' AS Stage, "
+                                           "CAST(2 AS DECIMAL(15,2)) AS Value"))
+    fan = 50_000 * 60_000
+    assert rows(crm.employee_performance(t, "reference"), "won", "revenue", "win_rate", "tier") == [
+        (float(fan), 2.0 * fan, 100 * fan, "success")]
+    exact = crm.employee_performance(t, "exact")
+    assert rows(exact, "win_rate") == [(100,)] and exact.schema["win_rate"].dataType.typeName() == "integer"
