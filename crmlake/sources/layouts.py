@@ -49,10 +49,12 @@ def _partitions(spark: SparkSession) -> int:
 # ---- months ------------------------------------------------------------------------------
 def write_by_month(df: DataFrame, column: str, path: str) -> DataFrame:
     """Write ``df`` with a folder per month of ``column`` (undated rows have their own) and read it back.
-    A month that holds much of the table is dealt to several tasks by the time itself."""
+    A month that holds much of the table is dealt to several tasks by the time itself, rows of one time (and
+    those without one) by a hash of the row."""
     name = month_column(column)
     laid = df.withColumn(name, month_number(F.col(column)))
-    laid.repartitionByRange(_partitions(df.sparkSession), name, column).write.partitionBy(name).parquet(path)
+    (laid.repartitionByRange(_partitions(df.sparkSession), name, column, F.xxhash64(*df.columns))
+     .write.partitionBy(name).parquet(path))
     return df.sparkSession.read.schema(laid.schema).parquet(path)
 
 

@@ -61,6 +61,15 @@ def test_month_folders_keep_every_row(spark, tmp_path):
     assert Pr.in_months(df, "at", "2024-01-01 00:00:00") is None
 
 
+def test_undated_rows_and_rows_of_one_time_are_dealt_to_several_tasks(spark, tmp_path):
+    df = spark.sql("""SELECT id, CASE WHEN id % 4 = 0 THEN timestamp_ntz'2024-02-03 00:00:00' END AS at FROM range(40000)""")
+    laid = L.write_by_month(df, "at", str(tmp_path / "m"))
+    sizes = rows(laid.groupBy("at_month", F.input_file_name()).count(), "at_month", "count")
+    assert sum(n for _, n in sizes) == 40000 and laid.select("id").distinct().count() == 40000
+    # a task writes a file per month: four tasks share the rows, about alike
+    assert max(n for _, n in sizes) < 15000 and sum(m is None for m, _ in sizes) >= 3
+
+
 # ---- buckets -------------------------------------------------------------------------------
 def test_bucketed_children_are_not_shuffled(spark, tmp_path):
     # one parent holds a third of the children
