@@ -67,8 +67,9 @@ def _changed_in_place(t, name: str, key: str, keys: DataFrame, change) -> DataFr
     """The table after ``change`` was applied in place to the folders that hold one of ``keys``."""
     base = getattr(t, name)
     path = L.shared_folder(t.spark, f"ranges-{name}")
-    L.write_key_ranges(base, key, path, P.KEYS_PER_FOLDER)
-    L.change_key_ranges(t.spark, key, path, base.schema, keys, change, P.KEYS_PER_FOLDER)
+    width = L.range_width(base, key, P.KEYS_PER_FOLDER)
+    L.write_key_ranges(base, key, path, width)
+    L.change_key_ranges(t.spark, key, path, base.schema, keys, change, width)
     return L.read_key_ranges(t.spark, key, path, base.schema)
 
 

@@ -24,6 +24,7 @@ from crmlake.session import ensure_checkpoint_dir
 
 RANGE = "key_range"
 RANGE_WIDTH = 1_000_000     # keys per folder
+FOLDERS = 500               # of key ranges, at most: each costs files to open, list and rename
 
 
 class WithTables:
@@ -75,6 +76,13 @@ def _range_of(key: str, width: int) -> Column:
     return F.floor(F.col(key) / width).cast("long")
 
 
+def range_width(df: DataFrame, key: str, least: int = RANGE_WIDTH) -> int:
+    """Keys per folder of a table like ``df``: ``least``, or more where that would make over ``FOLDERS`` folders,
+    so that folders grow with the table and not their number."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    return least if low is None else max(least, (high - low) // (FOLDERS - 1) + 1)
+
+
 def write_key_ranges(df: DataFrame, key: str, path: str, width: int = RANGE_WIDTH) -> None:
     """Write ``df`` (keys not null) with a folder per ``width`` keys."""
     (df.withColumn(RANGE, _range_of(key, width)).repartitionByRange(_partitions(df.sparkSession), RANGE, key)

@@ -1,5 +1,7 @@
 """Stored layouts and the search index: same rows, less read or rewritten."""
 
+from types import SimpleNamespace
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -117,6 +119,19 @@ def files_of(path):
     return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
 
 
+def test_folders_of_key_ranges_grow_with_the_table_and_not_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "shared_folder", lambda _, name: str(tmp_path / name))
+    base = spark.range(-300, 500).selectExpr("id * 700 AS TicketID", "concat('n', id) AS Subject")
+    keys = spark.range(0, 500, 3).selectExpr("id * 700 AS TicketID")
+    t = L.WithTables(SimpleNamespace(spark=spark), tickets=base)
+    left = R._changed_in_place(t, "tickets", "TicketID", keys, lambda part: M.delete_by_key(part, keys, "TicketID"))
+    assert sorted(rows(left)) == [(i * 700, f"n{i}") for i in range(-300, 500) if i < 0 or i % 3]
+    assert len(list((tmp_path / "ranges-tickets").glob("key_range=*"))) <= L.FOLDERS
+    assert L.range_width(base, "TicketID", 10_000) == 10_000
+    assert L.range_width(base.where("false"), "TicketID", 500) == 500
+    assert L.range_width(spark.range(500 * (L.FOLDERS - 1)), "id", 500) == 500
+
+
 def test_changes_rewrite_only_the_ranges_they_touch(spark, tmp_path):
     base = spark.range(1, 1001).selectExpr("id", "concat('n', id) AS name")
     path = tmp_path / "t"
