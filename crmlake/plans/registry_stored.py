@@ -40,26 +40,28 @@ def q18_by_month(t):
 
 
 # ---- buckets (J7, J8, S9, S10) ----------------------------------------------------------------
-def in_buckets(t, name: str, key: str) -> DataFrame:
-    return t.stored(f"{name}-{key}-buckets", lambda path: L.write_buckets(getattr(t, name), key, P.BUCKETS, path))
+def in_buckets(t, key: str, *names: str) -> dict[str, DataFrame]:
+    """The named tables, in the same number of buckets of ``key``."""
+    n = t.stored(f"{'-'.join(names)}-{key}-count", lambda _: L.buckets_for(*[getattr(t, x) for x in names], least=P.BUCKETS))
+    return {x: t.stored(f"{x}-{key}-{n}-buckets", lambda path, x=x: L.write_buckets(getattr(t, x), key, n, path)) for x in names}
 
 
 @register("q05_customer_list_bucketed", **_oracle("q05_customer_list"))
 def q05_bucketed(t):
     """Q5/J7 customer list, customers and children bucketed on the customer."""
-    return crm.customer_list(L.WithTables(t, **{n: in_buckets(t, n, "CustomerID") for n in ("customers", "opportunities", "tickets")}))
+    return crm.customer_list(L.WithTables(t, **in_buckets(t, "CustomerID", "customers", "opportunities", "tickets")))
 
 
 @register("q25_enrollment_list_bucketed", **_oracle("q25_enrollment_list"))
 def q25_bucketed(t):
     """Q25/J8 enrollments with balances, payments bucketed on the enrollment."""
-    return edu.enrollment_list(L.WithTables(t, payments=in_buckets(t, "payments", "EnrollmentID")))
+    return edu.enrollment_list(L.WithTables(t, **in_buckets(t, "EnrollmentID", "payments")))
 
 
 @register("s09_tickets_snapshot_bucketed", **_oracle("s09_tickets_snapshot"))
 def s09_bucketed(t):
     """S9 tickets left after their customers were deleted, tickets bucketed on the customer."""
-    return M.delete_by_key(in_buckets(t, "tickets", "CustomerID"), t.view("c_closed_customers"), "CustomerID")
+    return M.delete_by_key(in_buckets(t, "CustomerID", "tickets")["tickets"], t.view("c_closed_customers"), "CustomerID")
 
 
 # ---- key ranges (S6, S7, S8) --------------------------------------------------------------------

@@ -24,6 +24,8 @@ from crmlake.session import ensure_checkpoint_dir
 
 RANGE = "key_range"
 RANGE_WIDTH = 1_000_000     # keys per folder
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 100_000       # what Spark allows a table
 FOLDERS = 500               # of key ranges, at most: each costs files to open, list and rename
 
 
@@ -60,6 +62,13 @@ def write_by_month(df: DataFrame, column: str, path: str) -> DataFrame:
 
 
 # ---- buckets -----------------------------------------------------------------------------
+def buckets_for(*tables: DataFrame, least: int) -> int:
+    """Buckets of tables that are joined on the key: one for ``ROWS_PER_BUCKET`` rows of the largest, at least
+    ``least``. A task writes and later reads a whole bucket, so buckets grow in number and not in size."""
+    most = max(df.count() for df in tables)
+    return max(least, min(MAX_BUCKETS, -(-most // ROWS_PER_BUCKET)))
+
+
 def write_buckets(df: DataFrame, key: str, buckets: int, path: str) -> DataFrame:
     """Write ``df`` in ``buckets`` buckets of ``key``, sorted on it, as an external table at ``path``.
 

@@ -114,6 +114,17 @@ def test_registered_bucketed_lists_shuffle_no_child(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_buckets_grow_in_number_with_the_largest_table(spark, monkeypatch):
+    monkeypatch.setattr(L, "ROWS_PER_BUCKET", 500)
+    assert L.buckets_for(spark.range(10), spark.range(6001), least=8) == 13
+    assert L.buckets_for(spark.range(0), least=8) == 8
+    t = Bindings(spark, SF)
+    most = -(-t.opportunities.count() // 500)
+    got = R.q05_bucketed(t)
+    assert most > P.BUCKETS and plan_of(got).count(f"SelectedBucketsCount: {most} out of {most}") >= 2
+    assert sorted(rows(got), key=str) == sorted(rows(crm.customer_list(t)), key=str)
+
+
 # ---- key ranges ----------------------------------------------------------------------------
 def files_of(path):
     return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
