@@ -5,7 +5,7 @@ from row_tools import rows
 from pyspark.sql import functions as F
 
 from crmlake.operators import mutations as M
-from crmlake.operators.audit import integrity_audit
+from crmlake.operators.audit import audit_violations, integrity_audit
 from crmlake.sources import schemas as S
 
 AS_OF = "2025-06-20 12:00:00"
@@ -264,3 +264,17 @@ def test_audit_shuffles_a_hot_key_as_one_row_per_task(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     first = plan[plan.rindex("Exchange hashpartitioning(domain"):]
     assert "partial_count" in first
+
+
+def test_audit_sorts_no_number_to_compare_text_by_the_collation(spark):
+    t = {"Employees": spark.sql("SELECT id AS EmployeeID, 'x' AS FullName, concat('A', id % 40, '@b') AS Email FROM range(100)"),
+         "Customers": spark.sql("SELECT id % 90 AS CustomerID, 'y' AS FullName, if(id % 2 = 0, 'é ', 'E') AS Email, id AS AssignedTo FROM range(120)")}
+    df = audit_violations(t, mode="ci_ai")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    tagged = [ln for ln in plan.splitlines() if "Aggregate(key" in ln and "count(1)" in ln]
+    assert tagged and not any("SortAggregate" in ln for ln in tagged)
+    got = rows(df.groupBy("table_name", "check_name").agg(F.count("*").alias("n"), F.sum("rows").alias("r")))
+    want = {("Employees", "unique", 40, 100), ("Customers", "primary_key", 30, 60), ("Customers", "unique", 1, 120),
+            ("Customers", "foreign_key", 20, 20)}
+    assert set(got) == want
+    assert rows(df.where("check_name = 'unique' AND table_name = 'Customers'"), "value", "rows") == [("E", 120)]
