@@ -109,12 +109,13 @@ class PagedList:
         """Write ``df`` in ``order`` to ``path`` (default: a new folder in the shared checkpoint folder)."""
         spark, specs = df.sparkSession, list(order)
         path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/list-{uuid.uuid4().hex}"
-        # written before it is sorted: sampling the sort's ranges would evaluate the list a second time
-        df.write.parquet(f"{path}/unsorted")
+        # written before it is sorted: sampling the sort's ranges would evaluate the list a second time;
+        # zstd, as the whole list is written twice
+        df.write.option("compression", "zstd").parquet(f"{path}/unsorted")
         found = spark.read.schema(df.schema).parquet(f"{path}/unsorted")
         placed = (found.orderBy(*_total_order(found, specs)).withColumn("__part", F.spark_partition_id())
                   .withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)))
-        placed.write.partitionBy("__part").parquet(f"{path}/rows")
+        placed.write.option("compression", "zstd").partitionBy("__part").parquet(f"{path}/rows")
         keys = [k for k in _spec_names(specs) or [] if k in df.columns]
         first_row = F.when(F.col("__at") == 0, F.struct(*keys) if keys else F.struct("__at"))
         # schema given: a list without rows has no folders to infer it from

@@ -216,3 +216,11 @@ def test_indexed_search_reads_fewer_files(spark, indexed):
     assert len(index.search("ab").inputFiles()) == 8                       # under three characters: the whole table
     assert len(index.search("city 3", mode="ci").inputFiles()) == 8        # another mode than the index has
     assert index.search("city 3", mode="ci_ai").count() == index.search("city 3").count()
+
+
+def test_a_written_list_takes_dense_files(spark, tmp_path):
+    df = spark.range(300).selectExpr("id", "concat('Deal ', id) AS Title").repartition(3)
+    listed = Pg.PagedList.build(df, [("id", "desc")], str(tmp_path / "l"))
+    files = [f.name for name in ("unsorted", "rows") for f in (tmp_path / "l" / name).rglob("*.parquet")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+    assert rows(listed.page(2, 10).orderBy("row_num"), "id", "row_num") == [(299 - i, i + 1) for i in range(10, 20)]
