@@ -25,6 +25,7 @@ from crmlake.functions.scalars import blank_to_null, derive_username, strip_ws
 from crmlake.operators.paging import global_index
 from crmlake.sources.readers import apply_defaults
 from crmlake.sources.schemas import Table
+from crmlake.sources.sizes import join_partitions
 
 # Fixed values of the reference's write paths.
 DEFAULT_ACCOUNT_PASSWORD = "123456"
@@ -85,15 +86,20 @@ def latest_change(changes: DataFrame, key: str, seq: str | None) -> DataFrame:
 
 
 def update_by_key(base: DataFrame, changes: DataFrame, key: str, columns: list[str],
-                  seq: str | None = None,
-                  matched_flag: str | None = None, changed_only: bool = False) -> DataFrame:
+                  seq: str | None = None, matched_flag: str | None = None, changed_only: bool = False,
+                  rows: int | None = None) -> DataFrame:
     """``UPDATE base SET c = change.c WHERE key = change.key``.
 
     Several changes for one key need ``seq`` (see ``latest_change``). A NULL in a change sets NULL (it is an assignment, not a merge). Base
     rows sharing a key all receive the change. Columns absent from ``base``
     are added (NULL where unchanged). ``changed_only`` leaves out the other rows.
+    With ``rows``, about how many ``base`` has, a large join is dealt by them (``sources.sizes``).
     """
-    ch = latest_change(changes.select(key, *columns, *([seq] if seq else [])), key, seq)
+    changes = changes.select(key, *columns, *([seq] if seq else []))
+    dealt = join_partitions(base, key, rows, changes, key) if rows is not None else None
+    if dealt:
+        base, changes = base.repartition(dealt, key), changes.repartition(dealt, key)
+    ch = latest_change(changes, key, seq)
     ch = ch.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__new_{c}") for c in columns],
                    F.lit(True).alias("__hit"))
     out = base.join(ch, base[key] == ch["__key"], "inner" if changed_only else "left")
@@ -110,15 +116,17 @@ def update_by_key(base: DataFrame, changes: DataFrame, key: str, columns: list[s
 
 def stamp_on_transition(base: DataFrame, changes: DataFrame, key: str, status: str, stamp: str,
                         stamp_values: list[str], as_of, extra: list[str] = (),
-                        preserve_existing: bool = False, seq: str | None = None) -> DataFrame:
+                        preserve_existing: bool = False, seq: str | None = None,
+                        rows: int | None = None) -> DataFrame:
     """Apply a status change and (re)stamp a timestamp.
 
     For changed rows: ``stamp = as_of`` when the new status is in
     ``stamp_values``, else NULL (so moving a resolved ticket to Closed erases
     ResolvedAt, as the reference does). ``preserve_existing`` keeps an
     existing stamp instead of re-stamping. Unchanged rows keep their stamp.
+    ``rows`` as in ``update_by_key``.
     """
-    out = update_by_key(base, changes, key, [status, *extra], seq=seq, matched_flag="__changed")
+    out = update_by_key(base, changes, key, [status, *extra], seq=seq, matched_flag="__changed", rows=rows)
     old = F.col(stamp) if stamp in base.columns else F.lit(None).cast("timestamp_ntz")
     fresh = as_timestamp(as_of)
     stamped = F.when(F.col(status).isin(list(stamp_values)),

@@ -43,32 +43,32 @@ def open_return_tickets(t, as_of) -> DataFrame:
                     t.after("tickets", "TicketID"), optional=["EmployeeID"], columns=t.tickets.columns)
 
 
-def reassign_segments(t) -> DataFrame:
+def reassign_segments(t, rows: int | None = None) -> DataFrame:
     """Keyed update of Segment and AssignedTo (NULL assigns NULL)."""
     return M.update_by_key(t.customers, t.view("c_segment_changes"), "CustomerID",
-                           ["Segment", "AssignedTo"])
+                           ["Segment", "AssignedTo"], rows=rows)
 
 
-def transition_tickets(t, as_of) -> DataFrame:
+def transition_tickets(t, as_of, rows: int | None = None) -> DataFrame:
     """Ticket status changes; ResolvedAt = as_of when the new status is
     Resolved, NULL otherwise (moving to Closed erases it)."""
     return M.stamp_on_transition(t.tickets, t.view("c_ticket_transitions"), "TicketID", "Status",
-                                 "ResolvedAt", ["Resolved"], as_of)
+                                 "ResolvedAt", ["Resolved"], as_of, rows=rows)
 
 
-def close_deals(t, changes: DataFrame, as_of, preserve_existing: bool = False) -> DataFrame:
+def close_deals(t, changes: DataFrame, as_of, preserve_existing: bool = False, rows: int | None = None) -> DataFrame:
     """Opportunity stage changes; ClosedAt = as_of for Closed Won/Lost,
     NULL for any other stage."""
     return M.stamp_on_transition(t.opportunities, changes, "OpportunityID", "Stage", "ClosedAt",
                                  S.CLOSED_STAGES, as_of, preserve_existing=preserve_existing,
-                                 seq="seq" if "seq" in changes.columns else None)
+                                 seq="seq" if "seq" in changes.columns else None, rows=rows)
 
 
-def resolve_feedbacks(t, as_of) -> DataFrame:
+def resolve_feedbacks(t, as_of, rows: int | None = None) -> DataFrame:
     """Feedback answers; the status becomes Resolved, ResolvedAt = as_of."""
     answers = t.view("c_feedback_answers").withColumn("Status", F.lit("Resolved"))
     return M.stamp_on_transition(t.feedbacks, answers, "FeedbackID", "Status", "ResolvedAt", ["Resolved"],
-                                 as_of, extra=["Response"])
+                                 as_of, extra=["Response"], rows=rows)
 
 
 def purge_tickets(t) -> DataFrame:

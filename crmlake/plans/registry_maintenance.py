@@ -50,7 +50,7 @@ SELECT c.* REPLACE (CASE WHEN ch.CustomerID IS NOT NULL THEN ch.Segment ELSE c.S
 FROM b_customers c LEFT JOIN c_segment_changes ch ON c.CustomerID = ch.CustomerID""")
 def s06(t):
     """S6 keyed update of customer segment and owner."""
-    return MT.reassign_segments(t)
+    return MT.reassign_segments(t, t.rows("customers"))
 
 
 @register("s07_ticket_transitions", ["b_tickets", "c_ticket_transitions"], f"""
@@ -59,7 +59,7 @@ SELECT t.* REPLACE (CASE WHEN ch.TicketID IS NOT NULL THEN ch.Status ELSE t.Stat
 FROM b_tickets t LEFT JOIN c_ticket_transitions ch ON t.TicketID = ch.TicketID""")
 def s07(t):
     """S7 ticket status changes stamping ResolvedAt."""
-    return MT.transition_tickets(t, AS_OF)
+    return MT.transition_tickets(t, AS_OF, t.rows("tickets"))
 
 
 @register("s07_deal_transitions", ["b_opportunities", "c_deal_changes"], f"""
@@ -69,7 +69,7 @@ SELECT o.* REPLACE (CASE WHEN ch.OpportunityID IS NULL THEN o.Stage ELSE ch.Stag
 FROM b_opportunities o LEFT JOIN c_deal_changes ch ON ch.OpportunityID = o.OpportunityID""")
 def s07_deals(t):
     """S7 deal stage changes stamping or erasing ClosedAt."""
-    return MT.close_deals(t, t.view("c_deal_changes"), AS_OF)
+    return MT.close_deals(t, t.view("c_deal_changes"), AS_OF, rows=t.rows("opportunities"))
 
 
 @register("s07_feedback_answers", ["b_feedbacks", "c_feedback_answers"], f"""
@@ -78,7 +78,7 @@ SELECT f.* REPLACE (CASE WHEN a.FeedbackID IS NULL THEN f.Status ELSE 'Resolved'
 FROM b_feedbacks f LEFT JOIN c_feedback_answers a ON a.FeedbackID = f.FeedbackID""")
 def s07_feedbacks(t):
     """S7 feedback answers stamping ResolvedAt."""
-    return MT.resolve_feedbacks(t, AS_OF)
+    return MT.resolve_feedbacks(t, AS_OF, t.rows("feedbacks"))
 
 
 @register("s08_purge_tickets", ["b_tickets", "c_ticket_purge"], """

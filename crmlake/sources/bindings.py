@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crmlake.session import ensure_checkpoint_dir
 from crmlake.sources.sinks import KeyMarks
+from crmlake.sources.sizes import join_partitions
 
 # Dialect tokens: the only spellings that differ between Spark SQL and DuckDB.
 _DIALECT = {
@@ -275,6 +276,7 @@ class Bindings:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._base: dict[str, DataFrame] = {}
+        self._rows: dict[str, int] = {}
         self._marks: KeyMarks | None = None
         self._stored: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
@@ -284,6 +286,24 @@ class Bindings:
             self._base[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
         return self._base[table]
 
+    def base_rows(self, table: str) -> int:
+        """Rows of a base table, from its Parquet footers."""
+        if table not in self._rows:
+            self._rows[table] = self.base(table).count()
+        return self._rows[table]
+
+    def rows(self, name: str) -> int:
+        """About how many rows table ``name`` has: those of the largest table behind it."""
+        return max(self.base_rows(t) for t in BINDINGS["b_" + name][0])
+
+    def _order_lines(self) -> dict[str, DataFrame]:
+        """The two large tables that bindings join, dealt by the order when they are large."""
+        lines, orders = self.base("lineitem"), self.base("orders")
+        n = join_partitions(lines, "l_orderkey", self.base_rows("lineitem"), orders, "o_orderkey", self.base_rows("orders"))
+        if n:
+            lines, orders = lines.repartition(n, "l_orderkey"), orders.repartition(n, "o_orderkey")
+        return {"lineitem": lines, "orders": orders}
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
@@ -311,6 +331,7 @@ class Bindings:
                 df = df.withColumnRenamed(old, new)
         else:
             deps, text = BINDINGS[name]
-            df = self.spark.sql(_render(text, "spark"), **{t: self.base(t) for t in deps})
+            tables = self._order_lines() if deps == ("lineitem", "orders") else {t: self.base(t) for t in deps}
+            df = self.spark.sql(_render(text, "spark"), **tables)
         self._views[name] = df
         return df

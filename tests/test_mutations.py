@@ -278,3 +278,51 @@ def test_audit_sorts_no_number_to_compare_text_by_the_collation(spark):
             ("Customers", "foreign_key", 20, 20)}
     assert set(got) == want
     assert rows(df.where("check_name = 'unique' AND table_name = 'Customers'"), "value", "rows") == [("E", 120)]
+
+
+# ---- joins of large tables -------------------------------------------------------------------
+def test_large_updates_are_dealt_over_partitions_that_grow_with_the_rows(spark, monkeypatch):
+    import re
+
+    from crmlake.plans.registry import QUERIES
+    from crmlake.sources import sizes as Z
+    from crmlake.sources.bindings import Bindings
+    sf, deals = "/root/testdata/sf0.001", QUERIES["s07_deal_transitions"].build
+    plain = rows(deals(Bindings(spark, sf)))
+    t = Bindings(spark, sf)
+    lines = t.base("lineitem").count()
+    monkeypatch.setattr(Z, "TASK_BYTES", 50_000)
+    monkeypatch.setattr(Z, "SMALL_BYTES", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = deals(t)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange hashpartitioning\((\w+)#\w+, (\d+)\)", plan)
+        per_deal, per_line = (-(-Z.row_bytes(df, lines) // 50_000) for df in (t.opportunities, t.base("lineitem")))
+        assert lines == t.rows("opportunities") == len(plain) and min(per_deal, per_line) > 20
+        # each side once: lines and orders by the order, deals and changes by the deal
+        assert sorted(dealt) == sorted([("l_orderkey", str(per_line)), ("o_orderkey", str(per_line)),
+                                        ("OpportunityID", str(per_deal)), ("OpportunityID", str(per_deal))])
+        assert sorted(rows(out), key=str) == sorted(plain, key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_only_joins_of_two_large_sides_are_dealt(spark, monkeypatch):
+    from crmlake.sources import sizes as Z
+    monkeypatch.setattr(Z, "TASK_BYTES", 800)
+    monkeypatch.setattr(Z, "SMALL_BYTES", 80)
+    base, cores = spark.range(10_000), spark.sparkContext.defaultParallelism
+    few, many = spark.range(10), spark.range(20_000)
+    assert Z.join_partitions(base, "id", 10_000, spark.range(11), "id") == 100
+    assert Z.join_partitions(base, "id", 10_001, spark.range(11), "id") == 101
+    assert Z.join_partitions(base, "id", 10_000, few, "id") is None              # may be broadcast
+    assert Z.join_partitions(base, "id", 100 * cores, many, "id") is None        # a partition per core holds it
+    assert Z.join_partitions(base, "id", 10_000, many, "id") == 200              # by the larger side
+    assert Z.join_partitions(base, "id", 10_000, many.selectExpr("cast(id AS int) AS id"), "id") is None
+    changes = spark.range(0, 20_000, 7).selectExpr("id", "'x' AS v")
+    want = sorted(map(tuple, M.update_by_key(base, changes, "id", ["v"]).collect()))
+    got = M.update_by_key(base.union(spark.sql("SELECT CAST(NULL AS BIGINT)")), changes, "id", ["v"], rows=10_000)
+    assert sorted(map(tuple, got.where("id IS NOT NULL").collect())) == want
+    assert [r.v for r in got.where("id IS NULL").collect()] == [None]
